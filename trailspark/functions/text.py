@@ -72,37 +72,34 @@ def status_or_name(outcome: Column) -> Column:
 # Matches text with sorted keys, ", " and ": " separators and ASCII-only escapes.
 # Callers write the keys in order; these helpers write the values.
 
-_SHORT_ESCAPES = {
-    "0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t",
-    "000A": "\\n", "000C": "\\f", "000D": "\\r",
-}
-
-
-def _escape_units(text: Column) -> Column:
-    """Escape text by its UTF-16 units, for the rare value that needs more than a quote."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    count = F.length(units) / 4
-
-    def escape(i: Column) -> Column:
-        unit = F.substring(units, i * 4 + 1, F.lit(4))
-        printable = (unit >= "0020") & (unit <= "007F")
-        char = F.char(F.conv(unit, 16, 10).cast("bigint"))
-        return F.coalesce(
-            vocab.lookup(unit, _SHORT_ESCAPES),
-            F.when(printable, char),
-            F.concat(F.lit("\\u"), F.lower(unit)),
-        )
-
-    positions = F.sequence(F.lit(0), count.cast("int") - 1)
-    return F.array_join(F.transform(positions, escape), "")
+def _escaped(text: Column) -> Column:
+    """JSON string of any text, from Spark's own writer with its code points lower-cased."""
+    written = F.to_json(
+        F.struct(text.alias("v")), {"writeNonAsciiCharacterAsCodePoint": "true"}
+    )
+    body = F.substring(written, 6, F.length(written) - 6)
+    # Escaped backslashes step aside as a control character, which never stands raw in
+    # JSON, so that every "\\u" left is a code point.
+    aside = F.replace(body, F.lit("\\\\"), F.lit("\x01"))
+    points = F.transform(
+        F.split(aside, r"\\u", -1),
+        lambda piece, i: F.when(i == 0, piece).otherwise(
+            F.concat(F.lower(F.substring(piece, 1, 4)), F.substring(piece, 5, F.length(piece)))
+        ),
+    )
+    joined = F.array_join(points, "\\u")
+    return F.replace(
+        F.replace(joined, F.lit("\x01"), F.lit("\\\\")), F.lit("\x7f"), F.lit("\\u007f")
+    )
 
 
 def json_text(text: Column) -> Column:
     """JSON string (or null) of a text value."""
     value = text.cast("string")
-    plain = F.regexp_replace(value, r'([\\"])', r"\\$1")
-    body = F.when(value.rlike(r"[^\x20-\x7F]"), _escape_units(value)).otherwise(plain)
-    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
+    plain = F.concat(F.lit('"'), F.regexp_replace(value, r'([\\"])', r"\\$1"), F.lit('"'))
+    return F.coalesce(
+        F.when(value.rlike(r"[^\x20-\x7E]"), _escaped(value)).otherwise(plain), F.lit("null")
+    )
 
 
 def json_bool(flag: Column) -> Column:
