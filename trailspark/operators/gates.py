@@ -43,11 +43,22 @@ def gate_backward(required: DataFrame, claim: DataFrame, included: DataFrame) ->
 def included_controls(required: DataFrame, claim: DataFrame, included: DataFrame) -> DataFrame:
     """(contract, module, control): the required controls each included module claims.
 
-    Starts from the included modules, so a control many modules claim never fans out.
+    Each claim is followed from its rarer end: from the included module when the module
+    claims no more controls than modules claim the control, else from the required
+    control. No row fans out by more than the root of the number of claims, however
+    popular one module or one control is.
     """
+    claims = claim.select(M, C).distinct()
+    degree = lambda key, name: claims.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    edges = claims.join(degree(M, "_m"), M).join(degree(C, "_c"), C)
+    modules, controls = included.select(K, M).distinct(), required.select(K, C).distinct()
+    by_module = edges.filter("_m <= _c").select(M, C)
+    by_control = edges.filter("_m > _c").select(M, C)
     return (
-        included.select(K, M).distinct().join(claim.select(M, C).distinct(), M)
-        .join(required.select(K, C).distinct(), [K, C], "left_semi")
+        modules.join(by_module, M).join(controls, [K, C], "left_semi").select(K, M, C)
+        .unionByName(
+            controls.join(by_control, C).join(modules, [K, M], "left_semi").select(K, M, C)
+        )
     )
 
 

@@ -27,6 +27,11 @@ def _pick(index: Column, values: tuple) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def _greatest(flag: str) -> Column:
+    """Greatest of one-letter flags, compared as numbers so that the aggregate hashes."""
+    return F.char(F.max(F.ascii(flag)))
+
+
 class Projection:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -172,7 +177,7 @@ class Projection:
         line, flag = F.col("l_linenumber"), F.col("_flag")
         return (
             self._lines.groupBy("contract_id", "l_linenumber")
-            .agg(F.max("l_returnflag").alias("_flag"))
+            .agg(_greatest("l_returnflag").alias("_flag"))
             .select(
                 "contract_id",
                 F.concat(F.lit("OBL-"), line).alias("name"),
@@ -265,7 +270,7 @@ class Projection:
     def attestation(self) -> DataFrame:
         grouped = (
             self._lines.groupBy("contract_id", "control_id")
-            .agg(F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"),
+            .agg(_greatest("l_returnflag").alias("f"), _greatest("l_linestatus").alias("s"),
                  F.max("l_linenumber").alias("n"), F.max("l_tax").alias("t"),
                  F.max("l_discount").alias("d"), F.max("l_shipdate").alias("_shipped"))
             .filter(F.col("n") % 7 != 0)
