@@ -47,10 +47,9 @@ def test_other_comparators(frame):
 
 
 def test_last_evidence_decides(frame):
-    results = frame("contract_id string, evidence_id string, control_id string, outcome string",
-                    ("K", "e1", "a", "passed"), ("K", "e2", "a", "failed"))
-    assert rows(orc.control_outcomes_last_wins(results, frame(EV, ("K", "e1", "", 0), ("K", "e2", "", 1))),
-                "outcome") == [("failed",)]
+    results = frame("contract_id string, evidence_id string, control_id string, outcome string, seq int",
+                    ("K", "e1", "a", "failed", 1), ("K", "e2", "a", "passed", 0))
+    assert rows(orc.control_outcomes_last_wins(results), "outcome") == [("failed",)]
 
 
 NOW = datetime(2026, 7, 1)

@@ -37,7 +37,7 @@ def evaluate_criteria(evidence: DataFrame, addresses: DataFrame, criterion: Data
     """
     rules = criterion.select(C, "metric_key", "comparator", F.parse_json("threshold").alias("_bound"),
                              F.col("threshold"))
-    facts = evidence.select(K, E, "summary")
+    facts = evidence.select(K, E, "summary", "seq")
     rows = (
         addresses.select(K, E, C).join(facts, [K, E]).join(rules, C, "left")
         .withColumn("_all", F.expr("from_json(summary, 'map<string, variant>')"))
@@ -62,7 +62,7 @@ def evaluate_criteria(evidence: DataFrame, addresses: DataFrame, criterion: Data
     missing_rule = F.col("metric_key").isNull()
     missing_metric = ~F.coalesce(F.map_contains_key("_all", F.col("metric_key")), F.lit(False))
     return rows.select(
-        K, E, C, "metric_key", "comparator", "threshold",
+        K, E, C, "seq", "metric_key", "comparator", "threshold",
         F.when(missing_rule | missing_metric, "needsAction").when(ok, "passed").otherwise("failed")
         .alias("outcome"),
         F.when(missing_rule, "no-machine-criterion").when(missing_metric, "metric-absent").alias("reason"),
@@ -70,10 +70,9 @@ def evaluate_criteria(evidence: DataFrame, addresses: DataFrame, criterion: Data
     )
 
 
-def control_outcomes_last_wins(results: DataFrame, evidence: DataFrame) -> DataFrame:
+def control_outcomes_last_wins(results: DataFrame) -> DataFrame:
     """One outcome per (contract, control): the evidence latest in sequence decides."""
-    ordered = results.select(K, E, C, "outcome").join(evidence.select(K, E, "seq"), [K, E])
-    return ordered.groupBy(K, C).agg(F.max_by("outcome", F.struct("seq", E)).alias("outcome"))
+    return results.groupBy(K, C).agg(F.max_by("outcome", F.struct("seq", E)).alias("outcome"))
 
 
 def assertions(results: DataFrame) -> DataFrame:

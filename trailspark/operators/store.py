@@ -63,15 +63,13 @@ def put_blobs(incoming: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFra
     claimed = F.coalesce(F.col("hash"), actual) if "hash" in incoming.columns else actual
     rows = incoming.select(claimed.alias("hash"), actual.alias("actual"), "content", "kind")
     held = store.groupBy("hash").agg(F.min(F.sha2("content", 256)).alias("stored"))
-    checked = rows.join(held, "hash", "left")
+    # Equal hashes mean equal bytes, so any of the copies is the blob; copies combine
+    # before their bytes are shuffled.
+    unique = rows.filter(F.col("actual") == F.col("hash")).dropDuplicates(["hash"])
+    fresh = unique.join(held.select("hash"), "hash", "left_anti").select("hash", "kind", "content")
+    names = rows.select("hash", "actual", "kind").distinct().join(held, "hash", "left")
     wrong = (F.col("actual") != F.col("hash")) | F.coalesce(F.col("stored") != F.col("actual"), F.lit(False))
-    rejects = checked.filter(wrong).select("hash", "actual", "kind").distinct()
-    # Equal hashes mean equal bytes, so any of the copies is the blob.
-    fresh = (
-        checked.filter(~wrong & F.col("stored").isNull())
-        .dropDuplicates(["hash"]).select("hash", "kind", "content")
-    )
-    return fresh, rejects
+    return fresh, names.filter(wrong).select("hash", "actual", "kind")
 
 
 def verify_blobs(wanted: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -84,7 +82,7 @@ def verify_blobs(wanted: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def read_through(local: DataFrame, remote: DataFrame, key: str = "hash") -> tuple[DataFrame, DataFrame]:
     """Everything readable, and the remote rows to copy into the local tier."""
-    missing = remote.join(local.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    missing = remote.dropDuplicates([key]).join(local.select(key).distinct(), key, "left_anti")
     return local.unionByName(missing.select(*local.columns)), missing
 
 

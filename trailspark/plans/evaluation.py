@@ -19,11 +19,11 @@ def _results(p):
 
 
 def _outcomes(p):
-    return orc.control_outcomes_last_wins(_results(p), p.evidence)
+    return orc.control_outcomes_last_wins(_results(p))
 
 
 @query("O1_evaluate_criteria", """SELECT contract_id, evidence_id, control_id, metric_key, comparator, threshold, outcome, reason,
-  metric_value FROM criteria_result""")
+  metric_value, seq FROM criteria_result""")
 def _(p):
     return _results(p)
 
