@@ -23,7 +23,7 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_plan_has_no_python_and_no_products(spark, name):
-    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().analyzed().toString()
     for word in ("PythonUDF", "MapInPandas", "FlatMapGroups", "ArrowEval", "Join Cross"):
         assert word not in plan
 

@@ -10,12 +10,13 @@ from trailspark.operators import lookups as lk
 from trailspark.operators import gates as gt
 from trailspark.plans.catalog import _CHAIN
 from trailspark.plans.evaluation import _outcomes
-from trailspark.plans.registry import query
+from trailspark.plans.registry import query, shared
 from trailspark.plans.views import _LABEL
 
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
 
+@shared
 def _met(p):
     return au.met_attestations(p.attestation)
 
@@ -83,6 +84,7 @@ def _(p):
     return au.poam_control_ids(p.poam)
 
 
+@shared
 def _statuses(p):
     return au.control_statuses(p.order_control, p.control, _met(p), p.poam)
 
@@ -109,6 +111,7 @@ def compute_score(p):
     return au.compute_score(p.order_hdr, p.order_control, p.control, _met(p), p.poam)
 
 
+@shared
 def _report(p):
     return au.audit_report(
         p.order_hdr, p.order_control, p.control, p.module_claim, p.attestation, p.attestation_evidence,
@@ -145,10 +148,12 @@ def _(p):
 # -- bill of materials -------------------------------------------------------------
 
 
+@shared
 def _row_hashes(p):
     return bm.row_evidence(p.order_control, p.evidence, p.addresses, p.document_use)
 
 
+@shared
 def _rows(p):
     return bm.bom_rows(
         p.order_control, p.resource_control, _row_hashes(p), _outcomes(p), p.attestation, p.document_use
@@ -222,6 +227,7 @@ _DOCUMENT = """SELECT o.contract_id, '{"attestations": [' || coalesce(a.list, ''
       UNION ALL SELECT contract_id, '<none>', 'no-region-signal' FROM gate WHERE region_signals = 0) GROUP BY 1) f USING (contract_id)"""
 
 
+@shared
 def _documents(p):
     return bm.bom_documents(
         p.bom_order, _rows(p), p.attestation, p.evidence, _outcomes(p), p.module_hash, p.planned_resource,
@@ -234,6 +240,7 @@ def _(p):
     return _documents(p)
 
 
+@shared
 def _artifacts(p):
     return bm.artifact_hashes(p.bom_order, p.evidence, p.module_hash, _row_hashes(p))
 
@@ -265,6 +272,7 @@ def _(p):
     return bm.bom_facts(_documents(p), _rows(p), p.resource_control, _row_hashes(p))
 
 
+@shared
 def _vcrm(p):
     return bm.vcrm_matrix(
         p.order_control, p.module_claim, p.module, p.attestation, p.attestation_evidence, p.evidence,
@@ -298,6 +306,7 @@ def _(p):
     return bm.family_rollup(_rows(p), family)
 
 
+@shared
 def _coverage(p):
     return bm.catalog_coverage(p.control, p.module_claim, p.module)
 

@@ -12,7 +12,7 @@ from trailspark.operators import provenance as pv
 from trailspark.operators import validate as va
 from trailspark.plans.auditing import _documents, _met, _rows
 from trailspark.plans.evaluation import _outcomes, _results
-from trailspark.plans.registry import query
+from trailspark.plans.registry import query, shared
 
 _NONE = "CAST(NULL AS VARCHAR) AS contract_id"
 
@@ -205,6 +205,7 @@ def _(p):
     return va.backward_traceability_shape(p.attestation, p.attestation_evidence, p.addresses)
 
 
+@shared
 def _violations(p):
     return va.validate(
         va.poam_legality_shape(p.poam, p.control), va.contradiction_shape(p.attestation, p.assertion),
@@ -271,6 +272,7 @@ _ADHERENCE = """SELECT a.run_id, coalesce(e.n, 0) AS executed_steps, coalesce(o.
   LEFT JOIN (SELECT run_id, count(*) AS n FROM output_gap GROUP BY 1) u USING (run_id)"""
 
 
+@shared
 def _adherence(p):
     return pv.procedure_adherence(p.activity, *p.plan, p.realized)
 
@@ -353,6 +355,7 @@ def _(p):
     return pk.manifest_controls(_rows(p), p.attestation, refs)
 
 
+@shared
 def _package(p):
     """Every 5th manifest is unsigned, every 7th has a bad signature; files are lost or changed."""
     key = F.col("contract_id")

@@ -8,16 +8,18 @@ from trailspark.operators import attest as at
 from trailspark.operators import evidence as ev
 from trailspark.operators import lookups as lk
 from trailspark.operators import oracles as orc
-from trailspark.plans.registry import query
+from trailspark.plans.registry import query, shared
 from trailspark.plans.views import _LABEL
 
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
 
+@shared
 def _results(p):
     return orc.evaluate_criteria(p.evidence, p.addresses, p.criterion)
 
 
+@shared
 def _outcomes(p):
     return orc.control_outcomes_last_wins(_results(p))
 
@@ -97,6 +99,7 @@ _TRACK = f"""SELECT o.contract_id, o.control_id, v.reference_id, v.outcome, v.re
     WHERE c.contract_id = o.contract_id AND c.control_id = o.control_id AND c.outcome IN ('passed', 'failed'))"""
 
 
+@shared
 def _references(p):
     return orc.reference_pass(
         p.order_control, p.module_claim, p.module, p.reference, _outcomes(p), p.attestation_log, p.now
@@ -153,6 +156,7 @@ def _(p):
     return ev.reverify_evidence(p.evidence)
 
 
+@shared
 def _bound(p):
     return ev.bind_evidence(p.artifact, p.artifact_control)
 

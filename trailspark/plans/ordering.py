@@ -9,11 +9,12 @@ from trailspark.functions import vocab
 from trailspark.operators import evidence as ev
 from trailspark.operators import gates as gt
 from trailspark.operators import obligations as ob
-from trailspark.plans.registry import query
+from trailspark.plans.registry import query, shared
 
 _PART_ID = "^[0-9]+$"
 
 
+@shared
 def _resolve(p):
     return ob.resolve_obligations(
         p.obligation, p.obligation_derive, p.control, vocab.rules(p.spark), vocab.rule_tokens(p.spark), _PART_ID
@@ -109,6 +110,7 @@ def _(p):
     return ob.default_scope(p.obligation, ob.policy_markers(_resolve(p)[1]))
 
 
+@shared
 def _compiled(p):
     report = gt.gate_report(p.order_control, p.module_claim, p.module, p.control, p.order_module)
     return gt.compile_orders(p.order_hdr, p.order_control, p.order_module, report)
@@ -148,6 +150,7 @@ def _(p):
 # -- hashes of an order ------------------------------------------------------------
 
 
+@shared
 def _hashes(p):
     control_set = gt.control_set_hash(p.order_control)
     profile = ob.profile_hash(p.obligation, p.obligation_derive)

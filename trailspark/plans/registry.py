@@ -48,6 +48,18 @@ def plain(frame: DataFrame) -> DataFrame:
     return frame.select(*out)
 
 
+def shared(build: Callable):
+    """Build a helper's frame once per projection, however many parts of a query use it."""
+    key = f"{build.__module__}.{build.__name__}"
+
+    def once(p: Projection):
+        if key not in p.__dict__:
+            p.__dict__[key] = build(p)
+        return p.__dict__[key]
+
+    return once
+
+
 def query(name: str, sql: str | None = None):
     """Register a builder ``Projection -> DataFrame`` under ``name``."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailspark import schemas
 from trailspark.functions import vocab
 from trailspark.operators import store as st
-from trailspark.plans.registry import query
+from trailspark.plans.registry import query, shared
 from trailspark.sources import files
 
 _PROJECT = "traces"
@@ -37,6 +37,7 @@ def _(p):
     return st.quad_counts(p.quads, vocab.layers(p.spark))
 
 
+@shared
 def _held(p):
     """Blobs of every fifth document are stored already, some under a hash they do not have."""
     own = p.blob.filter("doc_id % 5 = 0 and doc_id % 41 <> 0").select(
@@ -102,12 +103,14 @@ def _(p):
     return _tiers(p)[1].select("hash")
 
 
+@shared
 def _tiers(p):
     blobs = p.blob.filter("doc_id % 41 <> 0")
     local = blobs.filter("doc_id % 3 = 0").select("hash", "content").dropDuplicates(["hash"])
     return st.read_through(local, blobs.select("hash", "content"))
 
 
+@shared
 def _commit(p):
     return st.commit_snapshot(p.snapshots, _PROJECT)
 
@@ -203,6 +206,7 @@ def _typed_quads(p):
     return rows.unionByName(claims)
 
 
+@shared
 def _tables(p):
     return files.quads_to_table(
         _typed_quads(p), "urn:term#Control",
