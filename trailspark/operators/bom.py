@@ -248,26 +248,23 @@ def verify_bom(boms: DataFrame, artifacts: DataFrame, blobs: DataFrame) -> DataF
 
 def bom_facts(documents: DataFrame, rows: DataFrame, resources: DataFrame, hashes: DataFrame) -> DataFrame:
     """The bill of materials as (contract, subject, fact, value) rows."""
-    head = documents.select(K, "bom_hash")
-    bom = F.concat(F.lit("BOM/"), "bom_hash")
-    node = F.concat(bom, F.lit("/mapping/"), F.col(C).cast("string"))
-    own = head.select(K, bom.alias("subject"), F.lit("bomHash").alias("fact"), F.col("bom_hash").alias("value"))
-
-    def per_control(frame, fact, value):
-        return frame.join(head, K).select(
-            K, node.alias("subject"), F.lit(fact).alias("fact"), value.cast("string").alias("value")
-        )
-
-    mapped = rows.join(head, K).select(
-        K, node.alias("subject"),
-        F.explode(F.create_map(F.lit("control"), F.col(C).cast("string"), F.lit("bomStatus"), F.col("status"),
-                               F.lit("evidenceBacking"), F.col("evidence_backing"))).alias("fact", "value"),
-    )
-    return (
-        own.unionByName(mapped)
-        .unionByName(per_control(resources, "resource", F.col("resource_id")))
-        .unionByName(per_control(hashes, "evidenceHash", F.col("content_hash")))
-    )
+    head = documents.select(K, "bom_hash", F.concat(F.lit("BOM/"), "bom_hash").alias("_bom"))
+    own = head.select(
+        K, F.col("_bom").alias("subject"), F.lit("bomHash").alias("fact"), F.col("bom_hash").alias("value")
+    )
+    shown = F.create_map(F.lit("control"), F.col(C).cast("string"), F.lit("bomStatus"), F.col("status"),
+                         F.lit("evidenceBacking"), F.col("evidence_backing"))
+    listed = lambda frame, fact, value: frame.select(
+        K, C, F.lit(fact).alias("fact"), F.col(value).cast("string").alias("value")
+    )
+    # All per-control facts first, so that the document hash is joined once.
+    facts = (
+        rows.select(K, C, F.explode(shown).alias("fact", "value"))
+        .unionByName(listed(resources, "resource", "resource_id"))
+        .unionByName(listed(hashes, "evidenceHash", "content_hash"))
+    )
+    subject = F.concat("_bom", F.lit("/mapping/"), F.col(C).cast("string"))
+    return own.unionByName(facts.join(head, K).select(K, subject.alias("subject"), "fact", "value"))
 
 
 # -- matrix ------------------------------------------------------------------------

@@ -267,7 +267,16 @@ def _(p):
     return bm.verify_bom(documents, artifacts, stored.unionByName(bad.distinct()))
 
 
-@query("B8_bom_facts", None)
+_HEAD = f"SELECT contract_id, 'BOM/' || sha256(document) AS bom, sha256(document) AS bom_hash FROM ({_DOCUMENT})"
+
+
+@query("B8_bom_facts", f"""SELECT contract_id, bom AS subject, 'bomHash' AS fact, bom_hash AS value FROM ({_HEAD})
+  UNION ALL SELECT h.contract_id, h.bom || '/mapping/' || f.control_id, f.fact, f.value FROM ({_HEAD}) h JOIN (
+    SELECT contract_id, control_id, unnest(['control', 'bomStatus', 'evidenceBacking']) AS fact,
+      unnest([CAST(control_id AS VARCHAR), status, evidence_backing]) AS value FROM bom_rows
+    UNION ALL SELECT contract_id, control_id, 'resource', resource_id FROM resource_control
+    UNION ALL SELECT contract_id, control_id, 'evidenceHash', content_hash FROM row_hashes JOIN order_control USING (contract_id, control_id)) f
+  ON f.contract_id = h.contract_id""")
 def _(p):
     return bm.bom_facts(_documents(p), _rows(p), p.resource_control, _row_hashes(p))
 

@@ -10,7 +10,8 @@ from trailspark.operators import lookups as lk
 from trailspark.operators import package as pk
 from trailspark.operators import provenance as pv
 from trailspark.operators import validate as va
-from trailspark.plans.auditing import _documents, _met, _rows
+from trailspark.plans.auditing import _DOCUMENT, _documents, _met, _rows
+from trailspark.plans.catalog import _REFS
 from trailspark.plans.evaluation import _outcomes, _results
 from trailspark.plans.registry import query, shared
 
@@ -336,7 +337,10 @@ def _(p):
 # -- audit package -----------------------------------------------------------------
 
 
-@query("B17_package_manifest", None)
+@query("B17_package_manifest", f"""SELECT d.contract_id, sha256(d.document) AS bom_hash, s.evidentiary_status, c.score, c.status AS score_status,
+  c.valid_submission, coalesce(c.contradictions, 0) AS contradictions, coalesce(m.met_by_machine, 0) AS machine,
+  coalesce(m.met_by_human_only, 0) AS human_only, a.ok AS procedure_ok FROM ({_DOCUMENT}) d LEFT JOIN evidentiary s USING (contract_id)
+  LEFT JOIN scores c USING (contract_id) LEFT JOIN split m USING (contract_id) LEFT JOIN ({_ADHERENCE}) a ON a.run_id = d.contract_id""")
 def _(p):
     """Run numbers stand for contracts in the adherence part."""
     from trailspark.operators.bom import evidentiary_status
@@ -349,7 +353,9 @@ def _(p):
     )
 
 
-@query("B17_manifest_controls", None)
+@query("B17_manifest_controls", f"""SELECT r.*, a.official, a.override_justification, a.override_evidence, x.reference_id AS policy, x.uri,
+  x.version, x.signature FROM bom_rows r LEFT JOIN attestation a ON a.contract_id = r.contract_id AND a.control_id = r.control_id
+  LEFT JOIN ({_REFS}) x ON x.control_id = r.control_id""")
 def _(p):
     refs = lk.control_references(p.module_claim, p.module, p.reference)
     return pk.manifest_controls(_rows(p), p.attestation, refs)
