@@ -6,6 +6,7 @@ are stated as they are. The control catalog itself is input data and is not here
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,45 +244,44 @@ def lookup(key: Column, table: dict) -> Column:
     return F.create_map(*pairs)[key]
 
 
+def fixed_table(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """A fixed table as a local relation: its size is known when joins are planned."""
+    columns = zip(*rows)
+    return spark.createDataFrame(pa.table({n: pa.array(list(c)) for n, c in zip(names, columns)}))
+
+
 def rules(spark: SparkSession) -> DataFrame:
     """Built-in rules as a table; append rows to extend them."""
-    return spark.createDataFrame(RULE_ROWS, "rule_name string, control_id string, marker string")
+    return fixed_table(spark, RULE_ROWS, "rule_name", "control_id", "marker")
 
 
 def rule_tokens(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOKEN_ROWS, "token string, rule_name string")
+    return fixed_table(spark, TOKEN_ROWS, "token", "rule_name")
 
 
 def clauses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CLAUSE_ROWS, "clause string, token string")
+    return fixed_table(spark, CLAUSE_ROWS, "clause", "token")
 
 
 def criteria(spark: SparkSession) -> DataFrame:
     """Built-in machine criteria as a table; append rows to extend them."""
-    return spark.createDataFrame(
-        CRITERION_ROWS,
-        "control_id string, metric_key string, comparator string, threshold string",
-    )
+    return fixed_table(spark, CRITERION_ROWS, "control_id", "metric_key", "comparator", "threshold")
 
 
 def policy_checks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        POLICY_CHECK_ROWS, "control_id string, metric_key string, threshold string"
-    )
+    return fixed_table(spark, POLICY_CHECK_ROWS, "control_id", "metric_key", "threshold")
 
 
 def plan_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Steps, (step, predecessor) and (step, variable) of the procedure."""
-    steps = spark.createDataFrame([(s,) for s, _, _ in PLAN_ROWS], "step string")
-    precedes = spark.createDataFrame(
-        [(s, p) for s, before, _ in PLAN_ROWS for p in before], "step string, predecessor string"
-    )
-    outputs = spark.createDataFrame(
-        [(s, v) for s, _, out in PLAN_ROWS for v in out], "step string, variable string"
+    steps = fixed_table(spark, [(s,) for s, _, _ in PLAN_ROWS], "step")
+    precedes = fixed_table(
+        spark, [(s, p) for s, before, _ in PLAN_ROWS for p in before], "step", "predecessor"
     )
+    outputs = fixed_table(spark, [(s, v) for s, _, out in PLAN_ROWS for v in out], "step", "variable")
     return steps, precedes, outputs
 
 
 def layers(spark: SparkSession) -> DataFrame:
     """The eight lifecycle layers with their display position."""
-    return spark.createDataFrame(list(enumerate(LAYERS)), "position int, graph string")
+    return fixed_table(spark, list(enumerate(LAYERS)), "position", "graph")

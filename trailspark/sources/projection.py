@@ -214,7 +214,7 @@ class Projection:
     def clause_rule(self) -> DataFrame:
         rows = [("1-URGENT", "A"), ("1-URGENT", "R"), ("2-HIGH", "R"), ("3-MEDIUM", "A"),
                 ("3-MEDIUM", "N"), ("3-MEDIUM", "R"), ("5-LOW", "N")]
-        return self.spark.createDataFrame(rows, "clause string, token string")
+        return vocab.fixed_table(self.spark, rows, "clause", "token")
 
     @cached_property
     def present_token(self) -> DataFrame:
@@ -431,11 +431,11 @@ class Projection:
     def plan(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The procedure the events follow: signup -> view -> click -> purchase."""
         steps = ("signup", "view", "click", "purchase")
-        make = self.spark.createDataFrame
+        spark = self.spark
         return (
-            make([(s,) for s in steps], "step string"),
-            make(list(zip(steps[1:], steps[:-1])), "step string, predecessor string"),
-            make([(s, f"var-{s}") for s in steps], "step string, variable string"),
+            vocab.fixed_table(spark, [(s,) for s in steps], "step"),
+            vocab.fixed_table(spark, list(zip(steps[1:], steps[:-1])), "step", "predecessor"),
+            vocab.fixed_table(spark, [(s, f"var-{s}") for s in steps], "step", "variable"),
         )
 
     # -- raw graph -------------------------------------------------------------------
