@@ -188,6 +188,6 @@ def test_property_tables(frame):
     assert rows(table) == [("<u:1>", "x")] and rows(bridges["m"], "m") == [("q",), ("r",)]
 
 
-def test_durable_uses_a_checkpoint(spark):
+def test_durable_writes_to_the_checkpoint_folder(spark):
     kept = durable(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert kept.count() == 5 and "Scan ExistingRDD" in kept._jdf.queryExecution().toString()
+    assert kept.count() == 5 and "Scan parquet" in kept._jdf.queryExecution().toString()

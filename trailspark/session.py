@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,17 +38,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; raises on a cluster that names none.
 
-    A result that several outputs read is computed once and survives executor
-    loss. ``spark.checkpoint.dir`` names the folder; only a session without one
-    (tests on one machine) gets a temporary folder.
+    Only a session whose executors are threads of this process (``local[n]``, as in
+    tests) gets a temporary folder of its own.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="trailspark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint(eager=False)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared checkpoint folder.
+
+    A result that several outputs read is computed once and survives executor loss.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
