@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, simhash
+from llm import bpe, decontaminate, simhash, warc
 from llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,19 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), bpe.vocabulary())
 
 
+@query("op8_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""")
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page through an ARC file and its WARC conversion."""
+    return warc.through_archives(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_decontamination", f"""
 WITH d AS (SELECT doc_id, {_BENCHMARK_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_BENCHMARK_WORDS} AS w FROM benchmark),
