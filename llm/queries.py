@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, language, neighbours, simhash, warc
+from llm import bpe, decontaminate, language, neighbours, simhash, toxicity, warc
 from llm.common import bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), bpe.vocabulary())
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from four buckets in five."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = bucket("doc_id", 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from two buckets in three."""
