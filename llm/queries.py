@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, language, neighbours, simhash, toxicity, warc
+from llm import bpe, decontaminate, language, neighbours, secrets, simhash, toxicity, warc
 from llm.common import bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,13 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The secrets in every document."""
+    docs = table(spark, folder, "documents")
+    return secrets.findings(docs, secrets.fit(docs))
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from two buckets in three."""
