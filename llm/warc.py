@@ -232,7 +232,8 @@ def convert(arc: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     light = durable(read_arc(arc, payloads=False).where("problem is null and page_id is not null").select("page_id", "payload_bytes", "payload_digest"))
     big = light.where(F.col("payload_bytes") >= min_bytes)
     first = big.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    copies = big.join(first, "payload_digest").where("page_id <> first").select("page_id", "payload_digest", "first").distinct()
+    # Written first: its size is then known, and where copies are few the payloads stay in place.
+    copies = durable(big.join(first, "payload_digest").where("page_id <> first").select("page_id", "payload_digest", "first").distinct())
     marked = read_arc(arc).where("problem is null").join(copies, ["page_id", "payload_digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
