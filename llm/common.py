@@ -42,12 +42,21 @@ def map_arrow(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return frame.mapInArrow(run, schema)
 
 
-def tree_sum(frame: DataFrame, combine: Callable[[bytes, bytes], bytes]) -> bytes | None:
-    """Combine the one ``state`` column of many rows in a tree, a few states at a time in any task."""
-    states = frame.rdd.map(lambda row: bytes(row[0]))
-    n = states.getNumPartitions()
-    depth = max(2, int(np.ceil(np.log(max(n, 2)) / np.log(16))))
-    return states.map(lambda s: (s,)).treeReduce(lambda a, b: (combine(a[0], b[0]),), depth)[0] if n and not frame.isEmpty() else None
+def tree_sum(frame: DataFrame, dtype: str = "<f8") -> np.ndarray | None:
+    """The sum of the packed vectors in a frame's one column, a few at a time in any task.
+
+    None where there is no row.
+    """
+    packed = frame.rdd.map(lambda row: np.frombuffer(bytes(row[0]), dtype))
+    n = packed.getNumPartitions()
+    if not n:
+        return None
+    depth = max(2, int(np.ceil(np.log(n) / np.log(16))))
+    return packed.treeAggregate(None, _add, _add, depth)
+
+
+def _add(a, b):
+    return b if a is None else a if b is None else a + b
 
 
 def hash64(values: np.ndarray) -> np.ndarray:

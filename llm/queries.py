@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, language, neighbours, secrets, simhash, toxicity, warc
-from llm.common import bucket, table
+from llm import bpe, decontaminate, language, lm, neighbours, secrets, simhash, toxicity, warc
+from llm.common import bucket, durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,18 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.findings(docs, secrets.fit(docs))
 
 
+@query("op5_lm")
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document, learned from six buckets in seven."""
+    docs = table(spark, folder, "documents")
+    held_out = bucket("doc_id", 7) == 2
+    known = docs.where(~held_out)
+    counts = durable(lm.word_counts(known))
+    vocab, net = lm.fit(known, counts)
+    return lm.score(docs, counts, vocab, net).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from two buckets in three."""
