@@ -268,17 +268,25 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
                      f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string", rows=256)
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, n_tokens, ids_sha256, decoded_sha256) of each text encoded and decoded again."""
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Rows (key, n_tokens, ids_sha256, decoded_sha256) of each text encoded and decoded again.
+
+    With ``keep_ids`` also the ids themselves, as an array.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = codec(path)
         ids = coder.encode_batch(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids]),
-        ], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = {
+            key: batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+        }
+        if keep_ids:
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return map_arrow(docs.select(key, F.col(text).cast("string").alias("#text")), run,
-                     f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=256)
+                     f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                     + ", ids array<int>" * keep_ids, rows=256)

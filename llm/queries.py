@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, language, lm, neighbours, secrets, simhash, toxicity, warc
+from llm import bpe, decontaminate, html, language, lm, neighbours, secrets, simhash, toxicity, warc
 from llm.common import bucket, durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,13 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), bpe.vocabulary())
 
 
+@query("op2_html")
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from four buckets in five."""

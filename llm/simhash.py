@@ -98,5 +98,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its group; rows without a key stay."""
-    kept = near_duplicates(docs, key, text, words, distance).where(F.col(key) != F.col("component_id"))
-    return docs.join(kept.select(key).distinct(), key, "left_anti")
+    gone = near_duplicates(docs, key, text, words, distance).where(F.col(key) != F.col("component_id"))
+    gone = durable(gone.select(F.col(key).alias("#key")).distinct())
+    return docs.join(gone, docs[key] == gone["#key"], "left_anti")
