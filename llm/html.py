@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from llm.common import map_arrow
 from llm.layouts import restyled
 
-#: Pages at most that the labeller learns from, chosen by hash; layouts made from each.
-FIT_PAGES, LAYOUTS = 1_200, 3
+#: Pages about that the labeller learns from, chosen by hash; layouts made from them, in turn.
+FIT_PAGES, LAYOUTS = 1_200, 3_600
 HIDDEN, PATH_DIM, WORD_DIM = 20, 20, 8
 PATH_SLOTS, WORD_SLOTS = 4_096, 8_192
 EPOCHS, LANES, RATE = 5, 48, 0.01
@@ -286,11 +286,11 @@ def taught(found: list[Block]) -> list[int] | None:
     return [int(any(m in _MAIN for m in b.path) and not any(m in _OTHER for m in b.path)) for b in found]
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = FIT_PAGES, seed: int = 9) -> Labeller:
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = FIT_PAGES, layouts: int = LAYOUTS, seed: int = 9) -> Labeller:
     """A labeller from about ``rows`` pages, chosen by a hash of the key.
 
     Pages whose tags say where the article is teach as they are, and lend their texts to
-    ``LAYOUTS`` made layouts each, under other tags, names and orders, with notices,
+    ``layouts`` made layouts, under other tags, names and orders, with notices,
     sidebars, forms, adverts and comments. The driver gets the chosen pages' texts.
     """
     step = max(1, -(-pages.count() // rows))
@@ -307,15 +307,14 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int =
     texts = [t for t in texts if t] or [["A heading of some length", "Words make a line, and lines make a paragraph of this page. More of them follow here."] * 3] * 20
     # Other parts borrow lines of articles too, so that wording alone gives nothing away.
     rest += [line for own in texts for line in own[:3]]
-    for own in texts:
-        for _ in range(LAYOUTS):
-            page, wanted = restyled(rng, own, rest)
-            found = blocks(page)
-            # Made texts carry a mark at their end that tells what they are.
-            labels = [int(b.text.endswith(wanted)) for b in found]
-            for b in found:
-                b.text = b.text.replace(wanted, "").strip() or "."
-            examples.append((found, labels))
+    for k in range(layouts):
+        page, wanted = restyled(rng, texts[k % len(texts)], rest)
+        found = blocks(page)
+        # Made texts carry a mark at their end that tells what they are.
+        labels = [int(b.text.endswith(wanted)) for b in found]
+        for b in found:
+            b.text = b.text.replace(wanted, "").strip() or "."
+        examples.append((found, labels))
     return train(examples)
 
 

@@ -114,7 +114,7 @@ def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, see
                 children[parent][side] = node
         roots.append(root)
     width = sample.shape[1] if sample.ndim == 2 else 0
-    return Forest(np.array(normals).reshape(-1, width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, leaves)
+    return Forest(np.array(normals).reshape(len(normals), width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, leaves)
 
 
 def _unpack(cells, dtype: str) -> np.ndarray:
