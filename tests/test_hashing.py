@@ -54,32 +54,27 @@ def lines(frame):
     return frame("k string, line string", *hot, ("cold", "b"), ("cold", "a"), ("cold", "a"))
 
 
-def test_group_digest_is_plain_within_the_limit(frame):
-    got = dict(rows(gr.group_digest(lines(frame), ["k"], F.col("line"), "d", tail="\n")))
-    assert got["cold"] == sha("a\nb\n")
-    assert got["hot"] == sha("\n".join(f"line{i:03d}" for i in range(300)) + "\n")
+def tree(lines):
+    """The group hash, written plainly."""
+    leaves = {}
+    for line in set(lines):
+        leaves.setdefault(sha(line)[:4], []).append(line)
+    return sha("\n".join(sorted(sha("\n".join(sorted(own))) for own in leaves.values())))
 
 
-def test_hot_group_is_split_and_still_tied_to_every_line(frame):
-    data = lines(frame)
-    parts = gr.with_parts(data, ["k"], F.col("line"), limit=20).groupBy("k", "part").count().collect()
-    assert max(r["count"] for r in parts) <= 20 and sum(r["count"] for r in parts) == 303
-    digest = lambda df: dict(rows(gr.group_digest(df, ["k"], F.col("line"), "d", limit=20)))
-    first = digest(data)
-    assert first == digest(data.repartition(7)) and first["cold"] == sha("a\nb")
-    assert digest(data.filter("line <> 'line123'"))["hot"] != first["hot"]
-
-
-def test_member_lists_keep_every_member_once(frame):
-    got = gr.member_lists(lines(frame), ["k"], {"m": F.col("line")}, limit=20).collect()
-    hot = [m for r in got if r["k"] == "hot" for m in r["m"]]
-    assert sorted(hot) == [f"line{i:03d}" for i in range(300)]
-    assert [(r["part"], r["m"]) for r in got if r["k"] == "cold"] == [(0, ["a", "b"])]
+def test_group_digest_is_one_formula_for_every_size(spark, frame):
+    digest = lambda df: dict(rows(gr.group_digest(df, ["k"], F.col("line"), "d")))
+    got = digest(lines(frame))
+    assert got == {"cold": tree(["a", "b"]), "hot": tree([f"line{i:03d}" for i in range(300)])}
+    assert got == digest(lines(frame).repartition(7))
+    assert digest(lines(frame).filter("line <> 'line123'"))["hot"] != got["hot"]
+    many = spark.range(300_000).selectExpr("IF(id = 0, 'one', 'many') AS k", "CAST(id AS STRING) AS line")
+    assert digest(many) == {"one": tree(["0"]), "many": tree([str(i) for i in range(1, 300_000)])}
 
 
 def test_repeated_lines_count_when_asked(frame):
-    got = gr.group_text(lines(frame).filter("k = 'cold'"), ["k"], F.col("line"), "t", joiner=",", repeats=True)
-    assert got.first()["t"] == "a,a,b"
+    got = gr.group_digest(lines(frame).filter("k = 'cold'"), ["k"], F.col("line"), "t", repeats=True)
+    assert got.first()["t"] == tree(["2 a", "1 b"])
 
 
 # -- evidence and orders ---------------------------------------------------------------
@@ -112,21 +107,21 @@ def test_binding_is_idempotent(frame):
 
 def test_order_and_profile_hashes(spark, frame):
     required = frame("contract_id string, control_id string", ("K", "b"), ("K", "a"))
-    assert gt.control_set_hash(required).first()["control_set_hash"] == sha(json.dumps({"controls": ["a", "b"]}))
+    assert gt.control_set_hash(required).first()["control_set_hash"] == tree(["a", "b"])
     from trailspark.operators import obligations as ob
     hashed = ob.profile_hash(
         frame("contract_id string, name string, obligation_type string, data_marker string, source_ref string", ("K", "o2", "data", "CUI", None), ("K", "o1", "hosting", None, "§7")),
         frame("contract_id string, name string, token string", ("K", "o2", "z"), ("K", "o2", "y")))
-    want = {"o2": {"type": "data", "data_marker": "CUI", "source_ref": None, "derives": ["y", "z"]},
-            "o1": {"type": "hosting", "data_marker": None, "source_ref": "§7", "derives": []}}
-    assert hashed.first()["cop_hash"] == sha(json.dumps(want, sort_keys=True))
+    body = lambda *v: json.dumps(dict(zip(("type", "data_marker", "source_ref"), v)), sort_keys=True, ensure_ascii=True)
+    assert hashed.first()["cop_hash"] == tree([
+        '"o2": ' + body("data", "CUI", None), '"o1": ' + body("hosting", None, "§7"), '"o2" derives "z"', '"o2" derives "y"'])
 
 
 def test_module_description_inlines_owned_nodes(frame):
     facts = frame("module_id string, s string, p string, o string", ("m", "<m>", "<l>", '"x"'), ("m", "<m>", "<own>", "_:1"), ("m", "<m>", "<own>", "_:2"))
     nodes = frame("node string, p string, o string", ("_:1", "<t>", "<S>"), ("_:2", "<t>", "<S>"), ("_:1", "<r>", "<c>"))
-    want = sorted(['<m> <l> "x" .', "<m> <own>/<t> <S> .", "<m> <own>/<t> <S> .", "<m> <own>/<r> <c> ."])
-    assert ev.module_description_hash(facts, nodes).first()["module_hash"] == sha("\n".join(want))
+    want = ['1 <m> <l> "x" .', "2 <m> <own>/<t> <S> .", "1 <m> <own>/<r> <c> ."]
+    assert ev.module_description_hash(facts, nodes).first()["module_hash"] == tree(want)
 
 
 def test_record_hash(frame):
@@ -149,7 +144,7 @@ def test_backing(frame, outcome, oracle, held, documented, backing):
     assert row.select(bm.evidence_backing(*[F.col(c) for c in "abcd"])).first()[0] == backing
 
 
-def test_bom_document_is_canonical_json(frame):
+def test_bom_document_rows_and_hash(frame):
     k, kc = "contract_id string", "contract_id string, control_id string"
     signed = frame(kc + ", outcome string, official string, override_justification string, override_evidence string",
                    ("K", "b", "passed", "Zoë", None, None), ("K", "a", "failed", "Zoë", None, None))
@@ -160,14 +155,22 @@ def test_bom_document_is_canonical_json(frame):
     orders = frame(k + ", order_hash string, state_hash string, tier string, impact_level string, standard string", ("K", "oh", None, "Tier1", "IL4", "S"))
     planned = frame(k + ", resource_id string, region string", ("K", "r1", "us-east1"), ("K", "r2", "eu"))
     evidence = frame(k + ", content_hash string, evidentiary_status string", ("K", "h1", "real"))
-    got = bm.bom_documents(orders, table, signed, evidence, outcomes, frame(k + ", module_id string, module_hash string", ("K", "m", "mh")),
-                           planned, gt.residency_findings(planned), gt.residency_gate(planned)).first()
-    document = json.loads(got["document"])
-    assert got["document"] == json.dumps(document, sort_keys=True) and got["bom_hash"] == sha(got["document"])
-    assert [r["control_id"] for r in document["control_mapping"]] == ["a", "b", "c"]
-    assert document["control_mapping"][1]["resource_ids"] == ["r1", "r2"]
-    assert document["policy"] == {"findings": ["criterion-failed:ITAR-120.54", "region-not-us"], "passed": False}
-    assert document["attestations"][0]["official"] == "Zoë" and document["evidentiary_status"] == "real"
+    resources, hashes = empty, frame(kc + ", content_hash string", ("K", "b", "h1"))
+    document = bm.bom_document(orders, table, resources, hashes, signed, evidence, outcomes, frame(k + ", module_id string, module_hash string", ("K", "m", "mh")),
+                               planned, gt.residency_findings(planned), gt.residency_gate(planned))
+    got = {(r["section"], r["key"], r["value"]) for r in document.collect()}
+    assert {key for section, key, _ in got if section == "control"} == {"a", "b", "c"}
+    assert {v for section, key, v in got if (section, key) == ("control_resource", "b")} == {"r1", "r2"}
+    assert {v for section, _, v in got if section == "finding"} == {"criterion-failed:ITAR-120.54", "region-not-us"}
+    head = {key: v for section, key, v in got if section == "order"}
+    assert (head["order_hash"], head["state_hash"], head["policy_passed"], head["evidentiary_status"]) == ("oh", "", "false", "real")
+    assert all(json.loads(v) for section, _, v in got if section in ("control", "attestation"))
+    assert bm.document_hash(document).first()["bom_hash"] == tree(["\t".join(x) for x in got])
+    boms, none = bm.document_hash(document), frame(k + ", hash string")
+    blobs = frame("hash string, content binary")
+    assert rows(bm.verify_bom(boms, document, none, blobs), "verified") == [(True,)]
+    assert rows(bm.verify_bom(boms, document.filter("key <> 'tier'"), none, blobs), "verified") == [(False,)]
+    assert rows(bm.verify_bom(boms, document.limit(0), none, blobs), "document_ok") == [(False,)]
 
 
 def test_weakest_status_wins(frame):
@@ -194,8 +197,8 @@ def test_versions_append_and_resolve(frame):
     snap = "ref string, seq long, graph string, line string"
     one = frame(snap, ("main", 0, "g", "<a> <b> <c> ."), ("main", 0, "g", "<a> <b> <b> ."), ("main", 0, "h", "<x> <y> <z> ."))
     commits, objects = st.commit_snapshot(one, "p")
-    g, h = sha("<a> <b> <b> .\n<a> <b> <c> .\n"), sha("<x> <y> <z> .\n")
-    version = sha(json.dumps({"project": "p", "ref": "main", "graphs": {"g": g, "h": h}}, sort_keys=True))
+    g, h = tree(["<a> <b> <b> .", "<a> <b> <c> ."]), tree(["<x> <y> <z> ."])
+    version = sha(json.dumps({"project": "p", "ref": "main", "graphs": tree([f"g {g}", f"h {h}"])}, sort_keys=True))
     assert rows(commits, "graph", "graph_hash", "version") == [("g", g, version), ("h", h, version)]
     again, more = st.commit_snapshot(one, "p", commits, objects)
     assert more.count() == 0 and rows(again, "seq", "version") == [(1, version)] * 2

@@ -178,7 +178,7 @@ def test_obligation_resolution(spark, frame):
     for name, control, marker in rows(resolved, "name", "control_id", "marker"):
         by_name.setdefault(name, set()).add(control or marker)
     assert by_name == {
-        "OBL-CMMC-L2": set(CAT), "OBL-ITAR": {"SC.L2-3.13.11", "US-PERSON", "RESIDENCY", "E2E-CUI-BOUNDARY"},
+        "OBL-CMMC-L2": {"*"}, "OBL-ITAR": {"SC.L2-3.13.11", "US-PERSON", "RESIDENCY", "E2E-CUI-BOUNDARY"},
         "tokened": {"TIER1-SCOPE"}, "explicit": {"AC.L2-3.1.1", "US-PERSON"}}
     affirmed, verdict = ob.profile_signoff(status)
     assert rows(affirmed, "name") == [("report",)]

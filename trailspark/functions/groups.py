@@ -1,10 +1,9 @@
-"""Gathering a group's rows as text or lists without assuming the group is small.
+"""One hash for a group of lines, by the same formula whatever the group's size.
 
-A hash over a whole group, or a list of its members, has to bring the group together.
-One key may own a third of all rows, so a group above ``GROUP_LIMIT`` rows is split by
-a hash of its members and handled part by part; no task ever holds more than one
-part, and no row is dropped. Groups within the limit give the plain value. The limit
-counts rows, so callers pass rows without repeats.
+Lines are dealt to leaves by the first four hex digits of their own SHA-256. A leaf's
+digest is the SHA-256 of its sorted distinct lines, joined by newlines; the group's is the
+SHA-256 of its sorted leaf digests, joined by newlines. A task holds one leaf of a group,
+or the digests of a group's leaves (65,536 at most), never all lines of a hot group.
 """
 
 from __future__ import annotations
@@ -16,105 +15,24 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.text import sha256
 
-# Most rows gathered into one array.
-GROUP_LIMIT = 200_000
 
+def group_digest(rows: DataFrame, keys: Sequence[str], line: Column, out: str, *, repeats: bool = False) -> DataFrame:
+    """The hash of each group's lines as ``out``.
 
-def with_parts(
-    rows: DataFrame, keys: Sequence[str], member: Column, limit: int = GROUP_LIMIT,
-    size: Column | None = None,
-) -> DataFrame:
-    """Add ``part``: 0 in groups within the limit, else 1..n by a hash of the member.
-
-    Counting combines map-side. At most rows/limit groups are over the limit; AQE
-    picks how that small side is joined from its measured size.
-    """
-    counted = F.count(F.lit(1)) if size is None else F.sum(size)
-    oversized = rows.groupBy(*keys).agg(counted.alias("_size")).filter(F.col("_size") > limit)
-    parts = F.ceil(F.col("_size") * 2 / limit)
-    part = F.coalesce(F.pmod(F.xxhash64(member), parts) + 1, F.lit(0).cast("bigint"))
-    return rows.join(oversized, list(keys), "left").withColumn("part", part).drop("_size")
-
-
-def member_lists(
-    rows: DataFrame, keys: Sequence[str], lists: dict[str, Column], limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Sorted distinct members per group and part, one array column per entry.
-
-    A group within the limit gives one row (part 0). A larger one gives several rows
-    whose arrays together hold every member once.
-    """
-    member = F.struct(*[value.alias(name) for name, value in lists.items()])
-    return (
-        with_parts(rows, keys, member, limit)
-        .groupBy(*keys, "part")
-        .agg(*[F.array_sort(F.collect_set(v)).alias(name) for name, v in lists.items()])
-    )
-
-
-def group_text(
-    rows: DataFrame,
-    keys: Sequence[str],
-    line: Column,
-    out: str,
-    *,
-    order: Column | None = None,
-    joiner: str = "\n",
-    repeats: bool = False,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Lines of each group, sorted (by ``order`` first) and joined, as ``out``.
-
-    Equal lines are kept once, or with ``repeats`` as often as they come.
-    A group above the limit gives ``tree:<sha256>`` over its parts' digests instead of
-    the joined text: a stand-in that is equally tied to every line, for text too long
-    to exist in one value.
+    Equal lines count once; with ``repeats`` a line is led by the number of times it comes.
     """
-    entry = F.struct(
-        *([order.alias("o")] if order is not None else []), line.alias("line")
-    )
-    rows, size = rows.select(*keys, entry.alias("_entry")), None
+    lines = rows.select(*keys, line.alias("_line"))
     if repeats:
-        rows, size = rows.groupBy(*keys, "_entry").agg(F.count(F.lit(1)).alias("_n")), F.col("_n")
-    parts = with_parts(rows, keys, F.col("_entry"), limit, size)
-    flat = F.col("part") == 0
-    if repeats:
-        member = F.struct("_entry", "_n")
-        copies = F.flatten(F.transform(
-            "_entries", lambda e: F.array_repeat(e["_entry"]["line"], e["_n"].cast("int"))
-        ))
-        counted = F.transform("_entries", lambda e: F.concat_ws(" ", e["_n"], e["_entry"]["line"]))
-        lines = F.when(flat, copies).otherwise(counted)
-    else:
-        member, lines = F.col("_entry"), F.col("_entries.line")
-    text = F.array_join(lines, joiner)
-    parts = (
-        parts.groupBy(*keys, "part").agg(F.array_sort(F.collect_set(member)).alias("_entries"))
-        .select(*keys, "part", F.when(flat, text).otherwise(sha256(text)).alias("_text"))
-    )
-    tree = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("part", "_text"))), lambda p: p["_text"]
-        ),
-        "\n",
-    )
-    return parts.groupBy(*keys).agg(
-        F.when(F.max("part") == 0, F.max("_text"))
-        .otherwise(F.concat(F.lit("tree:"), sha256(tree)))
-        .alias(out)
-    )
-
-
-def group_digest(
-    rows: DataFrame,
-    keys: Sequence[str],
-    line: Column,
-    out: str,
-    *,
-    head: str = "",
-    tail: str = "",
-    **how,
-) -> DataFrame:
-    """SHA-256 of each group's sorted distinct lines between ``head`` and ``tail``."""
-    text = group_text(rows, keys, line, "_all", **how)
-    return text.select(*keys, sha256(F.concat(F.lit(head), F.col("_all"), F.lit(tail))).alias(out))
+        lines = lines.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_n")).select(
+            *keys, F.concat_ws(" ", F.col("_n").cast("string"), "_line").alias("_line"))
+    joined = lambda name: sha256(F.array_join(F.array_sort(F.collect_set(name)), "\n"))
+    leaf = F.substring(sha256(F.col("_line")), 1, 4)
+    leaves = lines.groupBy(*keys, leaf.alias("_leaf")).agg(joined("_line").alias("_digest"))
+    return leaves.groupBy(*keys).agg(joined("_digest").alias(out))
+
+
+def digest_sql(source: str, keys: str, out: str) -> str:
+    """The same in SQL. ``source`` gives the keys and ``line``."""
+    return f"""SELECT {keys}, sha256(string_agg(leaf, chr(10) ORDER BY leaf)) AS {out} FROM (
+    SELECT {keys}, sha256(string_agg(line, chr(10) ORDER BY line)) AS leaf FROM (SELECT DISTINCT {keys}, line FROM ({source}))
+    GROUP BY {keys}, substr(sha256(line), 1, 4)) GROUP BY {keys}"""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import GROUP_LIMIT, group_text
 
 K, C, E = "contract_id", "control_id", "evidence_id"
 
@@ -150,14 +149,9 @@ def status_labels(attestation: DataFrame) -> DataFrame:
     return attestation.select(K, "att_id", C, tx.status_label(F.col("outcome"), "NOT MET").alias("status"))
 
 
-def attestation_detail(
-    attestation: DataFrame, attestation_evidence: DataFrame, limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """One row per sign-off with its cited evidence joined by '|'."""
-    cited = group_text(
-        attestation_evidence.select(K, "att_id", E).distinct(), [K, "att_id"], F.col(E).cast("string"),
-        "evidence", joiner="|", limit=limit,
-    )
+def attestation_detail(attestation: DataFrame, attestation_evidence: DataFrame) -> DataFrame:
+    """One row per sign-off and evidence it cites; null evidence where it cites none."""
+    cited = attestation_evidence.select(K, "att_id", E).distinct()
     whole = attestation.filter(
         F.col("official").isNotNull() & F.col("adequacy").isNotNull() & F.col("sufficiency").isNotNull()
     )
@@ -165,5 +159,5 @@ def attestation_detail(
         K, "att_id", C, "official", "adequacy", "sufficiency",
         tx.local_name(F.col("outcome")).alias("outcome_short"), "mode", "generated_at",
         F.col("override_justification").alias("override"), "override_evidence", "oracle_outcome",
-        "document_evidence", F.coalesce("evidence", F.lit("")).alias("evidence"),
+        "document_evidence", E,
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import GROUP_LIMIT, group_text, member_lists
+from trailspark.functions.groups import group_digest
 from trailspark.operators.lookups import is_attested_method, is_inherited_method
 
 K, C, E, M = "contract_id", "control_id", "evidence_id", "module_id"
@@ -53,21 +53,20 @@ def row_resources(required: DataFrame, resource_control: DataFrame) -> DataFrame
 
 def bom_rows(
     required: DataFrame, resources: DataFrame, hashes: DataFrame, outcomes: DataFrame,
-    attestation: DataFrame, documents: DataFrame | None = None, limit: int = GROUP_LIMIT,
+    attestation: DataFrame, documents: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per required control with its sorted resource ids and evidence hashes.
+    """One row per required control; ``resources`` and ``hashes`` list what it counts.
 
-    Lists are JSON text. ``outcomes``: contract_id, control_id, outcome. ``documents``:
-    contract_id, control_id, reference_id, sha256, git_commit, git_committed_at, outcome.
+    ``resources``: contract_id, control_id, resource_id; ``hashes``: contract_id,
+    control_id, content_hash, both without repeats. ``outcomes``: contract_id,
+    control_id, outcome. ``documents``: contract_id, control_id, reference_id, sha256,
+    git_commit, git_committed_at, outcome.
     """
-    quoted = lambda rows, value, out: group_text(
-        rows, [K, C], tx.json_text(F.col(value).cast("string")), out,
-        order=F.col(value).cast("string"), joiner=", ", limit=limit,
-    )
+    count = lambda rows, out: rows.groupBy(K, C).agg(F.count(F.lit(1)).alias(out))
     rows = (
         required.select(K, C)
-        .join(quoted(resources, "resource_id", "_resources"), [K, C], "left")
-        .join(quoted(hashes, "content_hash", "_hashes"), [K, C], "left")
+        .join(count(resources, "resources"), [K, C], "left")
+        .join(count(hashes, "hashes"), [K, C], "left")
         .join(outcomes.select(K, C, F.col("outcome").alias("oracle_outcome")), [K, C], "left")
         .join(attestation.select(K, C, F.col("outcome").alias("attestation_outcome")), [K, C], "left")
     )
@@ -83,13 +82,13 @@ def bom_rows(
             "git_committed_at", (F.col("outcome") == "passed").alias("_documented"),
         )
         rows = rows.join(found, [K, C], "left")
-    boxed = lambda c: F.concat(F.lit("["), F.coalesce(F.col(c), F.lit("")), F.lit("]"))
+    zero = F.lit(0).cast("bigint")
     return rows.select(
-        K, C, boxed("_resources").alias("resource_ids"), boxed("_hashes").alias("evidence_hashes"),
+        K, C, F.coalesce("resources", zero).alias("resources"), F.coalesce("hashes", zero).alias("hashes"),
         "oracle_outcome", "attestation_outcome",
         tx.status_label(F.col("attestation_outcome"), "NOT MET").alias("status"),
         evidence_backing(
-            F.col("attestation_outcome"), F.col("oracle_outcome"), F.col("_hashes").isNotNull(),
+            F.col("attestation_outcome"), F.col("oracle_outcome"), F.col("hashes") > 0,
             F.col("_documented"),
         ).alias("evidence_backing"),
         "reference_id", "git_commit", "git_committed_at",
@@ -139,81 +138,59 @@ def row_json() -> Column:
         ("attestation_outcome", text("attestation_outcome")),
         ("control_id", text(C)),
         ("evidence_backing", text("evidence_backing")),
-        ("evidence_hashes", F.col("evidence_hashes")),
         ("git_commit", text("git_commit")),
         ("git_committed_at", text("git_committed_at")),
         ("oracle_outcome", text("oracle_outcome")),
         ("reference_id", text("reference_id")),
-        ("resource_ids", F.col("resource_ids")),
         ("status", text("status")),
     )
 
 
-def bom_documents(
-    orders: DataFrame, rows: DataFrame, attestation: DataFrame, evidence: DataFrame,
-    outcomes: DataFrame, module_hash: DataFrame, planned: DataFrame, findings: DataFrame,
-    gate: DataFrame, limit: int = GROUP_LIMIT,
+def bom_document(
+    orders: DataFrame, rows: DataFrame, resources: DataFrame, hashes: DataFrame, attestation: DataFrame,
+    evidence: DataFrame, outcomes: DataFrame, module_hash: DataFrame, planned: DataFrame,
+    findings: DataFrame, gate: DataFrame,
 ) -> DataFrame:
-    """Canonical JSON document per contract, and its hash.
+    """The bill of materials of each contract as distinct rows (contract, section, key, value).
 
     ``orders``: contract_id, order_hash, state_hash, tier, impact_level, standard.
-    Each section is gathered on its own; a section above the limit is represented by
-    the digest of its parts.
     """
-    def section(frame, line, order, out):
-        return group_text(frame, [K], line, out, order=order, joiner=", ", limit=limit)
-
-    text = lambda name: F.col(name).cast("string")
-    quoted = lambda name: tx.json_text(text(name))
-    pair = lambda key, value: F.concat(quoted(key), F.lit(": "), quoted(value))
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    part = lambda frame, section, key, value: frame.select(
+        K, F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
     signoff = tx.json_object(
-        ("control_id", quoted(C)),
         ("official", tx.json_text(F.coalesce("official", F.lit("")))),
         ("outcome", tx.json_text(F.coalesce("outcome", F.lit("")))),
-        ("override_evidence", quoted("override_evidence")),
-        ("override_justification", quoted("override_justification")),
+        ("override_evidence", tx.json_text(F.col("override_evidence"))),
+        ("override_justification", tx.json_text(F.col("override_justification"))),
         ("role", F.lit(f'"{vocab.BOM_ROLE}"')),
     )
-    sections = (
-        section(attestation, signoff, F.struct(text(C), F.coalesce("official", F.lit(""))), "_attestations"),
-        section(rows, row_json(), text(C), "_mapping"),
-        section(evidence.select(K, "content_hash").distinct(), quoted("content_hash"), text("content_hash"), "_evidence"),
-        section(module_hash, pair(M, "module_hash"), text(M), "_modules"),
-        section(outcomes, pair(C, "outcome"), text(C), "_oracles"),
-        section(planned.select(K, "resource_id").distinct(), quoted("resource_id"), text("resource_id"), "_plan"),
-        section(findings.select(K, "resource_id", "finding").distinct(), quoted("finding"),
-                F.struct(text("finding"), text("resource_id")), "_findings"),
-    )
-    out = orders.join(evidentiary_status(orders, evidence), K).join(
-        gate.select(K, F.col("passed").alias("_passed")), K, "left"
-    )
-    for part in sections:
-        out = out.join(part, K, "left")
-    held = lambda name, left, right: F.concat(
-        F.lit(left), F.coalesce(F.col(name), F.lit("")), F.lit(right)
-    )
-    policy = tx.json_object(
-        ("findings", held("_findings", "[", "]")),
-        ("passed", tx.json_bool(F.coalesce("_passed", F.lit(False)))),
-    )
-    document = tx.json_object(
-        ("attestations", held("_attestations", "[", "]")),
-        ("contract_id", quoted(K)),
-        ("control_mapping", held("_mapping", "[", "]")),
-        ("evidence_hashes", held("_evidence", "[", "]")),
-        ("evidentiary_status", quoted("evidentiary_status")),
-        ("impact_level", quoted("impact_level")),
-        ("module_hashes", held("_modules", "{", "}")),
-        ("oracle_outcomes", held("_oracles", "{", "}")),
-        ("order_hash", quoted("order_hash")),
-        ("plan_resource_ids", held("_plan", "[", "]")),
-        ("policy", policy),
-        ("schema", F.lit(f'"{vocab.BOM_SCHEMA}"')),
-        ("standard", quoted("standard")),
-        ("state_hash", quoted("state_hash")),
-        ("tier", quoted("tier")),
+    head = orders.join(evidentiary_status(orders, evidence), K).join(gate.select(K, "passed"), K, "left")
+    shown = F.create_map(*[x for name in ("order_hash", "state_hash", "tier", "impact_level", "standard", "evidentiary_status")
+                           for x in (F.lit(name), text(name))],
+                         F.lit("schema"), F.lit(vocab.BOM_SCHEMA),
+                         F.lit("policy_passed"), tx.json_bool(F.coalesce("passed", F.lit(False))))
+    parts = (
+        head.select(K, F.lit("order").alias("section"), F.explode(shown).alias("key", "value")),
+        part(attestation, "attestation", text(C), signoff),
+        part(rows, "control", text(C), row_json()),
+        part(resources.join(rows.select(K, C), [K, C], "left_semi"), "control_resource", text(C), text("resource_id")),
+        part(hashes, "control_evidence", text(C), text("content_hash")),
+        part(evidence, "evidence", text("content_hash"), F.lit("")),
+        part(module_hash, "module", text(M), text("module_hash")),
+        part(outcomes, "oracle", text(C), text("outcome")),
+        part(planned, "plan", text("resource_id"), F.lit("")),
+        part(findings, "finding", text("resource_id"), text("finding")),
     )
-    return out.select(K, document.alias("document")).withColumn("bom_hash", tx.sha256(F.col("document")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def document_hash(document: DataFrame) -> DataFrame:
+    """The hash of each contract's bill of materials, from its rows in any order."""
+    return group_digest(document, [K], F.concat_ws("\t", "section", "key", "value"), "bom_hash")
 
 
 def artifact_hashes(orders: DataFrame, evidence: DataFrame, module_hash: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -227,110 +204,103 @@ def artifact_hashes(orders: DataFrame, evidence: DataFrame, module_hash: DataFra
     return out.filter(F.coalesce("hash", F.lit("")) != "").distinct()
 
 
-def verify_bom(boms: DataFrame, artifacts: DataFrame, blobs: DataFrame) -> DataFrame:
+def verify_bom(boms: DataFrame, stored: DataFrame, artifacts: DataFrame, blobs: DataFrame) -> DataFrame:
     """A stored document must re-hash, and so must each artifact that is stored at all.
 
-    ``boms``: contract_id, bom_hash; ``artifacts``: contract_id, hash; ``blobs``: hash,
-    content BINARY.
+    ``boms``: contract_id, bom_hash; ``stored``: rows of the stored documents;
+    ``artifacts``: contract_id, hash; ``blobs``: hash, content BINARY.
     """
     checked = blobs.groupBy("hash").agg(F.bool_and(F.sha2("content", 256) == F.col("hash")).alias("_ok"))
-    stored = boms.join(checked, boms["bom_hash"] == checked["hash"], "left").select(
-        K, F.coalesce("_ok", F.lit(False)).alias("_bom_ok")
-    )
+    found = document_hash(stored).select(K, F.col("bom_hash").alias("_found"))
     bad = artifacts.join(checked.filter(~F.col("_ok")), "hash", "left_semi").groupBy(K).agg(
         F.count(F.lit(1)).alias("_bad")
     )
-    return stored.join(bad, K, "left").select(
-        K, (F.col("_bom_ok") & F.col("_bad").isNull()).alias("verified"),
-        F.col("_bom_ok").alias("document_ok"), F.coalesce("_bad", F.lit(0)).alias("tampered_artifacts"),
+    same = F.coalesce(F.col("bom_hash") == F.col("_found"), F.lit(False))
+    return boms.select(K, "bom_hash").join(found, K, "left").join(bad, K, "left").select(
+        K, (same & F.col("_bad").isNull()).alias("verified"),
+        same.alias("document_ok"), F.coalesce("_bad", F.lit(0)).alias("tampered_artifacts"),
     )
 
 
-def bom_facts(documents: DataFrame, rows: DataFrame, resources: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The bill of materials as (contract, subject, fact, value) rows."""
-    head = documents.select(K, "bom_hash", F.concat(F.lit("BOM/"), "bom_hash").alias("_bom"))
-    own = head.select(
-        K, F.col("_bom").alias("subject"), F.lit("bomHash").alias("fact"), F.col("bom_hash").alias("value")
-    )
-    shown = F.create_map(F.lit("control"), F.col(C).cast("string"), F.lit("bomStatus"), F.col("status"),
+def bom_facts(boms: DataFrame, orders: DataFrame, status: DataFrame, artifacts: DataFrame, rows: DataFrame,
+              resources: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The bill of materials as (contract, subject, fact, value) rows.
+
+    ``boms``: contract_id, bom_hash; ``orders``: contract_id, order_hash, state_hash;
+    ``status``: contract_id, evidentiary_status; ``artifacts``: contract_id, hash.
+    """
+    head = boms.select(K, "bom_hash", F.concat(F.lit("BOM/"), "bom_hash").alias("_bom"))
+    text = lambda c: F.col(c).cast("string")
+    own = orders.join(status, K, "left").join(head, K).select(K, "_bom", F.explode(F.create_map(
+        F.lit("type"), F.lit("BillOfMaterials"), F.lit("bomHash"), F.col("bom_hash"), F.lit("forContract"), text(K),
+        F.lit("derivedFromOrder"), text("order_hash"), F.lit("stateHash"), text("state_hash"),
+        F.lit("evidentiaryStatus"), text("evidentiary_status"))).alias("fact", "value")).filter(F.col("value").isNotNull())
+    shown = F.create_map(F.lit("type"), F.lit("ControlMapping"), F.lit("control"), text(C), F.lit("bomStatus"), F.col("status"),
                          F.lit("evidenceBacking"), F.col("evidence_backing"))
     listed = lambda frame, fact, value: frame.select(
-        K, C, F.lit(fact).alias("fact"), F.col(value).cast("string").alias("value")
+        K, C, F.lit(fact).alias("fact"), text(value).alias("value")
     )
     # All per-control facts first, so that the document hash is joined once.
     facts = (
         rows.select(K, C, F.explode(shown).alias("fact", "value"))
         .unionByName(listed(resources, "resource", "resource_id"))
         .unionByName(listed(hashes, "evidenceHash", "content_hash"))
+        .unionByName(rows.select(K, C, F.lit("hasControlMapping").alias("fact"), F.lit(None).cast("string").alias("value")))
+        .unionByName(artifacts.select(K, F.lit(None).cast(rows.schema[C].dataType).alias(C), F.lit("referencesArtifact").alias("fact"),
+                                      F.col("hash").alias("value")))
     )
-    subject = F.concat("_bom", F.lit("/mapping/"), F.col(C).cast("string"))
-    return own.unionByName(facts.join(head, K).select(K, subject.alias("subject"), "fact", "value"))
+    mapping = F.concat("_bom", F.lit("/mapping/"), text(C))
+    upward = F.col("fact").isin("hasControlMapping", "referencesArtifact")
+    return own.select(K, F.col("_bom").alias("subject"), "fact", "value").unionByName(facts.join(head, K).select(
+        K, F.when(upward, F.col("_bom")).otherwise(mapping).alias("subject"), "fact",
+        F.when(F.col("fact") == "hasControlMapping", mapping).otherwise(F.col("value")).alias("value")))
 
 
 # -- matrix ------------------------------------------------------------------------
 
 
-def _joined(rows: DataFrame, keys: list[str], value: str, out: str, limit: int, joiner: str = ", ") -> DataFrame:
-    kept = rows.filter(F.coalesce(F.col(value), F.lit("")) != "").select(*keys, value).distinct()
-    return group_text(kept, keys, F.col(value), out, joiner=joiner, limit=limit)
-
-
 def vcrm_matrix(
     scope: DataFrame, claim: DataFrame, module: DataFrame, attestation: DataFrame,
     attestation_evidence: DataFrame, evidence: DataFrame, addresses: DataFrame, poam: DataFrame,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """One row per (contract, control) in scope: who implements, signs and evidences it.
+) -> tuple[DataFrame, DataFrame]:
+    """The traceability matrix as rows (contract, control, item, value), and who implements each control.
 
-    A control without sign-off reads PLANNED with backing '-'.
+    Items: status, backing, official, override, gap, location, hash, poam. A control
+    without sign-off reads PLANNED. Implementations (control, label) are the same for
+    every contract and stay a list of their own.
     """
-    dash = lambda name: F.coalesce(name, F.lit("-")).alias(name)
     pair = [K, C]
-    labels = claim.join(module.select(M, "label"), M).select(C, "label")
+    labels = claim.join(module.select(M, "label"), M).select(C, "label").distinct()
     located = addresses.select(K, C, E).distinct().join(
         evidence.select(
             K, E, F.coalesce("source_file", F.concat(F.lit("registry://evidence/"), "content_hash")).alias("location"),
-            F.substring("content_hash", 1, 12).alias("short_hash"),
+            F.substring("content_hash", 1, 12).alias("hash"),
         ), [K, E],
-    )
+    ).join(scope.select(*pair), pair, "left_semi")
     cited = attestation_evidence.select(K, "att_id").distinct().withColumn("_cited", F.lit(True))
-    signed = attestation.join(cited, [K, "att_id"], "left").select(
-        *pair, "official",
-        tx.status_or_name(F.col("outcome")).alias("_status"),
+    escaped = F.replace(tx.one_line(F.col("override_justification")), F.lit("|"), F.lit("\\|"))
+    status = tx.status_or_name(F.col("outcome"))
+    held = attestation.join(cited, [K, "att_id"], "left").select(
+        *pair, "official", status.alias("status"),
         evidence_backing(
             F.col("outcome"), tx.local_name(F.col("oracle_outcome")), F.col("_cited"),
             F.col("document_evidence").isNotNull(),
-        ).alias("_backing"),
-        F.when(F.coalesce("override_justification", F.lit("")) != "",
-               tx.one_line(F.col("override_justification"))).alias("_override"),
-    )
-    # Statuses and backings have few values each, so their sets stay small in any group.
-    verdicts = signed.groupBy(*pair).agg(
-        F.array_join(F.array_sort(F.collect_set("_status")), "; ").alias("status"),
-        F.array_join(F.array_sort(F.collect_set("_backing")), "; ").alias("backing"),
-    )
+        ).alias("backing"),
+        F.when(F.coalesce("override_justification", F.lit("")) != "", escaped).alias("override"),
+        F.when(status != "MET", F.concat(F.lit("attested "), status)).alias("gap"),
+    )
+    signed = scope.select(*pair).join(held.withColumn("_signed", F.lit(True)), pair, "left").withColumns({
+        "status": F.coalesce("status", F.lit("PLANNED")),
+        "gap": F.when(F.col("_signed").isNull(), "not attested (planned)").otherwise(F.col("gap")),
+    })
+    items = lambda frame, *names: frame.select(*pair, F.explode(F.create_map(
+        *[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])).alias("item", "value"))
+    listed = poam.join(scope.select(*pair), pair, "left_semi").select(*pair, tx.local_name(F.col("poam_item")).alias("poam"))
     rows = (
-        scope.select(*pair)
-        .join(verdicts, pair, "left")
-        .join(_joined(signed, pair, "official", "officials", limit), pair, "left")
-        .join(_joined(signed, pair, "_override", "_overrides", limit, "; "), pair, "left")
-        .join(_joined(located, pair, "location", "locations", limit), pair, "left")
-        .join(_joined(located, pair, "short_hash", "hashes", limit), pair, "left")
-        .join(_joined(poam.select(*pair, tx.local_name(F.col("poam_item")).alias("item")), pair, "item",
-                      "poam_refs", limit), pair, "left")
-        .join(_joined(labels, [C], "label", "implementations", limit), C, "left")
-    )
-    status = F.coalesce("status", F.lit("PLANNED"))
-    gap = F.when(status == "PLANNED", "not attested (planned)").when(
-        status != "MET", F.concat(F.lit("attested "), status)
-    )
-    note = F.concat_ws("; ", gap, F.concat(F.lit("override: "), F.col("_overrides")))
-    return rows.select(
-        *pair, dash("implementations"), dash("officials"), dash("locations"), dash("hashes"),
-        status.alias("status"), dash("backing"),
-        F.regexp_replace(F.when(note == "", "-").otherwise(note), r"\|", r"\\\\|").alias("gap_notes"),
-        dash("poam_refs"),
+        items(signed, "status", "backing", "official", "override", "gap")
+        .unionByName(items(located, "location", "hash")).unionByName(items(listed, "poam"))
     )
+    return rows.filter(F.coalesce("value", F.lit("")) != "").distinct(), labels
 
 
 def control_detail(control: DataFrame, attestation: DataFrame) -> DataFrame:
@@ -434,16 +404,14 @@ def family_exposure(scope: DataFrame, control: DataFrame, claim: DataFrame) -> D
 
 
 def vcrm_drift(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
-    """Matrix rows added, removed or changed against a stored matrix."""
-    body = [c for c in rebuilt.columns if c not in (K, C)]
-    digest = tx.sha256(F.to_json(F.struct(*body)))
-    now = rebuilt.select(K, C, digest.alias("_new"))
-    then = stored.select(K, C, digest.alias("_old"))
+    """Controls of the matrix that are added, removed or changed against a stored matrix."""
+    digest = lambda frame, out: group_digest(frame, [K, C], F.concat_ws("\t", "item", "value"), out)
     drift = (
         F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
         .when(F.col("_old") != F.col("_new"), "changed")
     )
-    return now.join(then, [K, C], "full").select(K, C, drift.alias("drift")).filter(F.col("drift").isNotNull())
+    return digest(rebuilt, "_new").join(digest(stored, "_old"), [K, C], "full").select(
+        K, C, drift.alias("drift")).filter(F.col("drift").isNotNull())
 
 
 def explain_control(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import GROUP_LIMIT, group_digest
+from trailspark.functions.groups import group_digest
 
 K, C, E, M = "contract_id", "control_id", "evidence_id", "module_id"
 
@@ -179,7 +179,7 @@ def bind_evidence(artifacts: DataFrame, controls: DataFrame) -> tuple[DataFrame,
 # -- module descriptions -----------------------------------------------------------
 
 
-def module_description_hash(facts: DataFrame, node_facts: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def module_description_hash(facts: DataFrame, node_facts: DataFrame) -> DataFrame:
     """Hash of each module's description, owned nodes inlined.
 
     ``facts``: module_id, s, p, o as written terms ('_:x' for an owned node);
@@ -195,7 +195,7 @@ def module_description_hash(facts: DataFrame, node_facts: DataFrame, limit: int
         M, F.concat_ws(" ", "s", F.concat("p", F.lit("/"), "_p"), "_o", F.lit(".")).alias("line")
     )
     lines = direct.unionByName(inlined)
-    return group_digest(lines, [M], F.col("line"), "module_hash", repeats=True, limit=limit)
+    return group_digest(lines, [M], F.col("line"), "module_hash", repeats=True)
 
 
 # -- documents ---------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import GROUP_LIMIT, group_digest, group_text, member_lists
+from trailspark.functions.groups import group_digest
 
 K, C, M = "contract_id", "control_id", "module_id"
 
@@ -21,11 +21,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # -- planning gate -----------------------------------------------------------------
 
 
-def claimed_pairs(required: DataFrame, claim: DataFrame) -> DataFrame:
-    """(contract, control, module) for every module claiming a required control."""
-    return required.select(K, C).join(claim.select(M, C).distinct(), C)
-
-
 def gate_forward(required: DataFrame, claim: DataFrame, control: DataFrame) -> DataFrame:
     """Required controls no module claims, with their weight."""
     return (
@@ -69,24 +64,24 @@ def gate_paper_claims(required: DataFrame, claim: DataFrame, module: DataFrame)
     return required.select(K, C).join(claims, C).select(K, M).distinct()
 
 
-def gate_maps(
-    required: DataFrame, claim: DataFrame, included: DataFrame, limit: int = GROUP_LIMIT
-) -> tuple[DataFrame, DataFrame]:
-    """Control -> claiming modules, and included module -> its required controls."""
-    claims = claim.select(M, C).distinct()
-    modules_of = member_lists(claims, [C], {"modules": F.col(M)}, limit)
+def gate_maps(required: DataFrame, claim: DataFrame, included: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Required control -> number and digest of its claiming modules; included module -> its required controls.
+
+    The modules of a control are the same for every contract: ``claim`` lists them, and
+    the digest ties a contract's row to that list. Backward there is a row per control,
+    or one with a null control.
+    """
+    modules_of = claim.select(M, C).distinct()
+    modules_of = modules_of.groupBy(C).agg(F.count(F.lit(1)).alias("modules")).join(_claimers(claim), C)
     forward = required.select(K, C).join(modules_of, C, "left").select(
-        K, C, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-        F.coalesce("modules", F.array().cast(modules_of.schema["modules"].dataType)).alias("modules"),
-    )
-    traced = member_lists(
-        included_controls(required, claim, included), [K, M], {"controls": F.col(C)}, limit
-    )
-    backward = included.select(K, M).distinct().join(traced, [K, M], "left").select(
-        K, M, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-        F.coalesce("controls", F.array().cast(traced.schema["controls"].dataType)).alias("controls"),
-    )
-    return forward, backward
+        K, C, F.coalesce("modules", F.lit(0).cast("bigint")).alias("modules"), "modules_digest")
+    traced = included_controls(required, claim, included)
+    return forward, included.select(K, M).distinct().join(traced, [K, M], "left").select(K, M, C)
+
+
+def _claimers(claim: DataFrame) -> DataFrame:
+    """The digest of each control's claiming modules."""
+    return group_digest(claim, [C], F.col(M).cast("string"), "modules_digest")
 
 
 def gate_report(
@@ -124,95 +119,84 @@ def gate_report(
 # -- order compilation -------------------------------------------------------------
 
 
-def control_set_hash(required: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Hash of a contract's sorted required controls."""
-    control = F.col(C).cast("string")
-    return group_digest(
-        required.select(K, C).distinct(), [K], tx.json_text(control), "control_set_hash",
-        order=control, joiner=", ", head='{"controls": [', tail="]}", limit=limit,
-    )
+def control_set_hash(required: DataFrame) -> DataFrame:
+    """Hash of a contract's required controls."""
+    return group_digest(required, [K], F.col(C).cast("string"), "control_set_hash")
 
 
 def coverage_proof_hash(
-    required: DataFrame, claim: DataFrame, module: DataFrame, included: DataFrame,
-    limit: int = GROUP_LIMIT,
+    required: DataFrame, claim: DataFrame, module: DataFrame, included: DataFrame
 ) -> DataFrame:
-    """Hash of the forward map, the backward map and the methods of included modules."""
-    text = lambda name: F.col(name).cast("string")
-    boxed = lambda key, items: F.concat(
-        tx.json_text(text(key)), F.lit(": ["), F.coalesce(F.col(items), F.lit("")), F.lit("]")
-    )
-    claims = claim.select(M, C).distinct()
-    listed = lambda rows, keys, item: group_text(
-        rows, keys, tx.json_text(text(item)), "_items", order=text(item), joiner=", ", limit=limit
-    )
-    section = lambda rows, key, out: group_text(
-        rows, [K], boxed(key, "_items"), out, order=text(key), joiner=", ", limit=limit
-    )
-    forward = section(required.select(K, C).join(listed(claims, [C], M), C, "left"), C, "_forward")
+    """Hash of the forward map, the backward map and the methods of included modules.
+
+    One line for each entry: a required control with the digest of its claiming modules,
+    an included module, a control that it claims, its method.
+    """
+    line = lambda frame, kind, *cols: frame.select(
+        K, F.concat_ws(" ", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]).alias("line"))
     pairs = included.select(K, M).distinct()
-    traced = listed(included_controls(required, claim, included), [K, M], C)
-    backward = section(pairs.join(traced, [K, M], "left"), M, "_backward")
-    methods = listed(module.filter(F.col("method").isNotNull()).select(M, "method").distinct(), [M], "method")
-    verification = section(pairs.join(methods, M, "left"), M, "_verification")
-    part = lambda name: F.concat(F.lit("{"), F.coalesce(F.col(name), F.lit("")), F.lit("}"))
-    return (
-        forward.join(backward, K, "full").join(verification, K, "full")
-        .select(K, tx.sha256(tx.json_object(
-            ("backward", part("_backward")), ("forward", part("_forward")),
-            ("verification", part("_verification")),
-        )).alias("coverage_proof_hash"))
-    )
+    lines = _union([
+        line(required.join(_claimers(claim), C, "left"), "forward", C, "modules_digest"),
+        line(pairs, "included", M),
+        line(included_controls(required, claim, included), "backward", M, C),
+        line(pairs.join(module.filter(F.col("method").isNotNull()).select(M, "method").distinct(), M), "method", M, "method"),
+    ])
+    return group_digest(lines, [K], F.col("line"), "coverage_proof_hash")
 
 
-def order_hash(facts: DataFrame, required: DataFrame, module_hash: DataFrame,
-               limit: int = GROUP_LIMIT) -> DataFrame:
-    """Order hash over scope, controls, module hashes and the three part hashes.
+def order_hash(facts: DataFrame, module_hash: DataFrame) -> DataFrame:
+    """Order hash over scope, controls, module hashes and the part hashes.
 
-    ``facts``: contract_id, scope, cop_hash, control_set_hash, coverage_proof_hash.
+    ``facts``: contract_id, scope_hash, cop_hash, control_set_hash, coverage_proof_hash.
     ``module_hash``: contract_id, module_id, module_hash.
     """
-    control, module = F.col(C).cast("string"), F.col(M).cast("string")
-    controls = group_text(
-        required.select(K, C).distinct(), [K], tx.json_text(control), "_controls",
-        order=control, joiner=", ", limit=limit,
-    )
-    entry = F.concat(tx.json_text(module), F.lit(": "), tx.json_text(F.col("module_hash")))
-    modules = group_text(module_hash, [K], entry, "_modules", order=module, joiner=", ", limit=limit)
-    held = lambda name: F.coalesce(F.col(name), F.lit(""))
+    modules = group_digest(module_hash, [K], F.concat_ws(" ", F.col(M).cast("string"), "module_hash"), "_modules")
     body = tx.json_object(
         ("contract", tx.json_text(F.col(K))),
         ("control_set_hash", tx.json_text(F.col("control_set_hash"))),
         ("cop_hash", tx.json_text(F.col("cop_hash"))),
         ("coverage_proof_hash", tx.json_text(F.col("coverage_proof_hash"))),
         ("impact_level", F.lit(f'"{vocab.IMPACT_LEVEL}"')),
-        ("module_hashes", F.concat(F.lit("{"), held("_modules"), F.lit("}"))),
-        ("required_controls", F.concat(F.lit("["), held("_controls"), F.lit("]"))),
-        ("scope", F.col("scope")),
+        ("module_hashes", tx.json_text(F.col("_modules"))),
+        ("scope", tx.json_text(F.col("scope_hash"))),
         ("standard", F.lit(f'"{vocab.STANDARD}"')),
         ("tier", F.lit(f'"{vocab.TARGET_TIER}"')),
     )
-    return facts.join(controls, K, "left").join(modules, K, "left").select(
-        K, tx.sha256(body).alias("order_hash")
-    )
+    return facts.join(modules, K, "left").select(K, tx.sha256(body).alias("order_hash"))
+
+
+def order_flaws(order_hdr: DataFrame, required: DataFrame, claim: DataFrame, module: DataFrame, included: DataFrame) -> DataFrame:
+    """(contract, flaw) of attested contracts: whether each check fails, not how often."""
+    attested = order_hdr.filter("attested").select(K)
+    only = lambda frame: frame.join(attested, K, "left_semi")
+    required, included = only(required.select(K, C)), only(included.select(K, M))
+    flaw = lambda frame, name: frame.select(K, F.lit(name).alias("flaw"))
+    # A module without a record has no method either.
+    bare = claim.select(M, C).join(module.filter(F.col("method").isNotNull()).select(M), M, "left_anti").select(C).distinct()
+    return _union([
+        flaw(required.join(claim.select(C).distinct(), C, "left_anti"), 1),
+        flaw(gate_backward(required, claim, included), 2),
+        flaw(required.join(bare, C, "left_semi"), 3),
+    ])
 
 
-def order_decisions(order_hdr: DataFrame, report: DataFrame) -> DataFrame:
+def order_decisions(order_hdr: DataFrame, flaws: DataFrame) -> DataFrame:
     """Per contract: compiled, or refused with the first reason that applies."""
+    first = flaws.groupBy(K).agg(F.min("flaw").alias("_flaw"))
     reason = (
         F.when(~F.coalesce("attested", F.lit(False)), "profile-not-attested")
-        .when(F.col("gaps") > 0, "control-without-module")
-        .when(F.col("orphans") > 0, "orphan-module")
-        .when(F.col("paper_claims") > 0, "claim-without-method")
+        .when(F.col("_flaw") == 1, "control-without-module")
+        .when(F.col("_flaw") == 2, "orphan-module")
+        .when(F.col("_flaw") == 3, "claim-without-method")
     )
-    return order_hdr.join(report, K, "left").select(K, reason.alias("reason"))
+    return order_hdr.join(first, K, "left").select(K, reason.alias("reason"))
 
 
 def compile_orders(
-    order_hdr: DataFrame, required: DataFrame, included: DataFrame, report: DataFrame
+    order_hdr: DataFrame, required: DataFrame, included: DataFrame, flaws: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Orders, their controls, their modules, and the refusals with a reason."""
-    decided = order_decisions(order_hdr, report)
+    decided = order_decisions(order_hdr, flaws)
     emitted = decided.filter(F.col("reason").isNull()).select(K)
     headers = emitted.select(
         K, F.lit(vocab.TARGET_TIER).alias("tier"), F.lit(vocab.IMPACT_LEVEL).alias("impact_level"),

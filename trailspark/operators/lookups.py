@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions import vocab
-from trailspark.functions.groups import GROUP_LIMIT, member_lists
 
 K, C = "contract_id", "control_id"
 
@@ -207,10 +206,9 @@ def control_references(claim: DataFrame, module: DataFrame, reference: DataFrame
     )
 
 
-def control_reference_map(refs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Control -> sorted list of the policy references behind it."""
-    item = F.struct("reference_id", "source", "uri", "version", "signature")
-    return member_lists(refs, [C], {"references": item}, limit)
+def control_reference_map(refs: DataFrame) -> DataFrame:
+    """Control -> the distinct policy references behind it, one row each."""
+    return refs.select(C, "reference_id", "source", "uri", "version", "signature").distinct()
 
 
 def policy_inventory(refs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import GROUP_LIMIT, group_digest, group_text
+from trailspark.functions.groups import group_digest
 
 K = "contract_id"
 
@@ -20,9 +20,9 @@ def quad_line() -> Column:
     return F.concat_ws(" ", "s", "p", "o", F.lit("."))
 
 
-def graph_hash(lines: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
-    """Hash of each graph's sorted lines. ``lines``: the keys and one ``line`` per triple."""
-    return group_digest(lines, keys, F.col("line"), "graph_hash", tail="\n", limit=limit)
+def graph_hash(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash of each graph's lines. ``lines``: the keys and one ``line`` per triple."""
+    return group_digest(lines, keys, F.col("line"), "graph_hash")
 
 
 def tokenise(term: Column) -> Column:
@@ -30,11 +30,10 @@ def tokenise(term: Column) -> Column:
     return F.when(term.startswith("_:"), "_:b").otherwise(term)
 
 
-def dataset_fingerprint(quads: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Hash of a contract's sorted distinct quads, blank nodes tokenised."""
+def dataset_fingerprint(quads: DataFrame) -> DataFrame:
+    """Hash of a contract's distinct quads, blank nodes tokenised."""
     line = F.concat_ws("\t", tokenise(F.col("s")), "p", tokenise(F.col("o")), "graph")
-    rows = quads.select(K, line.alias("line")).distinct()
-    return group_digest(rows, [K], F.col("line"), "fingerprint", limit=limit)
+    return group_digest(quads, [K], line, "fingerprint")
 
 
 def triples_by_graph(quads: DataFrame) -> DataFrame:
@@ -63,9 +62,10 @@ def put_blobs(incoming: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFra
     claimed = F.coalesce(F.col("hash"), actual) if "hash" in incoming.columns else actual
     rows = incoming.select(claimed.alias("hash"), actual.alias("actual"), "content", "kind")
     held = store.groupBy("hash").agg(F.min(F.sha2("content", 256)).alias("stored"))
-    # Equal hashes mean equal bytes, so any of the copies is the blob; copies combine
-    # before their bytes are shuffled.
-    unique = rows.filter(F.col("actual") == F.col("hash")).dropDuplicates(["hash"])
+    # Equal hashes mean equal bytes; of the copies' kinds the first by name stays. Copies
+    # combine before their bytes are shuffled.
+    unique = rows.filter(F.col("actual") == F.col("hash")).groupBy("hash").agg(
+        F.min("kind").alias("kind"), F.any_value("content").alias("content"))
     fresh = unique.join(held.select("hash"), "hash", "left_anti").select("hash", "kind", "content")
     names = rows.select("hash", "actual", "kind").distinct().join(held, "hash", "left")
     wrong = (F.col("actual") != F.col("hash")) | F.coalesce(F.col("stored") != F.col("actual"), F.lit(False))
@@ -104,16 +104,14 @@ def bom_signature(latest: DataFrame, signatures: DataFrame) -> DataFrame:
 # -- versions ----------------------------------------------------------------------
 
 
-def commit_manifest(graph_hashes: DataFrame, project: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def commit_manifest(graph_hashes: DataFrame, project: str) -> DataFrame:
     """Version id per (ref, seq): hash of the manifest of its graph hashes.
 
     ``graph_hashes``: ref, seq, graph, graph_hash. Equal content gives an equal id.
     """
-    entry = F.concat(tx.json_text(F.col("graph")), F.lit(": "), tx.json_text(F.col("graph_hash")))
-    graphs = group_text(graph_hashes, ["ref", "seq"], entry, "_graphs", order=F.col("graph"),
-                        joiner=", ", limit=limit)
+    graphs = group_digest(graph_hashes, ["ref", "seq"], F.concat_ws(" ", "graph", "graph_hash"), "_graphs")
     manifest = tx.json_object(
-        ("graphs", F.concat(F.lit("{"), "_graphs", F.lit("}"))),
+        ("graphs", tx.json_text(F.col("_graphs"))),
         ("project", F.lit(f'"{project}"')),
         ("ref", tx.json_text(F.col("ref"))),
     )
@@ -122,7 +120,7 @@ def commit_manifest(graph_hashes: DataFrame, project: str, limit: int = GROUP_LI
 
 def commit_snapshot(
     snapshot: DataFrame, project: str, history: DataFrame | None = None,
-    objects: DataFrame | None = None, limit: int = GROUP_LIMIT,
+    objects: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New commit rows and new object lines of a snapshot.
 
@@ -131,8 +129,8 @@ def commit_snapshot(
     """
     keys = ["ref", "seq", "graph"]
     lines = snapshot.select(*keys, "line").distinct()
-    hashes = graph_hash(lines, keys, limit)
-    versions = commit_manifest(hashes, project, limit)
+    hashes = graph_hash(lines, keys)
+    versions = commit_manifest(hashes, project)
     if history is not None:
         last = history.groupBy("ref").agg((F.max("seq") + 1).alias("_next"))
         versions = versions.join(last, "ref", "left").withColumn(

@@ -199,45 +199,33 @@ def _(p):
     )
 
 
-_DOCUMENT = """SELECT o.contract_id, '{"attestations": [' || coalesce(a.list, '') || '], "contract_id": "' || o.contract_id
-  || '", "control_mapping": [' || coalesce(r.list, '') || '], "evidence_hashes": [' || coalesce(e.list, '') || '], "evidentiary_status": "'
-  || s.evidentiary_status || '", "impact_level": "IL4", "module_hashes": {' || coalesce(m.list, '') || '}, "oracle_outcomes": {'
-  || coalesce(c.list, '') || '}, "order_hash": "' || o.order_hash || '", "plan_resource_ids": [' || coalesce(pr.list, '')
-  || '], "policy": {"findings": [' || coalesce(f.list, '') || '], "passed": ' || CASE WHEN g.findings = 0 THEN 'true' ELSE 'false' END
-  || '}, "schema": "ce-bom/1", "standard": "NIST SP 800-171 Rev 2", "state_hash": ' || coalesce('"' || o.state_hash || '"', 'null')
-  || ', "tier": "Tier1"}' AS document
-  FROM bom_order o JOIN evidentiary s USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg('{"control_id": "' || control_id || '", "official": "' || official || '", "outcome": "' || outcome
-      || '", "override_evidence": ' || coalesce('"' || override_evidence || '"', 'null') || ', "override_justification": '
-      || coalesce('"' || override_justification || '"', 'null') || ', "role": "Affirming Official"}', ', ' ORDER BY CAST(control_id AS VARCHAR)) AS list
-    FROM attestation GROUP BY 1) a USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg('{"attestation_outcome": ' || coalesce('"' || attestation_outcome || '"', 'null') || ', "control_id": "' || control_id
-      || '", "evidence_backing": "' || evidence_backing || '", "evidence_hashes": ' || evidence_hashes || ', "git_commit": ' || coalesce('"' || git_commit || '"', 'null')
-      || ', "git_committed_at": ' || coalesce('"' || git_committed_at || '"', 'null') || ', "oracle_outcome": ' || coalesce('"' || oracle_outcome || '"', 'null')
-      || ', "reference_id": ' || coalesce('"' || reference_id || '"', 'null') || ', "resource_ids": ' || resource_ids || ', "status": "' || status || '"}',
-      ', ' ORDER BY CAST(control_id AS VARCHAR)) AS list FROM bom_rows GROUP BY 1) r USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg(DISTINCT '"' || content_hash || '"', ', ' ORDER BY '"' || content_hash || '"') AS list FROM evidence GROUP BY 1) e USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg('"' || module_id || '": "' || module_hash || '"', ', ' ORDER BY CAST(module_id AS VARCHAR)) AS list FROM module_hash GROUP BY 1) m USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg('"' || control_id || '": "' || outcome || '"', ', ' ORDER BY CAST(control_id AS VARCHAR)) AS list FROM outcomes GROUP BY 1) c USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg('"' || resource_id || '"', ', ' ORDER BY resource_id) AS list FROM planned_resource GROUP BY 1) pr USING (contract_id)
-  LEFT JOIN gate g USING (contract_id)
-  LEFT JOIN (SELECT contract_id, string_agg('"' || finding || '"', ', ' ORDER BY finding, resource_id) AS list FROM (
-      SELECT contract_id, resource_id, unnest(['region-not-us', 'criterion-failed:ITAR-120.54']) AS finding FROM planned_resource
-        WHERE region IS NOT NULL AND NOT starts_with(region, 'us')
-      UNION ALL SELECT contract_id, '<none>', 'no-region-signal' FROM gate WHERE region_signals = 0) GROUP BY 1) f USING (contract_id)"""
+@shared
+def _document(p):
+    return bm.bom_document(
+        p.bom_order, _rows(p), p.resource_control, _row_hashes(p), p.attestation, p.evidence, _outcomes(p), p.module_hash,
+        p.planned_resource, gt.residency_findings(p.planned_resource), gt.residency_gate(p.planned_resource),
+    )
 
 
 @shared
-def _documents(p):
-    return bm.bom_documents(
-        p.bom_order, _rows(p), p.attestation, p.evidence, _outcomes(p), p.module_hash, p.planned_resource,
-        gt.residency_findings(p.planned_resource), gt.residency_gate(p.planned_resource),
-    )
+def _boms(p):
+    return bm.document_hash(_document(p))
+
+
+@query("B5_bom_document", "SELECT contract_id, section, key, value FROM bom_lines")
+def _(p):
+    return _document(p)
+
+
+@query("B5_bom_hash", "SELECT contract_id, bom_hash FROM bom_hashes")
+def _(p):
+    return _boms(p)
 
 
-@query("B5_bom_hash", f"SELECT contract_id, document, sha256(document) AS bom_hash FROM ({_DOCUMENT})")
+@query("B4_bom_maps", "SELECT contract_id, section, key, value FROM bom_lines WHERE section IN ('oracle', 'module', 'evidence', 'order')")
 def _(p):
-    return _documents(p)
+    """The oracle map, module map, hashes and header facts as rows."""
+    return _document(p).filter(F.col("section").isin("oracle", "module", "evidence", "order"))
 
 
 @shared
@@ -245,40 +233,40 @@ def _artifacts(p):
     return bm.artifact_hashes(p.bom_order, p.evidence, p.module_hash, _row_hashes(p))
 
 
-@query("B6_artifact_hashes", """SELECT contract_id, order_hash AS hash FROM bom_order UNION SELECT contract_id, state_hash FROM bom_order
-    WHERE state_hash IS NOT NULL UNION SELECT contract_id, content_hash FROM evidence UNION SELECT contract_id, module_hash FROM module_hash
-  UNION SELECT contract_id, content_hash FROM row_hashes JOIN order_control USING (contract_id, control_id)""")
+@query("B6_artifact_hashes", "SELECT contract_id, hash FROM artifact_hashes")
 def _(p):
     return _artifacts(p)
 
 
-@query("B7_verify_bom", f"""SELECT contract_id, contract_id % 6 <> 0 AND contract_id % 7 <> 0 AND coalesce(b.n, 0) = 0 AS verified,
-  contract_id % 6 <> 0 AND contract_id % 7 <> 0 AS document_ok, coalesce(b.n, 0) AS tampered_artifacts FROM ({_DOCUMENT}) d
+@query("B7_verify_bom", """SELECT d.contract_id, contract_id % 6 <> 0 AND contract_id % 7 <> 0 AND coalesce(b.n, 0) = 0 AS verified,
+  contract_id % 6 <> 0 AND contract_id % 7 <> 0 AS document_ok, coalesce(b.n, 0) AS tampered_artifacts FROM bom_order d
   LEFT JOIN (SELECT contract_id, count(DISTINCT content_hash) AS n FROM evidence WHERE source_module % 8 = 1 GROUP BY 1) b USING (contract_id)""")
 def _(p):
-    """Every 6th document is stored with other bytes, every 7th not at all; some artifacts are bad."""
-    documents, artifacts = _documents(p), _artifacts(p)
+    """Every 6th document is stored with another tier, every 7th not at all; some artifacts are bad."""
     key = F.col("contract_id")
-    body = F.when(key % 6 == 0, F.concat("document", F.lit(" "))).otherwise(F.col("document"))
-    stored = documents.filter(key % 7 != 0).select(F.col("bom_hash").alias("hash"), F.encode(body, "UTF-8").alias("content"))
+    tier = (key % 6 == 0) & (F.col("section") == "order") & (F.col("key") == "tier")
+    stored = _document(p).filter(key % 7 != 0).withColumn("value", F.when(tier, "other").otherwise(F.col("value")))
     bad = p.evidence.filter("source_module % 8 = 1").select(
         F.col("content_hash").alias("hash"), F.encode(F.lit("other"), "UTF-8").alias("content")
     )
-    return bm.verify_bom(documents, artifacts, stored.unionByName(bad.distinct()))
-
-
-_HEAD = f"SELECT contract_id, 'BOM/' || sha256(document) AS bom, sha256(document) AS bom_hash FROM ({_DOCUMENT})"
-
-
-@query("B8_bom_facts", f"""SELECT contract_id, bom AS subject, 'bomHash' AS fact, bom_hash AS value FROM ({_HEAD})
-  UNION ALL SELECT h.contract_id, h.bom || '/mapping/' || f.control_id, f.fact, f.value FROM ({_HEAD}) h JOIN (
-    SELECT contract_id, control_id, unnest(['control', 'bomStatus', 'evidenceBacking']) AS fact,
-      unnest([CAST(control_id AS VARCHAR), status, evidence_backing]) AS value FROM bom_rows
+    return bm.verify_bom(_boms(p), stored, _artifacts(p), bad.distinct())
+
+
+@query("B8_bom_facts", """SELECT contract_id, subject, fact, value FROM (SELECT h.contract_id, h.bom AS subject,
+      unnest(['type', 'bomHash', 'forContract', 'derivedFromOrder', 'stateHash', 'evidentiaryStatus']) AS fact,
+      unnest(['BillOfMaterials', bom_hash, CAST(contract_id AS VARCHAR), order_hash, state_hash, evidentiary_status]) AS value
+      FROM bom_heads h JOIN bom_order USING (contract_id) JOIN evidentiary USING (contract_id)) WHERE value IS NOT NULL
+  UNION ALL SELECT h.contract_id, h.bom, 'referencesArtifact', a.hash FROM bom_heads h JOIN artifact_hashes a USING (contract_id)
+  UNION ALL SELECT h.contract_id, h.bom, 'hasControlMapping', h.bom || '/mapping/' || r.control_id FROM bom_heads h JOIN bom_rows r USING (contract_id)
+  UNION ALL SELECT h.contract_id, h.bom || '/mapping/' || f.control_id, f.fact, f.value FROM bom_heads h JOIN (
+    SELECT contract_id, control_id, unnest(['type', 'control', 'bomStatus', 'evidenceBacking']) AS fact,
+      unnest(['ControlMapping', CAST(control_id AS VARCHAR), status, evidence_backing]) AS value FROM bom_rows
     UNION ALL SELECT contract_id, control_id, 'resource', resource_id FROM resource_control
     UNION ALL SELECT contract_id, control_id, 'evidenceHash', content_hash FROM row_hashes JOIN order_control USING (contract_id, control_id)) f
   ON f.contract_id = h.contract_id""")
 def _(p):
-    return bm.bom_facts(_documents(p), _rows(p), p.resource_control, _row_hashes(p))
+    status = bm.evidentiary_status(p.bom_order, p.evidence)
+    return bm.bom_facts(_boms(p), p.bom_order, status, _artifacts(p), _rows(p), p.resource_control, _row_hashes(p))
 
 
 @shared
@@ -289,9 +277,14 @@ def _vcrm(p):
     )
 
 
-@query("B9_vcrm_matrix", "SELECT * FROM vcrm")
+@query("B9_vcrm_matrix", "SELECT contract_id, control_id, item, value FROM vcrm")
+def _(p):
+    return _vcrm(p)[0]
+
+
+@query("B9_implementations", "SELECT DISTINCT control_id, label FROM module_claim JOIN module USING (module_id)")
 def _(p):
-    return _vcrm(p)
+    return _vcrm(p)[1]
 
 
 @query("B10_control_detail", f"""SELECT a.contract_id, a.control_id, a.att_id, c.text AS statement, c.family, c.weight, c.poam_eligible,
@@ -349,10 +342,10 @@ def _(p):
   FROM order_control WHERE control_id % 10 IN (3, 4) OR (control_id % 10 = 5 AND contract_id % 2 = 0)""")
 def _(p):
     """Against a stored matrix that lacks some rows, has others more and differs in some."""
-    matrix = _vcrm(p)
+    matrix = _vcrm(p)[0]
     last = F.col("control_id") % 10
-    changed = F.when((last == 5) & (F.col("contract_id") % 2 == 0), F.concat("status", F.lit("!"))).otherwise(F.col("status"))
-    stored = matrix.filter(last != 3).withColumn("status", changed)
+    other = (last == 5) & (F.col("contract_id") % 2 == 0) & (F.col("item") == "status")
+    stored = matrix.filter(last != 3).withColumn("value", F.when(other, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
     return bm.vcrm_drift(matrix.filter(last != 4), stored)
 
 

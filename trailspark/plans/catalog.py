@@ -186,12 +186,9 @@ def _(p):
     return _refs(p)
 
 
-@query("J11_control_reference_map", f"""SELECT control_id, CAST(0 AS BIGINT) AS part, count(*) AS n,
-  string_agg(CAST(reference_id AS VARCHAR), ',' ORDER BY reference_id) AS refs FROM ({_REFS}) GROUP BY control_id""")
+@query("J11_control_reference_map", f"SELECT DISTINCT control_id, reference_id, source, uri, version, signature FROM ({_REFS})")
 def _(p):
-    lists = lk.control_reference_map(_refs(p))
-    return lists.select("control_id", "part", F.size("references").cast("bigint").alias("n"),
-                        F.col("references.reference_id").alias("refs"))
+    return lk.control_reference_map(_refs(p))
 
 
 @query("J11_policy_inventory", f"SELECT DISTINCT reference_id, source, uri, version, signature FROM ({_REFS})")

@@ -10,7 +10,7 @@ from trailspark.operators import lookups as lk
 from trailspark.operators import package as pk
 from trailspark.operators import provenance as pv
 from trailspark.operators import validate as va
-from trailspark.plans.auditing import _DOCUMENT, _documents, _met, _rows
+from trailspark.plans.auditing import _boms, _met, _rows
 from trailspark.plans.catalog import _REFS
 from trailspark.plans.evaluation import _outcomes, _results
 from trailspark.plans.registry import query, shared
@@ -337,9 +337,9 @@ def _(p):
 # -- audit package -----------------------------------------------------------------
 
 
-@query("B17_package_manifest", f"""SELECT d.contract_id, sha256(d.document) AS bom_hash, s.evidentiary_status, c.score, c.status AS score_status,
+@query("B17_package_manifest", f"""SELECT d.contract_id, d.bom_hash, s.evidentiary_status, c.score, c.status AS score_status,
   c.valid_submission, coalesce(c.contradictions, 0) AS contradictions, coalesce(m.met_by_machine, 0) AS machine,
-  coalesce(m.met_by_human_only, 0) AS human_only, a.ok AS procedure_ok FROM ({_DOCUMENT}) d LEFT JOIN evidentiary s USING (contract_id)
+  coalesce(m.met_by_human_only, 0) AS human_only, a.ok AS procedure_ok FROM bom_hashes d LEFT JOIN evidentiary s USING (contract_id)
   LEFT JOIN scores c USING (contract_id) LEFT JOIN split m USING (contract_id) LEFT JOIN ({_ADHERENCE}) a ON a.run_id = d.contract_id""")
 def _(p):
     """Run numbers stand for contracts in the adherence part."""
@@ -348,7 +348,7 @@ def _(p):
 
     adherence = _adherence(p).select(F.col("run_id").alias("contract_id"), "ok")
     return pk.package_manifest(
-        _documents(p), evidentiary_status(p.order_hdr, p.evidence), compute_score(p),
+        _boms(p), evidentiary_status(p.order_hdr, p.evidence), compute_score(p),
         au.proven_vs_attested(_met(p)), adherence,
     )
 

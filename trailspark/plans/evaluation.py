@@ -265,8 +265,7 @@ def _(p):
 
 @query("A7_attestation_detail", f"""SELECT a.contract_id, a.att_id, a.control_id, a.official, a.adequacy, a.sufficiency, a.outcome AS outcome_short, a.mode,
   {_TIME.format('generated_at')}, a.override_justification AS override, a.override_evidence, a.oracle_outcome, a.document_evidence,
-  coalesce(e.list, '') AS evidence FROM attestation a LEFT JOIN (SELECT contract_id, att_id,
-    string_agg(evidence_id, '|' ORDER BY evidence_id) AS list FROM attestation_evidence GROUP BY ALL) e USING (contract_id, att_id)
+  e.evidence_id FROM attestation a LEFT JOIN (SELECT DISTINCT contract_id, att_id, evidence_id FROM attestation_evidence) e USING (contract_id, att_id)
   WHERE a.sufficiency IS NOT NULL""")
 def _(p):
     return at.attestation_detail(p.attestation, p.attestation_evidence)

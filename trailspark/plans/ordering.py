@@ -9,6 +9,7 @@ from trailspark.functions import vocab
 from trailspark.operators import evidence as ev
 from trailspark.operators import gates as gt
 from trailspark.operators import obligations as ob
+from trailspark.functions.groups import digest_sql
 from trailspark.plans.registry import query, shared
 
 _PART_ID = "^[0-9]+$"
@@ -32,7 +33,8 @@ def _(p):
     return _resolve(p)[1]
 
 
-@query("U1_required_controls", "SELECT DISTINCT contract_id, control_id FROM resolved WHERE control_id IS NOT NULL")
+@query("U1_required_controls", """SELECT DISTINCT contract_id, control_id FROM resolved WHERE control_id = '*'
+    OR (control_id IS NOT NULL AND contract_id NOT IN (SELECT contract_id FROM resolved WHERE control_id = '*'))""")
 def _(p):
     return ob.required_controls(_resolve(p)[1])
 
@@ -91,29 +93,27 @@ def _(p):
     return gt.gate_report(p.order_control, p.module_claim, p.module, p.control, p.order_module)
 
 
-@query("G8_forward_map", """SELECT o.contract_id, o.control_id, CAST(0 AS BIGINT) AS part, coalesce(m.list, '') AS modules FROM order_control o
-  LEFT JOIN (SELECT control_id, string_agg(CAST(module_id AS VARCHAR), ',' ORDER BY module_id) AS list FROM module_claim GROUP BY 1) m
-  USING (control_id)""")
+@query("G8_forward_map", """SELECT o.contract_id, o.control_id, coalesce(m.n, 0) AS modules, c.modules_digest FROM order_control o
+  LEFT JOIN (SELECT control_id, count(*) AS n FROM module_claim GROUP BY 1) m USING (control_id) LEFT JOIN claimers c USING (control_id)""")
 def _(p):
     return gt.gate_maps(p.order_control, p.module_claim, p.order_module)[0]
 
 
-@query("G8_backward_map", """SELECT o.contract_id, o.module_id, CAST(0 AS BIGINT) AS part, coalesce(m.list, '') AS controls FROM order_module o
-  LEFT JOIN (SELECT contract_id, module_id, string_agg(CAST(control_id AS VARCHAR), ',' ORDER BY control_id) AS list
-    FROM included GROUP BY ALL) m USING (contract_id, module_id)""")
+@query("G8_backward_map", """SELECT o.contract_id, o.module_id, i.control_id FROM order_module o LEFT JOIN included i
+  ON i.contract_id = o.contract_id AND i.module_id = o.module_id""")
 def _(p):
     return gt.gate_maps(p.order_control, p.module_claim, p.order_module)[1]
 
 
-@query("G9_default_scope", "SELECT contract_id, scope FROM scope_json")
+@query("G9_default_scope", "SELECT contract_id, item, value FROM scope_rows")
 def _(p):
     return ob.default_scope(p.obligation, ob.policy_markers(_resolve(p)[1]))
 
 
 @shared
 def _compiled(p):
-    report = gt.gate_report(p.order_control, p.module_claim, p.module, p.control, p.order_module)
-    return gt.compile_orders(p.order_hdr, p.order_control, p.order_module, report)
+    flaws = gt.order_flaws(p.order_hdr, p.order_control, p.module_claim, p.module, p.order_module)
+    return gt.compile_orders(p.order_hdr, p.order_control, p.order_module, flaws)
 
 
 @query("G10_compiled_orders", """SELECT contract_id, 'Tier1' AS tier, 'IL4' AS impact_level, 'NIST SP 800-171 Rev 2' AS standard
@@ -137,12 +137,10 @@ def _(p):
     return _compiled(p)[3]
 
 
-@query("G11_obligation_rows", """SELECT s.contract_id, s.name, s.obligation_type, coalesce(s.data_marker, '') AS data_marker, CAST(0 AS BIGINT) AS part,
-  coalesce(r.list, '') AS controls, CASE WHEN s.status IN ('spillover', 'acknowledged') THEN
-    'marked deliverable: explicit spillover acknowledgement required'
-    WHEN r.markers IS NOT NULL THEN 'policy markers: ' || r.markers ELSE '' END AS note
-  FROM obligation_state s LEFT JOIN (SELECT contract_id, name, string_agg(control_id, ',' ORDER BY control_id) AS list,
-    string_agg(marker, ', ' ORDER BY marker) AS markers FROM resolved GROUP BY ALL) r USING (contract_id, name)""")
+@query("G11_obligation_rows", """SELECT s.contract_id, s.name, s.obligation_type, coalesce(s.data_marker, '') AS data_marker, r.control_id, r.marker,
+  CASE WHEN s.status IN ('spillover', 'acknowledged') THEN 'marked deliverable: explicit spillover acknowledgement required'
+    WHEN r.marker IS NOT NULL THEN 'policy marker' ELSE '' END AS note
+  FROM obligation_state s LEFT JOIN resolved r USING (contract_id, name)""")
 def _(p):
     return ob.obligation_rows(*_resolve(p))
 
@@ -155,9 +153,9 @@ def _hashes(p):
     control_set = gt.control_set_hash(p.order_control)
     profile = ob.profile_hash(p.obligation, p.obligation_derive)
     proof = gt.coverage_proof_hash(p.order_control, p.module_claim, p.module, p.order_module)
-    scope = ob.default_scope(p.obligation, ob.policy_markers(_resolve(p)[1]))
+    scope = ob.scope_hash(ob.default_scope(p.obligation, ob.policy_markers(_resolve(p)[1])))
     facts = control_set.join(profile, "contract_id").join(proof, "contract_id").join(scope, "contract_id")
-    return facts.join(gt.order_hash(facts, p.order_control, p.module_hash), "contract_id")
+    return facts.join(gt.order_hash(facts, p.module_hash), "contract_id")
 
 
 @query("H3_control_set_hash", "SELECT contract_id, control_set_hash FROM control_set_hashes")
@@ -195,16 +193,17 @@ def _(p):
     return gt.verify_orders(stated, fresh)
 
 
-@query("H2_module_description_hash", """SELECT module_id, sha256(string_agg(s || ' ' || p || ' ' || o || ' .', chr(10)
-  ORDER BY s || ' ' || p || ' ' || o || ' .')) AS module_hash FROM module_fact GROUP BY module_id""")
+_MODULE_HASH = digest_sql("""SELECT module_id, count(*) || ' ' || s || ' ' || p || ' ' || o || ' .' AS line FROM module_fact
+    GROUP BY module_id, s, p, o""", "module_id", "module_hash")
+
+
+@query("H2_module_description_hash", _MODULE_HASH)
 def _(p):
     return ev.module_description_hash(p.module_fact, p.node_fact)
 
 
-@query("P2_verify_modules", """SELECT om.contract_id, om.module_id, CASE WHEN (om.contract_id + om.module_id) % 53 = 0 THEN 'bad' ELSE h.module_hash END AS stated_hash,
-  h.module_hash AS actual_hash, (om.contract_id + om.module_id) % 53 <> 0 AS verified FROM order_module om JOIN (
-    SELECT module_id, sha256(string_agg(s || ' ' || p || ' ' || o || ' .', chr(10) ORDER BY s || ' ' || p || ' ' || o || ' .')) AS module_hash
-    FROM module_fact GROUP BY module_id) h USING (module_id)""")
+@query("P2_verify_modules", f"""SELECT om.contract_id, om.module_id, CASE WHEN (om.contract_id + om.module_id) % 53 = 0 THEN 'bad' ELSE h.module_hash END AS stated_hash,
+  h.module_hash AS actual_hash, (om.contract_id + om.module_id) % 53 <> 0 AS verified FROM order_module om JOIN ({_MODULE_HASH}) h USING (module_id)""")
 def _(p):
     actual = ev.module_description_hash(p.module_fact, p.node_fact)
     bad = (F.col("contract_id") + F.col("module_id")) % 53 == 0

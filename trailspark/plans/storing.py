@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 from trailspark import schemas
 from trailspark.functions import vocab
 from trailspark.operators import store as st
+from trailspark.functions.groups import digest_sql
 from trailspark.plans.registry import query, shared
 from trailspark.sources import files
 
 _PROJECT = "traces"
 
 
-@query("H5_graph_hash", """SELECT contract_id, graph, sha256(string_agg(s || ' ' || p || ' ' || o || ' .', chr(10) ORDER BY s || ' ' || p || ' ' || o || ' .')
-  || chr(10)) AS graph_hash FROM quads GROUP BY contract_id, graph""")
+@query("H5_graph_hash", digest_sql("SELECT contract_id, graph, s || ' ' || p || ' ' || o || ' .' AS line FROM quads", "contract_id, graph", "graph_hash"))
 def _(p):
     return st.graph_hash(p.quads.select("contract_id", "graph", st.quad_line().alias("line")), ["contract_id", "graph"])
 
 
-@query("H6_dataset_fingerprint", """SELECT contract_id, sha256(string_agg(DISTINCT line, chr(10) ORDER BY line)) AS fingerprint FROM (
-  SELECT contract_id, s || chr(9) || p || chr(9) || CASE WHEN starts_with(o, '_:') THEN '_:b' ELSE o END || chr(9) || graph AS line FROM quads)
-  GROUP BY contract_id""")
+@query("H6_dataset_fingerprint", digest_sql("""SELECT contract_id,
+  s || chr(9) || p || chr(9) || CASE WHEN starts_with(o, '_:') THEN '_:b' ELSE o END || chr(9) || graph AS line FROM quads""", "contract_id", "fingerprint"))
 def _(p):
     return st.dataset_fingerprint(p.quads)
 

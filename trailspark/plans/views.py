@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from trailspark.functions.groups import digest_sql
+
 _ROLE = """CASE {0} % 4 WHEN 0 THEN 'Role_AffirmingOfficial' WHEN 1 THEN 'Role_SecurityOfficer'
   WHEN 2 THEN 'Role_ITAdmin' ELSE 'Role_OPs' END"""
 
@@ -50,17 +52,17 @@ VIEWS: dict[str, str] = {
   FROM lines GROUP BY contract_id, l_linenumber""",
     "obligation_derive": """SELECT DISTINCT contract_id, 'OBL-' || l_linenumber AS name, CAST(control_id AS VARCHAR) AS token FROM lines
   UNION SELECT contract_id, 'OBL-' || l_linenumber, 'US-PERSON' FROM lines WHERE l_returnflag = 'R'
-  UNION SELECT contract_id, 'OBL-' || l_linenumber, 'ALL-110-NIST-800-171' FROM lines WHERE contract_id % 1000 = 0""",
+  UNION SELECT contract_id, 'OBL-' || l_linenumber, 'ALL-110-NIST-800-171' FROM lines WHERE contract_id % 40 = 0""",
     "obligation_state": """SELECT *, CASE
   WHEN obligation_type = 'deliverable' AND data_marker IS NOT NULL THEN CASE WHEN acknowledged THEN 'acknowledged' ELSE 'spillover' END
   WHEN obligation_type = 'deliverable' THEN 'deliverable' ELSE 'resolved' END AS status FROM obligation""",
-    "resolved": """SELECT d.contract_id, d.name, CAST(c.control_id AS VARCHAR) AS control_id, CAST(NULL AS VARCHAR) AS marker
-    FROM obligation_state o JOIN obligation_derive d USING (contract_id, name), control c
+    "resolved": """SELECT d.contract_id, d.name, '*' AS control_id, CAST(NULL AS VARCHAR) AS marker
+    FROM obligation_state o JOIN obligation_derive d USING (contract_id, name)
     WHERE o.status = 'resolved' AND d.token = 'ALL-110-NIST-800-171'
   UNION SELECT d.contract_id, d.name, CASE WHEN regexp_matches(d.token, '^[0-9]+$') THEN d.token END,
       CASE WHEN NOT regexp_matches(d.token, '^[0-9]+$') THEN d.token END
     FROM obligation_state o JOIN obligation_derive d USING (contract_id, name)
-    WHERE o.status = 'resolved' AND d.contract_id % 1000 <> 0""",
+    WHERE o.status = 'resolved' AND d.contract_id % 40 <> 0""",
     "clause_rule": """SELECT * FROM (VALUES ('1-URGENT', 'A'), ('1-URGENT', 'R'), ('2-HIGH', 'R'), ('3-MEDIUM', 'A'),
   ('3-MEDIUM', 'N'), ('3-MEDIUM', 'R'), ('5-LOW', 'N')) AS t(clause, token)""",
     "clause_missing": """SELECT h.contract_id, r.clause, r.token FROM order_hdr h JOIN clause_rule r ON r.clause = h.priority
@@ -85,7 +87,7 @@ VIEWS: dict[str, str] = {
   CASE WHEN f IN ('A', 'N') THEN 'passed' WHEN n % 2 = 0 THEN 'failed' ELSE 'needsAction' END AS outcome,
   CASE WHEN n = 1 THEN NULL WHEN s = 'F' AND f = 'N' THEN 'failed' WHEN n = 2 THEN 'inherited' ELSE 'passed' END AS oracle_outcome,
   CASE WHEN n IN (1, 3) THEN 'assert-' || control_id END AS backed_by,
-  CASE WHEN t > 0.05 THEN 'why ' || control_id END AS override_justification,
+  CASE WHEN t > 0.05 THEN 'why | ' || control_id END AS override_justification,
   CASE WHEN d > 0.05 THEN 'proof-' || control_id END AS override_evidence,
   CASE WHEN control_id % 6 = 0 THEN 'DE-' || control_id END AS document_evidence,
   'Official ' || (contract_id % 3) AS official,
@@ -185,10 +187,9 @@ VIEWS: dict[str, str] = {
     || CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE o_orderstatus END || '" .' FROM orders WHERE o_orderkey % 7 <> 0
   UNION SELECT o_custkey, 'structural', v, '<urn:owner/' || o_custkey || '> <urn:term#priority> "' || o_orderpriority || '" .'
     FROM orders, generate_series(0, 1) AS g(v)""",
-    "graph_hashes": """SELECT ref, seq, graph, sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS graph_hash
-  FROM snapshots GROUP BY ref, seq, graph""",
-    "versions": """SELECT ref, seq, sha256('{"graphs": {' || string_agg('"' || graph || '": "' || graph_hash || '"', ', ' ORDER BY graph)
-  || '}, "project": "traces", "ref": "' || ref || '"}') AS version FROM graph_hashes GROUP BY ref, seq""",
+    "graph_hashes": digest_sql("SELECT ref, seq, graph, line FROM snapshots", "ref, seq, graph", "graph_hash"),
+    "versions": f"""SELECT ref, seq, sha256('{{"graphs": "' || g || '", "project": "traces", "ref": "' || ref || '"}}') AS version FROM ({digest_sql(
+    "SELECT ref, seq, graph || ' ' || graph_hash AS line FROM graph_hashes", "ref, seq", "g")})""",
     "commits": "SELECT ref, seq, version, graph, graph_hash FROM graph_hashes JOIN versions USING (ref, seq)",
     "module_fact": """SELECT module_id, '<urn:module/' || module_id || '>' AS s, '<urn:term#label>' AS p, '"' || label || '"' AS o FROM module
   UNION ALL SELECT module_id, '<urn:module/' || module_id || '>', '<urn:term#method>', '"' || method || '"' FROM module WHERE method IS NOT NULL
@@ -212,21 +213,45 @@ VIEWS: dict[str, str] = {
     JOIN order_control o ON o.contract_id = a.contract_id AND o.control_id = a.control_id
   UNION SELECT contract_id, control_id, sha256 FROM document_use WHERE sha256 IS NOT NULL""",
     "bom_rows": f"""SELECT o.contract_id, o.control_id,
-  '[' || coalesce(r.list, '') || ']' AS resource_ids, '[' || coalesce(h.list, '') || ']' AS evidence_hashes,
+  coalesce(r.n, 0) AS resources, coalesce(h.n, 0) AS hashes,
   oc.outcome AS oracle_outcome, a.outcome AS attestation_outcome,
   coalesce({_LABEL.format('a.outcome')}, 'NOT MET') AS status,
   CASE WHEN a.outcome = 'passed' AND oc.outcome = 'failed' THEN 'override'
-    WHEN d.outcome = 'passed' AND a.outcome = 'passed' AND h.list IS NOT NULL THEN 'attested-evidenced'
-    WHEN oc.outcome = 'passed' AND h.list IS NOT NULL THEN 'machine' ELSE 'human-only' END AS evidence_backing,
+    WHEN d.outcome = 'passed' AND a.outcome = 'passed' AND h.n IS NOT NULL THEN 'attested-evidenced'
+    WHEN oc.outcome = 'passed' AND h.n IS NOT NULL THEN 'machine' ELSE 'human-only' END AS evidence_backing,
   d.reference_id, d.git_commit, d.git_committed_at
   FROM order_control o
-  LEFT JOIN (SELECT contract_id, control_id, string_agg('"' || resource_id || '"', ', ' ORDER BY resource_id) AS list
+  LEFT JOIN (SELECT contract_id, control_id, count(*) AS n
     FROM resource_control GROUP BY ALL) r ON r.contract_id = o.contract_id AND r.control_id = o.control_id
-  LEFT JOIN (SELECT contract_id, control_id, string_agg('"' || content_hash || '"', ', ' ORDER BY content_hash) AS list
+  LEFT JOIN (SELECT contract_id, control_id, count(*) AS n
     FROM row_hashes GROUP BY ALL) h ON h.contract_id = o.contract_id AND h.control_id = o.control_id
   LEFT JOIN outcomes oc ON oc.contract_id = o.contract_id AND oc.control_id = o.control_id
   LEFT JOIN attestation a ON a.contract_id = o.contract_id AND a.control_id = o.control_id
   LEFT JOIN document_use d ON d.contract_id = o.contract_id AND d.control_id = o.control_id AND d.sha256 IS NOT NULL""",
+    "artifact_hashes": """SELECT contract_id, order_hash AS hash FROM bom_order UNION SELECT contract_id, state_hash FROM bom_order
+    WHERE state_hash IS NOT NULL UNION SELECT contract_id, content_hash FROM evidence UNION SELECT contract_id, module_hash FROM module_hash
+  UNION SELECT contract_id, content_hash FROM row_hashes JOIN order_control USING (contract_id, control_id)""",
+    "bom_lines": """SELECT contract_id, 'order' AS section, unnest(['order_hash', 'state_hash', 'tier', 'impact_level', 'standard', 'evidentiary_status', 'schema', 'policy_passed']) AS key,
+      unnest([order_hash, coalesce(state_hash, ''), tier, impact_level, standard, evidentiary_status, 'ce-bom/1', CASE WHEN findings = 0 THEN 'true' ELSE 'false' END]) AS value
+    FROM bom_order JOIN evidentiary USING (contract_id) LEFT JOIN gate USING (contract_id)
+  UNION SELECT contract_id, 'attestation', CAST(control_id AS VARCHAR), '{"official": "' || official || '", "outcome": "' || outcome || '", "override_evidence": '
+      || coalesce('"' || override_evidence || '"', 'null') || ', "override_justification": ' || coalesce('"' || override_justification || '"', 'null')
+      || ', "role": "Affirming Official"}' FROM attestation
+  UNION SELECT contract_id, 'control', CAST(control_id AS VARCHAR), '{"attestation_outcome": ' || coalesce('"' || attestation_outcome || '"', 'null') || ', "control_id": "' || control_id
+      || '", "evidence_backing": "' || evidence_backing || '", "git_commit": ' || coalesce('"' || git_commit || '"', 'null') || ', "git_committed_at": '
+      || coalesce('"' || git_committed_at || '"', 'null') || ', "oracle_outcome": ' || coalesce('"' || oracle_outcome || '"', 'null')
+      || ', "reference_id": ' || coalesce('"' || reference_id || '"', 'null') || ', "status": "' || status || '"}' FROM bom_rows
+  UNION SELECT contract_id, 'control_resource', CAST(control_id AS VARCHAR), resource_id FROM resource_control
+  UNION SELECT contract_id, 'control_evidence', CAST(control_id AS VARCHAR), content_hash FROM row_hashes JOIN order_control USING (contract_id, control_id)
+  UNION SELECT contract_id, 'evidence', content_hash, '' FROM evidence
+  UNION SELECT contract_id, 'module', CAST(module_id AS VARCHAR), module_hash FROM module_hash
+  UNION SELECT contract_id, 'oracle', CAST(control_id AS VARCHAR), outcome FROM outcomes
+  UNION SELECT contract_id, 'plan', resource_id, '' FROM planned_resource
+  UNION SELECT contract_id, 'finding', resource_id, unnest(['region-not-us', 'criterion-failed:ITAR-120.54']) FROM planned_resource
+    WHERE region IS NOT NULL AND NOT starts_with(region, 'us')
+  UNION SELECT contract_id, 'finding', '<none>', 'no-region-signal' FROM gate WHERE region_signals = 0""",
+    "bom_hashes": digest_sql("SELECT contract_id, section || chr(9) || key || chr(9) || value AS line FROM bom_lines", "contract_id", "bom_hash"),
+    "bom_heads": "SELECT contract_id, 'BOM/' || bom_hash AS bom, bom_hash FROM bom_hashes",
     "control_status": """SELECT o.contract_id, o.control_id, c.weight, coalesce(m.met AND NOT m.contradicted, false) AS met,
   coalesce(m.contradicted, false) AS contradicted, p.control_id IS NOT NULL AS on_poam, c.poam_eligible,
   c.variable_weight, c.weight_if_partial
@@ -289,33 +314,25 @@ VIEWS: dict[str, str] = {
     SELECT control_id, CASE WHEN bool_or(coalesce(method = 'oracle-attested-reference', false)) THEN 'attested'
       WHEN bool_and(coalesce(starts_with(method, 'inherited'), false)) THEN 'inherited' ELSE 'machine' END AS kind
     FROM module_claim JOIN module USING (module_id) GROUP BY control_id) k USING (control_id)""",
-    "scope_json": """SELECT o.contract_id, '{"data_classes": [' || coalesce(string_agg(DISTINCT '"' || o.data_marker || '"', ', ' ORDER BY '"' || o.data_marker || '"'), '')
-  || '], "impact_level": "IL4", "policy_markers": [' || coalesce(max(m.list), '') || '], "tier": "Tier1"}' AS scope
-  FROM obligation o LEFT JOIN (SELECT contract_id, string_agg(DISTINCT '"' || marker || '"', ', ' ORDER BY '"' || marker || '"') AS list
-    FROM resolved WHERE marker IS NOT NULL GROUP BY contract_id) m USING (contract_id) GROUP BY o.contract_id""",
-    "cop_hashes": """SELECT contract_id, sha256('{' || string_agg('"' || name || '": {"data_marker": ' || coalesce('"' || data_marker || '"', 'null')
-  || ', "derives": [' || coalesce(list, '') || '], "source_ref": "' || source_ref || '", "type": "' || obligation_type || '"}', ', ' ORDER BY name)
-  || '}') AS cop_hash FROM obligation LEFT JOIN (SELECT contract_id, name, string_agg('"' || token || '"', ', ' ORDER BY token) AS list
-    FROM obligation_derive GROUP BY ALL) USING (contract_id, name) GROUP BY contract_id""",
-    "control_set_hashes": """SELECT contract_id, sha256('{"controls": [' || string_agg('"' || control_id || '"', ', ' ORDER BY CAST(control_id AS VARCHAR))
-  || ']}') AS control_set_hash FROM order_control GROUP BY contract_id""",
-    "coverage_hashes": """SELECT contract_id, sha256('{"backward": {' || b.list || '}, "forward": {' || f.list || '}, "verification": {' || v.list || '}}') AS coverage_proof_hash
-  FROM (SELECT o.contract_id, string_agg('"' || o.control_id || '": [' || coalesce(m.list, '') || ']', ', ' ORDER BY CAST(o.control_id AS VARCHAR)) AS list
-    FROM order_control o LEFT JOIN (SELECT control_id, string_agg('"' || module_id || '"', ', ' ORDER BY CAST(module_id AS VARCHAR)) AS list
-      FROM module_claim GROUP BY control_id) m USING (control_id) GROUP BY o.contract_id) f
-  JOIN (SELECT om.contract_id, string_agg('"' || om.module_id || '": [' || coalesce(i.list, '') || ']', ', ' ORDER BY CAST(om.module_id AS VARCHAR)) AS list
-    FROM order_module om LEFT JOIN (SELECT contract_id, module_id, string_agg('"' || control_id || '"', ', ' ORDER BY CAST(control_id AS VARCHAR)) AS list
-      FROM included GROUP BY ALL) i USING (contract_id, module_id) GROUP BY om.contract_id) b USING (contract_id)
-  JOIN (SELECT om.contract_id, string_agg('"' || om.module_id || '": [' || coalesce('"' || m.method || '"', '') || ']', ', ' ORDER BY CAST(om.module_id AS VARCHAR)) AS list
-    FROM order_module om JOIN module m USING (module_id) GROUP BY om.contract_id) v USING (contract_id)""",
-    "order_hashes": """SELECT contract_id, sha256('{"contract": "' || contract_id || '", "control_set_hash": "' || control_set_hash || '", "cop_hash": "' || cop_hash
-  || '", "coverage_proof_hash": "' || coverage_proof_hash || '", "impact_level": "IL4", "module_hashes": {' || m.list || '}, "required_controls": [' || c.list
-  || '], "scope": ' || scope || ', "standard": "NIST SP 800-171 Rev 2", "tier": "Tier1"}') AS order_hash
-  FROM control_set_hashes JOIN cop_hashes USING (contract_id) JOIN coverage_hashes USING (contract_id) JOIN scope_json USING (contract_id)
-  JOIN (SELECT contract_id, string_agg('"' || module_id || '": "' || module_hash || '"', ', ' ORDER BY CAST(module_id AS VARCHAR)) AS list
-    FROM module_hash GROUP BY 1) m USING (contract_id)
-  JOIN (SELECT contract_id, string_agg('"' || control_id || '"', ', ' ORDER BY CAST(control_id AS VARCHAR)) AS list
-    FROM order_control GROUP BY 1) c USING (contract_id)""",
+    "scope_rows": """SELECT contract_id, 'data_class' AS item, data_marker AS value FROM obligation WHERE data_marker IS NOT NULL
+  UNION SELECT contract_id, 'policy_marker', marker FROM resolved WHERE marker IS NOT NULL
+  UNION SELECT contract_id, 'impact_level', 'IL4' FROM obligation UNION SELECT contract_id, 'tier', 'Tier1' FROM obligation""",
+    "cop_hashes": digest_sql("""SELECT contract_id, '"' || name || '": {"data_marker": ' || coalesce('"' || data_marker || '"', 'null')
+      || ', "source_ref": "' || source_ref || '", "type": "' || obligation_type || '"}' AS line FROM obligation
+    UNION ALL SELECT contract_id, '"' || name || '" derives "' || token || '"' FROM obligation_derive""", "contract_id", "cop_hash"),
+    "control_set_hashes": digest_sql("SELECT contract_id, CAST(control_id AS VARCHAR) AS line FROM order_control", "contract_id", "control_set_hash"),
+    "claimers": digest_sql("SELECT control_id, CAST(module_id AS VARCHAR) AS line FROM module_claim", "control_id", "modules_digest"),
+    "coverage_hashes": digest_sql("""SELECT contract_id, 'forward ' || control_id || ' ' || coalesce(modules_digest, '-') AS line FROM order_control LEFT JOIN claimers USING (control_id)
+    UNION ALL SELECT contract_id, 'included ' || module_id FROM order_module
+    UNION ALL SELECT contract_id, 'backward ' || module_id || ' ' || control_id FROM included
+    UNION ALL SELECT contract_id, 'method ' || module_id || ' ' || method FROM order_module JOIN module USING (module_id) WHERE method IS NOT NULL""",
+    "contract_id", "coverage_proof_hash"),
+    "order_hashes": f"""SELECT contract_id, sha256('{{"contract": "' || contract_id || '", "control_set_hash": "' || control_set_hash || '", "cop_hash": "' || cop_hash
+  || '", "coverage_proof_hash": "' || coverage_proof_hash || '", "impact_level": "IL4", "module_hashes": "' || m.h || '", "scope": "' || p.h
+  || '", "standard": "NIST SP 800-171 Rev 2", "tier": "Tier1"}}') AS order_hash
+  FROM control_set_hashes JOIN cop_hashes USING (contract_id) JOIN coverage_hashes USING (contract_id)
+  JOIN ({digest_sql("SELECT contract_id, item || ' ' || value AS line FROM scope_rows", "contract_id", "h")}) p USING (contract_id)
+  JOIN ({digest_sql("SELECT contract_id, module_id || ' ' || module_hash AS line FROM module_hash", "contract_id", "h")}) m USING (contract_id)""",
     "artifact": """SELECT contract_id, evidence_id AS artifact_id, CASE WHEN subtype = 'PolicyCheck' THEN 'policy-check' ELSE 'config-export' END AS method,
   'sys.' || (source_module % 2) AS origin, CASE WHEN source_module % 9 <> 0 THEN CAST(source_control % 3 AS VARCHAR) ELSE '' END AS first_control,
   summary, subtype, source_file, evidentiary_status, generated_at AS collected_at FROM evidence""",
@@ -323,27 +340,21 @@ VIEWS: dict[str, str] = {
   SELECT *, CASE WHEN method = 'policy-check'
     THEN sha256('{"control": "' || first_control || '", "result": ' || summary || ', "tool": "' || origin || '"}')
     ELSE sha256('{"config": ' || summary || ', "control": "' || first_control || '", "source": "' || origin || '"}') END AS model_hash FROM artifact)""",
-    "vcrm": f"""SELECT o.contract_id, o.control_id, coalesce(i.list, '-') AS implementations, coalesce(a.officials, '-') AS officials,
-  coalesce(e.locations, '-') AS locations, coalesce(e.hashes, '-') AS hashes, coalesce(a.status, 'PLANNED') AS status,
-  coalesce(a.backing, '-') AS backing,
-  CASE WHEN a.status IS NULL THEN 'not attested (planned)'
-    WHEN a.status <> 'MET' THEN 'attested ' || a.status || CASE WHEN a.why IS NULL THEN '' ELSE '; override: ' || a.why END
-    WHEN a.why IS NOT NULL THEN 'override: ' || a.why ELSE '-' END AS gap_notes,
-  coalesce(p.item, '-') AS poam_refs
-  FROM order_control o
-  LEFT JOIN (SELECT control_id, string_agg(DISTINCT label, ', ' ORDER BY label) AS list FROM module_claim JOIN module USING (module_id) GROUP BY 1) i
-    ON i.control_id = o.control_id
-  LEFT JOIN (SELECT t.contract_id, t.control_id, t.official AS officials, {_LABEL.format('t.outcome')} AS status, t.override_justification AS why,
+    "vcrm": f"""WITH a AS (SELECT t.*, {_LABEL.format('t.outcome')} AS status,
       CASE WHEN t.outcome = 'passed' AND t.oracle_outcome = 'failed' THEN 'override'
         WHEN t.document_evidence IS NOT NULL AND t.outcome = 'passed' AND x.att_id IS NOT NULL THEN 'attested-evidenced'
         WHEN t.oracle_outcome = 'passed' AND x.att_id IS NOT NULL THEN 'machine' ELSE 'human-only' END AS backing
     FROM attestation t LEFT JOIN (SELECT DISTINCT contract_id, att_id FROM attestation_evidence) x
-      ON x.contract_id = t.contract_id AND x.att_id = t.att_id) a ON a.contract_id = o.contract_id AND a.control_id = o.control_id
-  LEFT JOIN (SELECT d.contract_id, d.control_id,
-      string_agg(DISTINCT coalesce(v.source_file, 'registry://evidence/' || v.content_hash), ', '
-        ORDER BY coalesce(v.source_file, 'registry://evidence/' || v.content_hash)) AS locations,
-      string_agg(DISTINCT substr(v.content_hash, 1, 12), ', ' ORDER BY substr(v.content_hash, 1, 12)) AS hashes
-    FROM addresses d JOIN evidence v USING (contract_id, evidence_id) GROUP BY ALL) e ON e.contract_id = o.contract_id AND e.control_id = o.control_id
-  LEFT JOIN (SELECT contract_id, control_id, 'POAM-' || contract_id || '-' || control_id AS item FROM poam) p
-    ON p.contract_id = o.contract_id AND p.control_id = o.control_id""",
+      ON x.contract_id = t.contract_id AND x.att_id = t.att_id),
+  d AS (SELECT d.contract_id, d.control_id, v.source_file, v.content_hash FROM addresses d JOIN evidence v USING (contract_id, evidence_id)
+    JOIN order_control o ON o.contract_id = d.contract_id AND o.control_id = d.control_id)
+  SELECT contract_id, control_id, 'status' AS item, status AS value FROM a UNION SELECT contract_id, control_id, 'backing', backing FROM a
+  UNION SELECT contract_id, control_id, 'official', official FROM a
+  UNION SELECT contract_id, control_id, 'override', replace(override_justification, '|', '\\|') FROM a WHERE override_justification IS NOT NULL
+  UNION SELECT contract_id, control_id, 'gap', 'attested ' || status FROM a WHERE status <> 'MET'
+  UNION SELECT contract_id, control_id, unnest(['status', 'gap']), unnest(['PLANNED', 'not attested (planned)']) FROM order_control o
+    WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.contract_id = o.contract_id AND a.control_id = o.control_id)
+  UNION SELECT contract_id, control_id, 'location', coalesce(source_file, 'registry://evidence/' || content_hash) FROM d
+  UNION SELECT contract_id, control_id, 'hash', substr(content_hash, 1, 12) FROM d
+  UNION SELECT contract_id, control_id, 'poam', 'POAM-' || contract_id || '-' || control_id FROM poam""",
 }

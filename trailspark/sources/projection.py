@@ -199,7 +199,7 @@ class Projection:
         marker = base.filter("l_returnflag = 'R'").select(
             "contract_id", "name", F.lit("US-PERSON").alias("token")
         )
-        whole = base.filter(F.col("contract_id") % 1000 == 0).select(
+        whole = base.filter(F.col("contract_id") % 40 == 0).select(
             "contract_id", "name", F.lit("ALL-110-NIST-800-171").alias("token")
         )
         return cited.unionByName(marker).unionByName(whole).distinct()
@@ -286,7 +286,7 @@ class Projection:
             F.when(n == 1, F.lit(None).cast("string")).when((s == "F") & (f == "N"), "failed")
             .when(n == 2, "inherited").otherwise("passed").alias("oracle_outcome"),
             F.when(n.isin(1, 3), F.concat(F.lit("assert-"), control)).alias("backed_by"),
-            F.when(F.col("t") > 0.05, F.concat(F.lit("why "), control)).alias("override_justification"),
+            F.when(F.col("t") > 0.05, F.concat(F.lit("why | "), control)).alias("override_justification"),
             F.when(F.col("d") > 0.05, F.concat(F.lit("proof-"), control)).alias("override_evidence"),
             F.when(control % 6 == 0, F.concat(F.lit("DE-"), control)).alias("document_evidence"),
             F.concat(F.lit("Official "), F.col("contract_id") % 3).alias("official"),
