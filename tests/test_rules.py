@@ -209,7 +209,7 @@ def test_planning_gate(frame):
     report = gt.gate_report(required, claim, module, control, included)
     assert rows(report, "contract_id", "gaps", "orphans", "paper_claims", "passed") == [("K", 0, 1, 1, False), ("L", 1, 1, 0, False)]
     header = frame("contract_id string, attested boolean", ("K", True), ("L", False), ("M", True))
-    orders, _, _, refusals = gt.compile_orders(header, required, included, report)
+    orders, _, _, refusals = gt.compile_orders(header, required, included, gt.order_flaws(header, required, claim, module, included))
     assert rows(refusals) == [("K", "orphan-module"), ("L", "profile-not-attested")]
     assert rows(orders, "contract_id") == [("M",)]
 
@@ -235,3 +235,16 @@ def test_residency(frame):
 def test_vocabulary_sizes(spark):
     assert len(vocab.CRITERION_ROWS) == 66 and len({r[0] for r in vocab.CRITERION_ROWS}) == 66
     assert len(vocab.PLAN_ROWS) == 15
+
+
+@pytest.mark.parametrize("metric, comparator, threshold, outcome, reason", [
+    ("23.5", "le", "24", "passed", None), ("24.0", "le", "24", "passed", None), ("1e1", "le", "24", "passed", None), ("24.5", "le", "24", "failed", None),
+    ("24.0", "eq", "24", "passed", None), ("true", "eq", "1", "passed", None), ("1", "in", "[true, 5]", "passed", None), ("2.5", "in", "[2, 2.5]", "passed", None),
+    ('"24"', "eq", "24", "failed", None), ('"24"', "ne", "24", "passed", None), ("null", "ge", "1", "needsAction", "not-comparable"),
+    ('"x"', "le", "24", "needsAction", "not-comparable"), ('"b"', "ge", '"a"', "passed", None), ("null", "eq", "null", "passed", None),
+    ('["a"]', "eq", '["a"]', "passed", None), ("9007199254740993", "eq", "9007199254740992", "failed", None)])
+def test_values_compare_as_numbers_or_text(frame, metric, comparator, threshold, outcome, reason):
+    evidence = frame("contract_id string, evidence_id string, summary string, seq long", ("K", "e", '{"m": ' + metric + "}", 1))
+    rule = frame("control_id string, metric_key string, comparator string, threshold string", ("c", "m", comparator, threshold))
+    got = orc.evaluate_criteria(evidence, frame("contract_id string, evidence_id string, control_id string", ("K", "e", "c")), rule).first()
+    assert (got["outcome"], got["reason"]) == (outcome, reason)

@@ -126,24 +126,6 @@ LAYERS = (
     "evidence", "attestations", "plan_execution", "audit",
 )
 
-# Control families by the 3.N prefix of the control id.
-FAMILIES = {
-    "3.1": "Access Control",
-    "3.2": "Awareness and Training",
-    "3.3": "Audit and Accountability",
-    "3.4": "Configuration Management",
-    "3.5": "Identification and Authentication",
-    "3.6": "Incident Response",
-    "3.7": "Maintenance",
-    "3.8": "Media Protection",
-    "3.9": "Personnel Security",
-    "3.10": "Physical Protection",
-    "3.11": "Risk Assessment",
-    "3.12": "Security Assessment",
-    "3.13": "System and Communications Protection",
-    "3.14": "System and Information Integrity",
-}
-
 # Format tags that enter hashes.
 BOM_SCHEMA = "ce-bom/1"
 BOM_ROLE = "Affirming Official"

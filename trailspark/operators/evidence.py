@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
 from trailspark.functions.groups import group_digest
+from trailspark.operators.oracles import same_value
 
 K, C, E, M = "contract_id", "control_id", "evidence_id", "module_id"
 
@@ -24,17 +25,19 @@ def overlay_by_key(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFra
 def derive_policy_checks(evidence: DataFrame, addresses: DataFrame, checks: DataFrame) -> DataFrame:
     """PASS/FAIL check rows for the checked controls whose metric the export carries.
 
-    ``checks``: control_id, metric_key, threshold (JSON); a metric passes when its JSON
-    value equals the threshold.
+    ``checks``: control_id, metric_key, threshold (JSON); a metric passes when it equals
+    the threshold by value.
     """
     facts = evidence.select(K, E, "summary")
     rows = (
         addresses.select(K, E, C).join(checks, C).join(facts, [K, E])
         .withColumn("_all", F.expr("from_json(summary, 'map<string, variant>')"))
-        .withColumn("_value", F.to_json(F.try_element_at("_all", F.col("metric_key"))))
+        .withColumn("_v", F.try_element_at("_all", F.col("metric_key")))
+        .withColumn("_bound", F.parse_json("threshold"))
+        .withColumn("_value", F.coalesce(F.to_json("_v"), F.lit("null")))
         .filter(F.map_contains_key("_all", F.col("metric_key")))
     )
-    status = F.when(F.col("_value") == F.col("threshold"), "PASS").otherwise("FAIL")
+    status = F.when(same_value("_v", "_bound"), "PASS").otherwise("FAIL")
     return rows.select(
         K, E, C, "metric_key", F.lit(vocab.POLICY_TOOL).alias("tool"), status.alias("status"),
         F.concat("metric_key", F.lit("="), "_value", F.lit(" eq "), "threshold").alias("detail"),

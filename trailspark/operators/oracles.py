@@ -13,27 +13,50 @@ K, C, E = "contract_id", "control_id", "evidence_id"
 
 # -- criteria ----------------------------------------------------------------------
 
-_KIND = {"BOOLEAN": "bool", "BIGINT": "int", "STRING": "string"}
 
+def comparable(name: str) -> dict[str, Column]:
+    """A JSON value (VARIANT column) as a whole number, a number, a text, or else as JSON.
 
-def _typed(variant: str, kind: Column, spark_type: str, name: str) -> Column:
-    """The value when it has this kind; a boolean is never read as a number or text."""
-    value = F.expr(f"try_variant_get({variant}, '$', '{spark_type}')")
-    return F.when(kind == name, value)
-
-
-def _outcome_of(comparator: Column, value: Column, bound: Column) -> Column:
+    Truth values count as 1 and 0. Whole numbers keep all their digits.
+    """
+    kind = F.schema_of_variant(name)
+    get = lambda t: F.expr(f"try_variant_get({name}, '$', '{t}')")
+    number = kind.rlike("^(BIGINT|DECIMAL|FLOAT|DOUBLE)")
+    truth = F.when(kind == "BOOLEAN", get("boolean").cast("bigint"))
+    whole = F.coalesce(F.when(kind == "BIGINT", get("bigint")), truth)
+    return {
+        "whole": whole, "number": F.coalesce(F.when(number, get("double")), truth.cast("double")),
+        "text": F.when(kind == "STRING", get("string")), "json": F.to_json(F.col(name)),
+    }
+
+
+def _equal(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Numbers by value, texts by text, anything else by its JSON; never null."""
     return (
-        F.when(comparator == "eq", value == bound).when(comparator == "ne", value != bound)
-        .when(comparator == "le", value <= bound).when(comparator == "ge", value >= bound)
+        F.when(a["whole"].isNotNull() & b["whole"].isNotNull(), a["whole"] == b["whole"])
+        .when(a["number"].isNotNull() & b["number"].isNotNull(), a["number"] == b["number"])
+        .when(a["number"].isNotNull() | b["number"].isNotNull(), False)
+        .otherwise(F.coalesce(a["json"], F.lit("null")) == F.coalesce(b["json"], F.lit("null")))
     )
 
 
+def same_value(left: str, right: str) -> Column:
+    """Whether two VARIANT columns hold equal values."""
+    return _equal(comparable(left), comparable(right))
+
+
+def _ordered(a: dict[str, Column], b: dict[str, Column], less: bool) -> Column:
+    """a <= b or a >= b of two numbers or two texts; null where they have no order."""
+    pick = lambda x, y: x <= y if less else x >= y
+    return F.coalesce(*[pick(a[k], b[k]) for k in ("whole", "number", "text")])
+
+
 def evaluate_criteria(evidence: DataFrame, addresses: DataFrame, criterion: DataFrame) -> DataFrame:
     """One result per (evidence, control): passed, failed or needsAction with a reason.
 
-    Summary and threshold are JSON and compared in their own type: two texts compare as
-    text, also for 'ge'; values of different types are unequal and not ordered.
+    Summary and threshold are JSON. Numbers compare by value whatever their form, truth
+    values as 1 and 0, two texts as text, also for 'le' and 'ge'; values without an order
+    (null, text against number) need action.
     """
     rules = criterion.select(C, "metric_key", "comparator", F.parse_json("threshold").alias("_bound"),
                              F.col("threshold"))
@@ -42,30 +65,30 @@ def evaluate_criteria(evidence: DataFrame, addresses: DataFrame, criterion: Data
         addresses.select(K, E, C).join(facts, [K, E]).join(rules, C, "left")
         .withColumn("_all", F.expr("from_json(summary, 'map<string, variant>')"))
         .withColumn("_v", F.try_element_at("_all", F.col("metric_key")))
-        .withColumn("_vk", vocab.lookup(F.schema_of_variant("_v"), _KIND))
-        .withColumn("_bk", vocab.lookup(F.schema_of_variant("_bound"), _KIND))
     )
+    rows = rows.withColumns({f"_v_{k}": c for k, c in comparable("_v").items()} | {f"_b_{k}": c for k, c in comparable("_bound").items()})
+    value, bound = ({k: F.col(f"_{x}_{k}") for k in ("whole", "number", "text", "json")} for x in "vb")
     comparator = F.col("comparator")
-    types = (("bool", "boolean"), ("int", "bigint"), ("string", "string"))
-    same_kind = F.coalesce(*[
-        _outcome_of(comparator, _typed("_v", F.col("_vk"), t, n), _typed("_bound", F.col("_bk"), t, n))
-        for n, t in types
-    ])
-    mixed = F.when(comparator == "ne", True).otherwise(False)
-    listed = F.coalesce(*[
-        F.array_contains(
-            F.expr(f"try_variant_get(_bound, '$', 'array<{t}>')"), _typed("_v", F.col("_vk"), t, n)
-        )
-        for n, t in types
-    ], F.lit(False))
-    ok = F.when(comparator == "in", listed).otherwise(F.coalesce(same_kind, mixed))
+    # Members of a list compare as the whole does; a list's numbers and truth values are told apart by their JSON.
+    member = lambda x: F.when(
+        value["number"].isNotNull(), F.coalesce(x.try_cast("double"), F.when(x == "true", 1.0).when(x == "false", 0.0)) == value["number"]
+    ).otherwise(x == F.coalesce(value["json"], F.lit("null")))
+    texts = F.transform(F.expr("try_variant_get(_bound, '$', 'array<variant>')"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+    listed = F.coalesce(F.exists(texts, member), F.lit(False))
+    ordered = F.when(comparator == "le", _ordered(value, bound, True)).when(comparator == "ge", _ordered(value, bound, False))
+    equal = _equal(value, bound)
+    ok = (
+        F.when(comparator == "in", listed).when(comparator == "eq", equal).when(comparator == "ne", ~equal).otherwise(ordered)
+    )
+    orderless = comparator.isin("le", "ge") & ordered.isNull()
     missing_rule = F.col("metric_key").isNull()
     missing_metric = ~F.coalesce(F.map_contains_key("_all", F.col("metric_key")), F.lit(False))
     return rows.select(
         K, E, C, "seq", "metric_key", "comparator", "threshold",
-        F.when(missing_rule | missing_metric, "needsAction").when(ok, "passed").otherwise("failed")
+        F.when(missing_rule | missing_metric | orderless, "needsAction").when(ok, "passed").otherwise("failed")
         .alias("outcome"),
-        F.when(missing_rule, "no-machine-criterion").when(missing_metric, "metric-absent").alias("reason"),
+        F.when(missing_rule, "no-machine-criterion").when(missing_metric, "metric-absent")
+        .when(orderless, "not-comparable").alias("reason"),
         F.expr("cast(_v as string)").alias("metric_value"),
     )
 

@@ -213,18 +213,19 @@ def _(p):
     return at.validate_attestation_log(p.attestation_log)[0].select("id", "signer", "signer_role", "outcome", "_line")
 
 
+# JSON's ASCII escape of a text, character by character; two units above U+FFFF.
+_NOTES = """array_to_string([CASE WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+    WHEN c = chr(8) THEN '\\b' WHEN c = chr(12) THEN '\\f' WHEN unicode(c) < 32 OR (unicode(c) > 126 AND unicode(c) < 65536 AND unicode(c) <> 127) THEN '\\u' || format('{:04x}', unicode(c))
+    WHEN unicode(c) >= 65536 THEN '\\u' || format('{:04x}', 55296 + (unicode(c) - 65536) // 1024) || '\\u' || format('{:04x}', 56320 + (unicode(c) - 65536) % 1024)
+    ELSE c END FOR c IN string_split(notes, '')], '')"""
+
+
 @query("A2_record_hashes", """SELECT 'log' AS _file, line AS _line, id, sha256('{"adequacy":"' || adequacy || '","controls_attested":['
   || (SELECT string_agg('"' || c || '"', ',' ORDER BY c) FROM generate_series(0, 49) AS g(c) WHERE c % 7 <> conv_id % 7)
-  || '],"covers":["' || conv_id || '"],"id":"' || id || '","notes":"' || length(notes) || '","outcome":"' || outcome || '","override_evidence":'
+  || '],"covers":["' || cover_key || '"],"id":"' || id || '","notes":"' || """ + _NOTES + """ || '","outcome":"' || outcome || '","override_evidence":'
   || coalesce('"' || override_evidence || '"', 'null') || ',"override_justification":' || coalesce('"' || override_justification || '"', 'null')
   || ',"signed_at":"' || strftime(signed_on, '%Y-%m-%d') || 'T00:00:00+00:00","signer":"' || signer || '","signer_role":"' || signer_role
   || '","sufficiency":"' || sufficiency || '"}') AS record_hash FROM attestation_log""")
-def _(p):
-    """Notes hold the text's length: DuckDB has no ASCII-only JSON escape to compare with."""
-    return at.record_hashes(p.attestation_log.withColumn("notes", F.length("notes").cast("string")))
-
-
-@query("A2_record_hashes_whole_text", None)
 def _(p):
     return at.record_hashes(p.attestation_log)
 

@@ -63,10 +63,14 @@ def _(p):
     return st.put_blobs(p.blob.drop("doc_id"), _held(p))[1]
 
 
-@query("C2_verify_blobs", f"""SELECT DISTINCT sha256(text) AS hash, coalesce(NOT h.other, false) AS verified FROM documents
-  LEFT JOIN ({_HELD}) h ON h.h = sha256(text) WHERE doc_id % 41 <> 0""")
+_NAMED = "CASE WHEN doc_id % 41 = 0 THEN sha256('x' || sha256(text)) ELSE sha256(text) END"
+
+
+@query("C2_verify_blobs", f"""SELECT DISTINCT d.hash, coalesce(NOT h.other, false) AS verified FROM (SELECT {_NAMED} AS hash FROM documents) d
+  LEFT JOIN ({_HELD}) h ON h.h = d.hash""")
 def _(p):
-    return st.verify_blobs(p.blob.filter("doc_id % 41 <> 0"), _held(p))
+    """Every blob is wanted; those of a wrong name are not stored."""
+    return st.verify_blobs(p.blob, _held(p))
 
 
 @query("C3_latest_bom", """SELECT o_custkey AS contract_id, sha256('bom-' || max(o_orderkey)) AS bom_hash FROM orders GROUP BY o_custkey""")
@@ -89,24 +93,21 @@ def _(p):
     return st.bom_signature(st.latest_bom(p.bom_index), signatures)
 
 
-_LOCAL = "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 3 = 0"
-
-
-@query("C4_read_through", "SELECT DISTINCT sha256(text) AS hash, octet_length(encode(text)) AS bytes FROM documents WHERE doc_id % 41 <> 0")
+@query("C4_read_through", f"SELECT DISTINCT {_NAMED} AS hash, octet_length(encode(text)) AS bytes FROM documents")
 def _(p):
     return _tiers(p)[0].select("hash", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
-@query("C4_backfill", f"SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 41 <> 0 AND sha256(text) NOT IN (SELECT hash FROM ({_LOCAL} AND doc_id % 41 <> 0))")
+@query("C4_backfill", f"""SELECT DISTINCT {_NAMED} AS hash FROM documents
+  WHERE {_NAMED} NOT IN (SELECT {_NAMED} FROM documents WHERE doc_id % 3 = 0)""")
 def _(p):
     return _tiers(p)[1].select("hash")
 
 
 @shared
 def _tiers(p):
-    blobs = p.blob.filter("doc_id % 41 <> 0")
-    local = blobs.filter("doc_id % 3 = 0").select("hash", "content").dropDuplicates(["hash"])
-    return st.read_through(local, blobs.select("hash", "content"))
+    local = p.blob.filter("doc_id % 3 = 0").select("hash", "content").dropDuplicates(["hash"])
+    return st.read_through(local, p.blob.select("hash", "content"))
 
 
 @shared

@@ -111,7 +111,7 @@ VIEWS: dict[str, str] = {
   CASE WHEN conv_id % 3 = 0 THEN 'Role_AffirmingOfficial' WHEN role = 'user' THEN 'Role_SecurityOfficer'
     WHEN role = 'assistant' THEN 'Role_ITAdmin' ELSE 'Role_OPs' END AS signer_role,
   DATE '2024-03-01' + CAST(turn * 60 + conv_id % 20 AS INTEGER) AS signed_on,
-  CAST(conv_id AS VARCHAR) AS cover_key, conv_id, turn,
+  CASE WHEN conv_id % 6 = 5 THEN 'conv-' || conv_id ELSE CAST(conv_id AS VARCHAR) END AS cover_key, conv_id, turn,
   CASE WHEN conv_id % 7 = 3 THEN 'failed' WHEN conv_id % 7 = 4 THEN 'needsAction' ELSE 'passed' END AS outcome,
   CASE WHEN conv_id % 11 <> 0 THEN 'reviewed' ELSE '' END AS adequacy,
   CASE WHEN turn % 5 <> 4 THEN 'enough' ELSE '' END AS sufficiency,
@@ -119,7 +119,7 @@ VIEWS: dict[str, str] = {
   CASE WHEN conv_id % 8 = 0 THEN 'ed25519-v1' ELSE 'none' END AS sig_algo, text AS notes,
   CASE WHEN conv_id % 5 = 0 THEN 'override' END AS override_justification,
   CASE WHEN conv_id % 10 = 0 THEN 'artifact' END AS override_evidence,
-  conv_id * 1000 + turn AS line FROM conversations WHERE conv_id % 6 <> 5""",
+  conv_id * 1000 + turn AS line FROM conversations""",
     "latest_log": """SELECT cover_key, CAST(c AS VARCHAR) AS control_id, id AS att_id, signer, signer_role,
   outcome AS att_outcome, adequacy, sufficiency, notes, signed_on FROM (
     SELECT l.*, c, row_number() OVER (PARTITION BY cover_key, c ORDER BY signed_on DESC, line) AS rn

@@ -323,14 +323,14 @@ class Projection:
             F.lit("2024-03-01").cast("date"), (turn * 60 + conv % 20).cast("int")
         )
         outcome = F.when(conv % 7 == 3, "failed").when(conv % 7 == 4, "needsAction").otherwise("passed")
-        return self.table("conversations").filter(conv % 6 != 5).select(
+        return self.table("conversations").select(
             F.concat_ws("-", F.lit("log"), conv, turn).alias("id"),
             F.concat(F.lit("Signer "), conv % 9).alias("signer"),
             F.when(conv % 3 == 0, vocab.AFFIRMING_OFFICIAL)
             .when(role == "user", "Role_SecurityOfficer")
             .when(role == "assistant", "Role_ITAdmin").otherwise("Role_OPs").alias("signer_role"),
             F.concat(signed.cast("string"), F.lit("T00:00:00+00:00")).alias("signed_at"),
-            F.array(conv.cast("string")).alias("covers"),
+            F.array(F.when(conv % 6 == 5, F.concat(F.lit("conv-"), conv)).otherwise(conv.cast("string"))).alias("covers"),
             F.filter(F.sequence(F.lit(0), F.lit(49)), lambda x: x % 7 != conv % 7)
             .cast("array<string>").alias("controls_attested"),
             outcome.alias("outcome"),
@@ -629,7 +629,7 @@ class Projection:
         """Assurance argument: parts are goals, strategies and solutions, line items support."""
         kind = F.when(F.col("p_partkey") % 3 == 0, "Goal").when(F.col("p_partkey") % 3 == 1, "Strategy").otherwise("Solution")
         nodes = self.table("part").select(F.col("p_partkey").alias("node"), kind.alias("kind"))
-        supports = self.table("lineitem").filter("l_orderkey % 50 = 0").select(
+        supports = self.table("lineitem").select(
             F.col("l_partkey").alias("node"),
             (F.col("l_partkey") + F.col("l_suppkey")).alias("supported_by"),
         ).distinct()
