@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailspark.operators import audit as au
 from trailspark.operators import evidence as ev
+from trailspark.operators import gates as gt
 from trailspark.operators import lookups as lk
 from trailspark.operators import package as pk
 from trailspark.operators import provenance as pv
@@ -13,7 +14,7 @@ from trailspark.operators import validate as va
 from trailspark.plans.auditing import _boms, _met, _rows
 from trailspark.plans.catalog import _REFS
 from trailspark.plans.evaluation import _outcomes, _results
-from trailspark.plans.registry import query, shared
+from trailspark.plans.registry import BODIES, BUILDERS, query, shared
 
 _NONE = "CAST(NULL AS VARCHAR) AS contract_id"
 
@@ -208,22 +209,20 @@ def _(p):
     return va.backward_traceability_shape(p.attestation, p.attestation_evidence, p.addresses)
 
 
+_SHAPES = (
+    "V1_control_shape", "V2_poam_legality_shape", "V3_contradiction_shape", "V4_override_evidence_shape", "V5_attestation_shape",
+    "V6_plan_instantiation_shape", "V7_evidence_shape", "V8_requirement_shape", "V9_strategy_supported_shape", "V9_goal_supported_shape",
+    "V10_statement_shape", "V11_activity_agent_shape", "V12_generating_activity_shape", "V13_passed_requires_adequacy_shape",
+    "V14_forward_traceability_shape", "V15_backward_traceability_shape",
+)
+
+
 @shared
 def _violations(p):
-    return va.validate(
-        va.poam_legality_shape(p.poam, p.control), va.contradiction_shape(p.attestation, p.assertion),
-        va.override_evidence_shape(p.attestation), va.attestation_shape(p.attestation),
-        va.evidence_shape(p.evidence, p.addresses), va.passed_requires_adequacy_shape(p.attestation),
-        va.forward_traceability_shape(p.order_control, p.control, p.attestation, p.attestation_evidence, p.addresses),
-        va.backward_traceability_shape(p.attestation, p.attestation_evidence, p.addresses),
-    )
+    return va.validate(*[BUILDERS[name](p) for name in _SHAPES])
 
 
-_ALL = _any(
-    _shape("PoamLegalityShape", "control_id", "poamItem", "only one-point controls may carry a plan-of-action item",
-           "poam JOIN control USING (control_id) WHERE weight > 1"),
-    _CONTRA, _OVERRIDE, _ATTEST, _EVIDENCE, _PASSED, _FORWARD, _BACKWARD,
-)
+_ALL = _any(*[f"SELECT contract_id, shape, focus, path, message FROM ({BODIES[name]})" for name in _SHAPES])
 
 
 @query("V16_violations", _ALL)
@@ -301,23 +300,29 @@ def _(p):
     return pv.compile_provenance(p.order_hdr)
 
 
-@query("R5_runtime_provenance", """SELECT contract_id AS run_id, t.kind, 'exec/' || contract_id || '/' || t.step AS activity, t.name || '/' || contract_id AS entity, t.variable
+_RAN = "WHERE contract_id NOT IN (SELECT contract_id FROM gate WHERE findings > 0)"
+
+
+@query("R5_runtime_provenance", f"""SELECT contract_id AS run_id, t.kind, 'exec/' || contract_id || '/' || t.step AS activity, t.name || '/' || contract_id AS entity, t.variable
   FROM order_hdr, (VALUES ('LoadOrder', 'used', 'order', 'Order'), ('FetchByHash', 'used', 'order', 'Order'),
-    ('FetchByHash', 'generated', 'modulehashes', 'ModuleHashes'), ('Plan', 'generated', 'planhash', 'PlanHash')) AS t(step, kind, name, variable)
-  UNION ALL SELECT contract_id, 'variable', NULL, evidence_id, 'Evidence' FROM evidence
-  UNION ALL SELECT contract_id, 'used', 'exec/' || contract_id || '/Oracles', evidence_id, 'Evidence' FROM evidence
-  UNION ALL SELECT contract_id, 'variable', NULL, 'controlcheck/' || control_id || '/' || evidence_id, 'OracleAssertions' FROM criteria_result""")
+    ('FetchByHash', 'generated', 'modulehashes', 'ModuleHashes'), ('Plan', 'generated', 'planhash', 'PlanHash')) AS t(step, kind, name, variable) {_RAN}
+  UNION ALL SELECT contract_id, 'variable', NULL, evidence_id, 'Evidence' FROM evidence {_RAN}
+  UNION ALL SELECT contract_id, 'used', 'exec/' || contract_id || '/Oracles', evidence_id, 'Evidence' FROM evidence {_RAN}
+  UNION ALL SELECT contract_id, 'variable', NULL, 'controlcheck/' || control_id || '/' || evidence_id, 'OracleAssertions' FROM criteria_result {_RAN}""")
 def _(p):
+    """Contracts that the residency gate halts run no further stage."""
     from trailspark.operators.oracles import assertions
 
-    return pv.runtime_provenance(p.order_hdr, p.evidence, assertions(_results(p)))
+    gate = gt.residency_gate(p.planned_resource)
+    ran = lambda rows: gt.halted_contracts(rows, gate)
+    return pv.runtime_provenance(ran(p.order_hdr), ran(p.evidence), ran(assertions(_results(p))))
 
 
-@query("R5_downstream_provenance", """SELECT contract_id AS run_id, t.kind, 'exec/' || contract_id || '/' || t.step AS activity, t.name || '/' || contract_id AS entity, t.variable
+@query("R5_downstream_provenance", f"""SELECT contract_id AS run_id, t.kind, 'exec/' || contract_id || '/' || t.step AS activity, t.name || '/' || contract_id AS entity, t.variable
   FROM order_hdr, (VALUES ('Attestation', 'generated', 'attestations', 'Attestations'), ('Audit', 'generated', 'bom', 'BOM'),
-    ('SignAndStore', 'generated', 'ssp', 'SSP')) AS t(step, kind, name, variable)""")
+    ('SignAndStore', 'generated', 'ssp', 'SSP')) AS t(step, kind, name, variable) {_RAN}""")
 def _(p):
-    return pv.downstream_provenance(p.order_hdr)
+    return pv.downstream_provenance(gt.halted_contracts(p.order_hdr, gt.residency_gate(p.planned_resource)))
 
 
 @query("R6_lineage_edges", """SELECT event_id // 5 AS run_id, 'ent-' || event_id AS source, 'ent-' || (event_id + n) AS target, n AS hops
@@ -365,11 +370,11 @@ def _(p):
 
 @shared
 def _package(p):
-    """Every 5th manifest is unsigned, every 7th has a bad signature; files are lost or changed."""
+    """Every 5th manifest is unsigned, every 7th has a bad signature, every 9th a bad one on its bill of materials; files are lost or changed."""
     key = F.col("contract_id")
     manifests = p.order_hdr.select(
         "contract_id", F.when(key % 5 == 0, "none").otherwise("ed25519-v1").alias("sig_algo"),
-        (key % 7 != 0).alias("signature_verified"),
+        (key % 7 != 0).alias("signature_verified"), F.when(key % 3 == 0, key % 9 != 0).alias("bom_signature_verified"),
     )
     body = F.concat(F.lit("bom-"), key)
     artifacts = p.order_hdr.select("contract_id", F.lit("bom.json").alias("name"), F.sha2(body, 256).alias("sha256"))
@@ -386,6 +391,7 @@ _ISSUES = """SELECT contract_id, 'signature' AS part, CASE WHEN contract_id % 5
     FROM order_hdr WHERE contract_id % 5 = 0 OR contract_id % 7 = 0
   UNION ALL SELECT contract_id, 'artifact', CASE WHEN contract_id % 11 = 0 THEN 'artifact-missing:bom.json' ELSE 'artifact-hash-mismatch:bom.json' END
     FROM order_hdr WHERE contract_id % 11 = 0 OR contract_id % 13 = 0
+  UNION ALL SELECT contract_id, 'artifact', 'bom-signature-does-not-verify' FROM order_hdr WHERE contract_id % 9 = 0
   UNION ALL SELECT r.contract_id, 'chain', 'override-without-evidence:' || r.control_id FROM bom_rows r
     JOIN attestation a ON a.contract_id = r.contract_id AND a.control_id = r.control_id
     WHERE r.evidence_backing = 'override' AND a.override_evidence IS NULL"""

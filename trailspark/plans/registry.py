@@ -15,6 +15,9 @@ from trailspark.sources.projection import Projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# The same before the projection and its views are put in, for queries made of others.
+BUILDERS: dict[str, Callable[[Projection], DataFrame]] = {}
+BODIES: dict[str, str] = {}
 
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 
@@ -68,9 +71,9 @@ def query(name: str, sql: str | None = None):
             return plain(build(Projection(session.tune(spark), folder)))
 
         run.__doc__ = build.__doc__
-        QUERIES[name] = run
+        QUERIES[name], BUILDERS[name] = run, build
         if sql is not None:
-            ORACLES[name] = _with_views(sql)
+            ORACLES[name], BODIES[name] = _with_views(sql), sql
         return build
 
     return register

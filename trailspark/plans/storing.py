@@ -275,3 +275,22 @@ def _(p):
     return files.parse_attestation_lines(written.unionByName(noise)).select(
         "_file", "_line", "id", "signer_role", "covers", "outcome", "sig", "sig_algo", "notes"
     )
+
+
+@query("S12_snapshot_graphs", "SELECT DISTINCT graph, s, p, o FROM quads")
+def _(p):
+    return files.snapshot_rows(p.quads)
+
+
+@query("S12_snapshot_union", "SELECT DISTINCT s, p, o FROM quads")
+def _(p):
+    return files.snapshot_rows(p.quads, union=True)
+
+
+@query("S9_log_lines", """SELECT id, signer, cover_key AS cover, outcome, override_justification IS NULL AS no_override FROM attestation_log""")
+def _(p):
+    """The lines as written, read back field by field."""
+    get = lambda path: F.get_json_object("value", path)
+    return files.attestation_lines(p.attestation_log).select(
+        get("$.id").alias("id"), get("$.signer").alias("signer"), get("$.covers[0]").alias("cover"), get("$.outcome").alias("outcome"),
+        F.contains("value", F.lit('"override_justification":null')).alias("no_override"))

@@ -47,12 +47,15 @@ def parse_quad_lines(lines: DataFrame) -> DataFrame:
     })
 
 
+def snapshot_rows(quads: DataFrame, *, union: bool = False) -> DataFrame:
+    """The triples of all graphs by name, or of their flat union."""
+    return quads.select(*([] if union else ["graph"]), "s", "p", "o").distinct()
+
+
 def write_snapshot(quads: DataFrame, path: str, *, union: bool = False, mode: str = "errorifexists") -> None:
     """All graphs partitioned by name, or the flat union without graph names."""
-    if union:
-        quads.select("s", "p", "o").distinct().write.mode(mode).parquet(path)
-    else:
-        quads.select("graph", "s", "p", "o").distinct().write.mode(mode).partitionBy("graph").parquet(path)
+    writer = snapshot_rows(quads, union=union).write.mode(mode)
+    (writer if union else writer.partitionBy("graph")).parquet(path)
 
 
 def literal_value(term: Column) -> Column:
@@ -190,10 +193,15 @@ def read_attestation_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_attestation_lines(lines.select("_file", place.alias("_line"), "value"))
 
 
+def attestation_lines(records: DataFrame) -> DataFrame:
+    """The log line of each record: JSON with all fields, null ones too."""
+    names = [f.name for f in schemas.ATTESTATION_RECORD.fields]
+    return records.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_attestation_log(records: DataFrame, path: str) -> None:
     """Append records; what is already logged is never rewritten."""
-    names = [f.name for f in schemas.ATTESTATION_RECORD.fields]
-    records.select(*names).write.mode("append").option("ignoreNullFields", False).json(path)
+    attestation_lines(records).write.mode("append").text(path)
 
 
 # -- documents and blobs -----------------------------------------------------------
