@@ -24,7 +24,7 @@ from llm.common import map_arrow, raw
 #: The word pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a task remembers; beyond that it forgets all and starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -234,6 +234,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _forget(path: str):
+    """What ends a task: the codec stays, the words that it remembers go."""
+    return lambda: codec(path).known.clear()
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where an installed public vocabulary file lies."""
     import public_tokenizers
@@ -254,7 +259,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     return map_arrow(docs.select(key, F.col(text).cast("string").alias("#text")), run,
-                     f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary", rows=256)
+                     f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary", rows=256, done=_forget(path))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -289,4 +294,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     return map_arrow(docs.select(key, F.col(text).cast("string").alias("#text")), run,
                      f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-                     + ", ids array<int>" * keep_ids, rows=256)
+                     + ", ids array<int>" * keep_ids, rows=256, done=_forget(path))

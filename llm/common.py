@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.session import durable, tune
+from trailspark.session import durable
+from trailspark.session import tune as tune_base
 
 __all__ = ["bucket", "durable", "hash64", "map_arrow", "raw", "span_hashes", "table", "tree_sum", "tune"]
 
@@ -17,6 +18,16 @@ _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch between the JVM and Python: long texts make the default too large.
+BATCH_ROWS = 1_000
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The library's session settings, and Arrow batches that suit texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return tune_base(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,13 +42,21 @@ def bucket(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def map_arrow(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 0) -> DataFrame:
-    """Apply ``function`` to Arrow batches, cut to at most ``rows`` rows where given."""
+def map_arrow(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 0,
+              done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``function`` to Arrow batches, cut to at most ``rows`` rows where given.
+
+    ``done`` runs when a task ends: Python workers live on, and so would what they remember.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
-                yield function(batch.slice(start, rows) if rows else batch)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                    yield function(batch.slice(start, rows) if rows else batch)
+        finally:
+            if done:
+                done()
 
     return frame.mapInArrow(run, schema)
 

@@ -31,6 +31,10 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _forget() -> None:
+    _space.cache_clear()
+
+
 class Space:
     """Random letter vectors of +1 and -1, and the n-gram vectors bound from them.
 
@@ -151,4 +155,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
     return map_arrow(docs.select(key, F.col(text).cast("string").alias("#text")), run,
-                     f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double", rows=256)
+                     f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double", rows=256, done=_forget)

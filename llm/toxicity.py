@@ -94,8 +94,12 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
-        x = (np.array([self.features(t) for t in texts]).reshape(-1, self.width) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+        out = np.zeros(len(texts))
+        for start in range(0, len(texts), 256):
+            some = texts[start : start + 256]
+            x = (np.array([self.features(t) for t in some]).reshape(-1, self.width) - self.mean) / self.scale
+            out[start : start + 256] = 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+        return out
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
