@@ -11,6 +11,7 @@ from llm.common import bucket, durable, table, tune
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; labels of one bucket in five stay unread, as for the operator's query."""
+    tune(spark)
     held_out = bucket("doc_id", 5) == 0
     model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.drop_toxic(docs, model)
@@ -18,6 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of linked fingerprints."""
+    tune(spark)
     return simhash.keep_one(docs)
 
 
@@ -28,12 +30,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def strike_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; n_chars follows the text."""
+    tune(spark)
     clean = secrets.redact(docs, secrets.fit(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    tune(spark)
     return bpe.round_trip(docs, bpe.vocabulary(), keep_ids=True)
 
 
