@@ -198,7 +198,10 @@ def _item_grams(window: int, gram: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, **kinds) -> DataFrame:
-    """The rows of ``docs`` of which less than one word in ``share`` is inside benchmark windows."""
+    """The rows of ``docs`` of which less than one word in ``share`` is inside benchmark windows.
+
+    Rows without a key or without words stay; rows that repeat a key go together.
+    """
     bad = contamination(docs, benchmark, key, text, **kinds).where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     bad = durable(bad.select(F.col(key).alias("#key")).distinct())
     return docs.join(bad, docs[key] == bad["#key"], "left_anti")

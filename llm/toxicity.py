@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from llm.common import durable, map_arrow
 
 #: Labelled rows at most that are learned from, and unlabelled rows beside them; chosen by hash.
-FIT_ROWS = 20_000
+FIT_ROWS = 15_000
 #: Terms that make up the mined lexicons, and the number of these lexicons.
 TERMS = 400
 LEXICONS = 24
@@ -138,13 +138,19 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
     return post, accuracy, corr
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps."""
-    a = np.c_[x, np.ones(len(x))]
-    w, keep = np.zeros(a.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
+def _regress(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Newton steps, over slices of the rows."""
+    n = x.shape[1] + 1
+    w, keep = np.zeros(n), np.r_[np.full(n - 1, ridge), 1e-6]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(keep), a.T @ (y - p) - keep * w)
+        hessian, slope = np.diag(keep), -keep * w
+        for start in range(0, len(x), 4096):
+            part = x[start : start + 4096]
+            a = np.c_[(part - mean) / scale, np.ones(len(part))]
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            hessian += (a * (p * (1 - p) + 1e-6)[:, None]).T @ a
+            slope += a.T @ (y[start : start + 4096] - p)
+        step = np.linalg.solve(hessian, slope)
         w = w + step
         if np.abs(step).max() < 1e-4:
             break
@@ -159,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     labelled ones; the label model runs over the votes on all; the classifier is trained
     on its posteriors. The driver gets counts of the leading terms and one row of numbers
     for each chosen document. Where both classes are not labelled, every score is the
-    share of toxic labels (0.5 without any).
+    share of toxic labels, smoothed (0.25 without any).
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     n = marks.count()
@@ -169,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = known.groupBy("y").count().collect()
     n_by = {r[0]: r[1] for r in counts}
     if set(n_by) != {0, 1}:
-        share = (n_by.get(1, 0) + 0.5) / (sum(n_by.values()) + 1)
+        share = (n_by.get(1, 0) + 0.5) / (sum(n_by.values()) + 2)
         return Model({}, np.zeros(0, np.int64), np.zeros(0), bias=float(np.log(share / (1 - share))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "y"])
 
     rows_ = map_arrow(known.unionByName(others), measure, "x binary, y int", rows=512).toPandas()
-    x, y = np.frombuffer(b"".join(rows_["x"]), "<f4").reshape(-1, model.width).astype(float), rows_["y"].to_numpy()
+    x, y = np.frombuffer(b"".join(rows_["x"]), "<f4").reshape(-1, model.width), rows_["y"].to_numpy()
+    del rows_
     post, model.accuracy, model.correlation = label_model(model.votes(x), y)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-    model.weights, model.bias = _regress((x - model.mean) / model.scale, np.clip(post, 0.005, 0.995))
+    model.mean, model.scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6
+    model.weights, model.bias = _regress(x, model.mean, model.scale, np.clip(post, 0.005, 0.995))
     return model
 
 
@@ -230,7 +237,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose text scores below 0.5."""
+    """The rows of ``docs``, columns as they are, whose text scores below 0.5; null texts are scored as empty."""
 
     @F.pandas_udf("double")
     def score(t: pd.Series) -> pd.Series:

@@ -34,8 +34,13 @@ def test_run_and_odd_rows(spark, write):
     rows = [(1, "", "en", "s", 0), (2, None, None, None, None), (3, "some words of a text here", "en", "s", 25), (4, "some words of a text here", "en", "s", 25), (None, "no key", "en", "s", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     folder = write(documents=docs, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
-    # Without labels every score is 0.5, which rejects; so the stages after it are run on their own.
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    # Without labels nothing is rejected.
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in corpus_pipeline.run(spark, folder).collect()) == [(0, 2), (1, 0), (3, 6)]
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
-    assert sorted((r.doc_id or 0, r.n_tokens) for r in docs.collect()) == [(0, 2), (1, 0), (3, 6)]
-    assert corpus_pipeline.run(spark, folder).count() == 0
+    assert docs.count() == 3
+    nothing = write(documents=docs.limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, nothing)
+        assert none.count() == 0, name
