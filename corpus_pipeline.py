@@ -1,4 +1,12 @@
-"""Corpus preparation: toxic documents, near copies and benchmark passages go, secrets are struck out, the rest is tokenised."""
+"""Corpus preparation: toxic documents, near copies and benchmark passages go, secrets are struck out, the rest is tokenised.
+
+Every stage but the last returns the columns of its documents as they are, further ones
+too. Null and empty texts are scored as texts without words, are near copies of each other
+(one stays), hold no benchmark words and no secrets, and give no tokens. Documents without
+an id are scored as others, and then stay: they are linked to and compared with none. Rows that repeat an id
+share its fate and stay repeated. An empty table gives an empty result; without labels of
+both classes the smoothed share of toxic ones is every document's score (0.25 without any).
+"""
 
 from __future__ import annotations
 
