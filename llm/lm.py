@@ -19,12 +19,12 @@ HIDDEN = 16
 #: Output symbols: CLASSES classes of MEMBERS symbols each. The last RARE symbols each stand
 #: for all other words of a like form, the others for the most frequent words and the end.
 CLASSES, MEMBERS, RARE = 64, 64, 256
-#: Words whose counts every task gets; the counts of all others come by a join.
+#: Words at most whose counts every task gets; the counts of all others come by a join.
 SHARED = 131_072
 #: Rounds of training; a round takes the documents of one hash bucket, and averages.
 ROUNDS = 4
 #: Tokens of each training document that the network trains on, at a place set by its hash.
-SPAN, WINDOW, LANES, PASSES, RATE = 64, 32, 64, 2, 0.02
+SPAN, WINDOW, LANES, PASSES, RATE = 64, 32, 128, 1, 0.02
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -76,16 +76,20 @@ class Network:
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities: class, then symbol in its class."""
         which, member = targets // MEMBERS, targets % MEMBERS
-        out = np.empty(len(targets), np.float64)
-        logits = states @ self.c + self.cb
-        out[:] = logits[np.arange(len(targets)), which] - np.log(np.exp(logits).sum(1))
+        out, ones = np.empty(len(targets), np.float64), np.ones(max(CLASSES, MEMBERS), np.float32)
+        for start in range(0, len(targets), 4096):  # as much as stays in the processor's cache
+            some = slice(start, start + 4096)
+            logits = states[some] @ self.c + self.cb
+            out[some] = logits[np.arange(len(logits)), which[some]]
+            out[some] -= np.log(np.exp(logits, out=logits) @ ones[:CLASSES].astype(logits.dtype))
         order = np.argsort(which, kind="stable")
         cuts = np.searchsorted(which[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             at = order[cuts[k] : cuts[k + 1]]
             if len(at):
                 logits = states[at] @ self.w[k] + self.wb[k]
-                out[at] += logits[np.arange(len(at)), member[at]] - np.log(np.exp(logits).sum(1))
+                own = logits[np.arange(len(at)), member[at]]
+                out[at] += own - np.log(np.exp(logits, out=logits) @ ones[:MEMBERS].astype(logits.dtype))
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[Network, np.ndarray, float]:
@@ -227,6 +231,8 @@ class Vocabulary:
     #: Tokens and distinct words that each rare symbol stands for.
     rare_tokens: np.ndarray
     rare_words: np.ndarray
+    #: The symbol of each leading word; the last entry stands for words that lead not.
+    symbols: np.ndarray | None = None
 
     @property
     def named(self) -> int:
@@ -236,12 +242,18 @@ class Vocabulary:
     def encode(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words, their places among the leading words (or -1), and symbols with the end."""
         found = words(text)
+        return found, *self.encode_words(found)
+
+    def encode_words(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
+        if self.symbols is None:
+            first = CLASSES * MEMBERS - RARE
+            self.symbols = np.array([i + 1 if i < self.named else first + form(w) for w, i in self.index.items()] + [-1], np.int64)
         out = np.zeros(len(found) + 1, np.int64)
-        out[:-1] = at + 1
-        for k in np.flatnonzero((at < 0) | (at >= self.named)).tolist():
+        out[:-1] = self.symbols[at]
+        for k in np.flatnonzero(at < 0).tolist():
             out[k] = CLASSES * MEMBERS - RARE + form(found[k])
-        return found, at, out
+        return at, out
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -267,8 +279,19 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, documents: int, shared: int = SHARED) -> Vocabulary:
-    """The leading ``shared`` words go to the driver; of all others only totals by form do."""
-    top = counts.orderBy(F.desc("n"), "word").limit(shared).toPandas()
+    """The leading words go to the driver; of all others only totals by form do.
+
+    Words lead that occur more often than a least count, the smallest that leaves no more
+    than ``shared`` of them: found from the number of words of each count, so that no task
+    sends more than its own leading words.
+    """
+    kinds, least = 0, 0
+    for n, k in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        kinds += k
+        if kinds > shared:
+            least = n
+            break
+    top = counts.where(F.col("n") > least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     names, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
     index = {w: i for i, w in enumerate(names)}
     named = min(len(n), CLASSES * MEMBERS - RARE - 1)
@@ -323,9 +346,10 @@ def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "te
 
 def _around(vocab: Vocabulary, text: bytes | None, place: int) -> np.ndarray:
     """Up to SPAN + 1 symbols of a text, at a place that its hash sets."""
-    symbols = vocab.encode(text)[2]
-    start = place % max(1, len(symbols) - SPAN)
-    return symbols[start : start + SPAN + 1]
+    found = words(text)
+    start = place % max(1, len(found) + 1 - SPAN)
+    symbols = vocab.encode_words(found[start : start + SPAN + 1])[1]
+    return symbols if start + SPAN >= len(found) else symbols[:-1]
 
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,7 +371,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, k
         vocab, net = given.value
         logs = np.log10(vocab.counts + 1.0)
         rare_log = np.log10(vocab.rare_tokens + vocab.rare_words + 1.0)
-        sequences, known, base, model, rest = [], [], [], [], []
+        sequences, known, base, model, rest, times, cuts = [], [], [], [], [], [], [0]
         for t in batch.column(1).to_pylist():
             found, at, symbols = vocab.encode(t)
             lead, others = at[at >= 0], np.flatnonzero(at < 0).tolist()
@@ -358,18 +382,21 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, k
             own: dict[bytes, int] = {}
             for k in others:
                 own[found[k]] = own.get(found[k], 0) + 1
-            rest.append([{"word": w, "k": c} for w, c in own.items()])
+            rest += own.keys()
+            times += own.values()
+            cuts.append(len(rest))
             sequences.append(symbols)
         n = np.array([len(s) for s in sequences])
         model = document_scores(net, sequences) / np.log(10) + np.array(model) if vocab.tokens else np.array(base) - n * log_n
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
+        rest = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+        rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                                           pa.array(np.array(base) - n * log_n), pa.array(model), pa.array(rest, kind)],
+                                           pa.array(np.array(base) - n * log_n), pa.array(model), rest],
                                           [key, "row", "n_tokens", "known", "base", "model", "rest"])
 
     source = docs.where(F.col(key).isNotNull()).select(key, raw(text).alias("#t"), F.xxhash64(text).alias("#row"))
     kind = docs.schema[key].dataType.simpleString()
-    scored = map_arrow(source, run, f"`{key}` {kind}, row long, n_tokens long, known long, base double, model double, rest array<struct<word:binary,k:long>>", rows=4096)
+    scored = map_arrow(source, run, f"`{key}` {kind}, row long, n_tokens long, known long, base double, model double, rest array<struct<word:binary,k:long>>", rows=2048)
     scored = durable(scored)
     each = scored.select(key, "row", F.explode("rest").alias("w")).select(key, "row", "w.word", "w.k")
     met = each.join(counts, "word", "left").groupBy(key, "row").agg(
