@@ -35,7 +35,7 @@ RECORD = ("url string, ip string, date string, mime string, status int, page_id
 
 
 def _pack(data: bytes) -> bytes:
-    return gzip.compress(data, 6, mtime=0)
+    return gzip.compress(data, 4, mtime=0)
 
 
 def _members(content: bytes) -> Iterator[bytes]:
