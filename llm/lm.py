@@ -23,8 +23,10 @@ CLASSES, MEMBERS, RARE = 64, 64, 256
 SHARED = 131_072
 #: Rounds of training; a round takes the documents of one hash bucket, and averages.
 ROUNDS = 4
-#: Tokens of each training document that the network trains on, at a place set by its hash.
-SPAN, WINDOW, LANES, PASSES, RATE = 64, 32, 128, 1, 0.02
+#: Gradients run back through WINDOW tokens, the state through whole documents; each is trained on PASSES times.
+WINDOW, LANES, PASSES, RATE = 32, 128, 2, 0.02
+#: Symbols of whole documents after which a task trains on what it holds.
+HELD = 1 << 21
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -92,11 +94,17 @@ class Network:
                 out[at] += own - np.log(np.exp(logits, out=logits) @ ones[:MEMBERS].astype(logits.dtype))
         return out
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[Network, np.ndarray, float]:
-        """Gradient of the mean loss over one window (time x lanes), and the state after it."""
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Network, np.ndarray, float]:
+        """Gradient of the mean loss over one window (time x lanes), and the state after it.
+
+        The state starts anew where ``fresh`` is set.
+        """
         h, (time, lanes) = self.hidden, inputs.shape
         kept, states = [], np.empty((time, lanes, h), np.float32)
+        starts = np.zeros(time, bool) if fresh is None else fresh.any(1)
         for t in range(time):
+            if starts[t]:
+                state = np.where(fresh[t][:, None], np.float32(0), state)
             new, *rest = self.step(inputs[t], state)
             live = mask[t][:, None]
             kept.append((state, *rest))
@@ -136,6 +144,8 @@ class Network:
             gate = np.concatenate((dz, dr, dn * r), axis=1)
             out.u += before.T @ gate
             carry = np.where(live, d * z + gate @ self.u.T, carry)
+            if starts[t]:
+                carry = np.where(fresh[t][:, None], np.float32(0), carry)
             pieces[t] = np.concatenate((dz, dr, dn), axis=1)
         ids = inputs.ravel()[on]
         order = np.argsort(ids, kind="stable")
@@ -146,30 +156,58 @@ class Network:
         return out, state, float(loss)
 
 
-def train(net: Network, spans: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 0) -> int:
-    """Truncated backpropagation over spans of symbols, whose first is input only; Adam. The number of targets."""
+def train(net: Network, texts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 0) -> int:
+    """Truncated backpropagation over whole texts of symbols, whose first is input only; Adam. The number of targets.
+
+    Texts are dealt out to lanes of like lengths, in random order in each; the state runs
+    through all windows of a text and starts anew with the next. Windows are added up to
+    a step of half a full one's tokens at least, so that a long text's end, left alone in
+    its lane, does not steer the network; what is left over makes a smaller step.
+    """
     rng = np.random.default_rng(seed)
     m, v, count, done = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
-    for _ in range(passes):
-        order = rng.permutation(len(spans))
-        for start in range(0, len(order), LANES):
-            some = [spans[i] for i in order[start : start + LANES]]
-            length = max(map(len, some)) - 1
-            grid = np.zeros((length + 1, len(some)), np.int64)
-            mask = np.zeros((length, len(some)), bool)
-            for lane, s in enumerate(some):
-                grid[: len(s), lane], mask[: len(s) - 1, lane] = s, True
-            state = np.zeros((len(some), net.hidden), np.float32)
-            for t in range(0, length, WINDOW):
-                end = min(t + WINDOW, length)
-                grad, state, _ = net.gradient(grid[t:end], grid[t + 1 : end + 1], mask[t:end], state)
-                norm = np.linalg.norm(grad.flat)
-                g = grad.flat * min(1.0, 1.0 / (norm + 1e-9))
-                done += 1
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.flat -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-6)
-                count += int(mask[t:end].sum())
+    total, held, enough = np.zeros_like(net.flat), 0, WINDOW * LANES // 2
+
+    def step(size: float) -> None:
+        nonlocal m, v, done
+        g = total / held
+        g *= min(1.0, 1.0 / (np.linalg.norm(g) + 1e-9))
+        done += 1
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        net.flat -= size * rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-6)
+
+    texts = [s for s in texts if len(s) > 1]
+    for _ in range(passes if texts else 0):
+        lanes = min(LANES, len(texts))
+        queue, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for i in sorted(rng.permutation(len(texts)).tolist(), key=lambda i: -len(texts[i])):
+            size, lane = heapq.heappop(queue)
+            dealt[lane].append(texts[i])
+            heapq.heappush(queue, (size + len(texts[i]) - 1, lane))
+        dealt.sort(key=lambda own: -sum(len(s) - 1 for s in own))
+        lengths = np.array([sum(len(s) - 1 for s in own) for own in dealt])
+        own = [lane[i] for lane in dealt for i in rng.permutation(len(lane))]
+        before, after = np.concatenate([s[:-1] for s in own]), np.concatenate([s[1:] for s in own])
+        first = np.zeros(len(before), bool)
+        first[np.cumsum([0] + [len(s) - 1 for s in own[:-1]])] = True
+        begin = np.cumsum(lengths) - lengths
+        state = np.zeros((lanes, net.hidden), np.float32)
+        for start in range(0, int(lengths[0]), WINDOW):
+            live = int((lengths > start).sum())
+            time = np.arange(start, min(start + WINDOW, int(lengths[0])))[:, None]
+            mask = time < lengths[:live]
+            at = np.where(mask, begin[:live] + time, 0)
+            grad, state, _ = net.gradient(before[at].astype(np.int64), after[at].astype(np.int64), mask, state[:live], first[at] & mask)
+            n = int(mask.sum())
+            count, held = count + n, held + n
+            grad.flat *= n
+            total += grad.flat
+            if held >= enough:
+                step(1.0)
+                total[:], held = 0, 0
+    if held:
+        step(held / enough if done else 1.0)
     return count
 
 
@@ -314,8 +352,8 @@ def vocabulary(counts: DataFrame, documents: int, shared: int = SHARED) -> Vocab
 def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, shared: int = SHARED) -> tuple[Vocabulary, Network]:
     """Vocabulary and network of the texts of ``docs``, whose words ``counts`` has.
 
-    In each round every task trains a copy of the network on spans of its own documents
-    of that round; the copies are averaged in a tree, weighted by their tokens.
+    In each round every task trains a copy of the network on its own whole documents of
+    that round; the copies are averaged in a tree, weighted by their tokens.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -329,29 +367,23 @@ def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "te
         start = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], k=k, start=start) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(start.value.copy()), 0
+            own, seen, texts, held = Network(start.value.copy()), 0, [], 0
             for batch in batches:
-                spans = []
-                for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    symbols = np.r_[0, _around(given.value, t, h // rounds)]
-                    spans.append(symbols)
-                seen += train(own, spans, seed=k)
+                for t in batch.column(0).to_pylist():
+                    texts.append(np.r_[0, given.value.encode(t)[2]].astype(np.int16))
+                    held += len(texts[-1])
+                    if held > HELD:
+                        seen += train(own, texts, seed=k)
+                        texts, held = [], 0
+            seen += train(own, texts, seed=k)
             yield pa.RecordBatch.from_arrays([pa.array([np.r_[own.flat.astype(float) * seen, seen].tobytes()], pa.binary())], ["state"])
 
-        total = tree_sum(source.where(F.pmod("h", F.lit(rounds)) == k).mapInArrow(run, "state binary"))
+        total = tree_sum(source.where(F.pmod("h", F.lit(rounds)) == k).select("t").mapInArrow(run, "state binary"))
         if total is not None and total[-1] > 0:
             net = Network((total[:-1] / total[-1]).astype(np.float32))
     return vocab, net
 
 
-def _around(vocab: Vocabulary, text: bytes | None, place: int) -> np.ndarray:
-    """Up to SPAN + 1 symbols of a text, at a place that its hash sets."""
-    found = words(text)
-    start = place % max(1, len(found) + 1 - SPAN)
-    symbols = vocab.encode_words(found[start : start + SPAN + 1])[1]
-    return symbols if start + SPAN >= len(found) else symbols[:-1]
-
-
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens, n_known, train_tokens, base_score, score) of each whole text.
 

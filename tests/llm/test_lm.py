@@ -80,6 +80,30 @@ def test_scores_against_brute_force(spark):
         assert abs(sum(c[x] + 1 for x in own) - vocab.rare_tokens[k] - vocab.rare_words[k]) < 1e-9
 
 
+def test_training_reads_every_token_of_long_documents(spark):
+    names = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(names), "x", 1), (2, "w1", "x", 1)], SCHEMA)
+    vocab, net = lm.fit(docs, lm.word_counts(docs), rounds=1)
+    weight = np.zeros(net.symbols)
+    weight[0], weight[1 : vocab.named + 1], weight[-lm.RARE :] = 2, vocab.counts, vocab.rare_tokens
+    moved = (net.x != lm.Network.fresh(weight).x).any(1)
+    assert vocab.named == 3000 and moved[:3001].all() and not moved[3001:].any()
+    texts = [np.r_[0, np.arange(1, n), 0] for n in (1, 2, 700, 40)]
+    assert lm.train(network(), texts, passes=2) == 2 * sum(len(t) - 1 for t in texts) and lm.PASSES == 2
+
+
+def test_texts_of_one_lane_keep_their_own_state():
+    net, rng = lm.Network(network().flat.astype(np.float64)), np.random.default_rng(2)
+    x = rng.integers(0, net.symbols, 8)
+    apart, aims, mask = np.zeros((4, 2), np.int64), np.zeros((4, 2), np.int64), np.ones((4, 2), bool)
+    apart[:3, 0], apart[:, 1], aims[:3, 0], aims[:, 1], mask[3, 0] = x[:3], x[3:7], x[1:4], x[4:8], False
+    one, _, _ = net.gradient(apart, aims, mask, np.zeros((2, net.hidden)))
+    fresh = np.zeros((7, 1), bool)
+    fresh[[0, 3]] = True
+    two, state, _ = net.gradient(x[:7, None], x[1:8, None], np.ones((7, 1), bool), np.ones((1, net.hidden)), fresh)
+    assert np.allclose(one.flat, two.flat, atol=1e-6)
+
+
 def test_nothing_learned_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA)
     none = docs.limit(0)
