@@ -13,6 +13,7 @@ from trailspark.operators import bom as bm
 from trailspark.operators import evidence as ev
 from trailspark.operators import gates as gt
 from trailspark.operators import store as st
+from trailspark.sources import files
 
 
 def sha(text):
@@ -218,3 +219,24 @@ def test_fingerprint_ignores_blank_labels(frame):
     make = lambda a, b: frame(quad, ("K", "g", a, "<p>", "<o>"), ("K", "g", "<s>", "<p>", b))
     assert rows(st.dataset_fingerprint(make("_:1", "_:2"))) == rows(st.dataset_fingerprint(make("_:8", "_:9")))
     assert rows(st.dataset_fingerprint(make("_:1", "_:2"))) != rows(st.dataset_fingerprint(make("_:1", "<x>")))
+
+
+def test_hashes_of_ingested_files(spark, tmp_path):
+    texts = {
+        "plain.json": '{"source_system": "s", "controls": ["C"], "raw": {"b": 1, "a": "x"}, "summary": {"m": true}}',
+        "nested.json": '{"source_system": "é", "controls": ["C"],\n "raw": {"z": 1, "a": {"n": 24.0, "t": "é😀\\u00e9", "l": [1.50, 1e2, 1e-7, {"y": null, "x": -0.0}]}, '
+                       '"big": 123456789012345678901234567890}, "summary": {"b": 2.0, "a": "ü"}}',
+        "none.json": '{"source_system": "s"}', "broken.json": "{"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    envelopes, _ = files.read_config_exports(spark, str(tmp_path))
+    chain = ev.evidence_hash_chain(envelopes.select(
+        "artifact_id", "summary_canonical", "first_control", F.lit("config-export").alias("method"), F.col("source_system").alias("origin"), F.col("raw_canonical").alias("payload")))
+    got = {r.artifact_id: r for r in chain.collect()}
+    assert len(got) == 4 and got["broken.json"].payload is None
+    for name in ("plain.json", "nested.json", "none.json"):
+        e, r = json.loads(texts[name]), got[name]
+        payload = {"source": e["source_system"], "control": e.get("controls", [""])[0], "config": e.get("raw", {})}
+        assert (r.payload, r.summary_canonical) == (json.dumps(e.get("raw", {}), sort_keys=True), json.dumps(e.get("summary", {}), sort_keys=True))
+        assert r.model_hash == sha(json.dumps(payload, sort_keys=True))
+        assert r.content_hash == sha(json.dumps({"model_hash": r.model_hash, "proof_hash": None, "sim_hash": None}, sort_keys=True))

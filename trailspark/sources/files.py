@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,16 +102,47 @@ def _variant_text(column: str) -> Column:
     return F.to_json(F.col(column))
 
 
+def _canonical_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_file, text) of documents to (source_file, envelope, raw, summary), each canonical JSON.
+
+    Numbers keep their kind and form (24.0 stays 24.0), which no built-in function does. A
+    file that holds a list gives a row per member; text that is no JSON gives nulls.
+    """
+    for batch in batches:
+        rows = []
+        for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                found = json.loads(content)
+                for e in found if isinstance(found, list) else [found]:
+                    member = lambda key, e=e: json.dumps(e[key], sort_keys=True) if isinstance(e, dict) and key in e else "{}"
+                    rows.append((name, json.dumps(e, sort_keys=True), member("raw"), member("summary")))
+            except (ValueError, RecursionError):
+                rows.append((name, None, None, None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["source_file", "envelope", "raw", "summary"])
+
+
 def read_config_exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Evidence envelopes, one JSON document per file, and their addressed controls."""
-    return split_envelopes(
-        spark.read.schema(schemas.EVIDENCE_ENVELOPE).option("multiLine", True).json(path)
-        .withColumn("source_file", F.regexp_extract(_file(), _FILE_NAME, 1))
-    )
+    """Evidence envelopes, one JSON document per file, and their addressed controls.
+
+    ``raw_canonical`` and ``summary_canonical`` are the texts that the hashes of
+    ``operators.evidence`` take; ``raw`` and ``summary`` are compact. Text that is no JSON
+    has null canonical texts.
+    """
+    documents = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(_file(), _FILE_NAME, 1).alias("source_file"), F.col("value").alias("content"))
+    texts = documents.mapInArrow(_canonical_members, "source_file string, envelope string, raw string, summary string")
+    return split_envelopes(texts.select(
+        "source_file", F.from_json("envelope", schemas.EVIDENCE_ENVELOPE).alias("e"),
+        F.col("raw").alias("raw_canonical"), F.col("summary").alias("summary_canonical"),
+    ).select("source_file", "e.*", "raw_canonical", "summary_canonical"))
 
 
 def split_envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Envelope rows with defaults filled, and the (artifact, control) bridge."""
+    """Envelope rows with defaults filled, and the (artifact, control) bridge.
+
+    Canonical texts are kept where ``raw`` has them; a variant no longer has its numbers'.
+    """
+    kept = [c for c in ("raw_canonical", "summary_canonical") if c in raw.columns]
     envelopes = raw.select(
         F.col("source_file").alias("artifact_id"), "source_file",
         F.coalesce("source_system", F.lit("unknown")).alias("source_system"),
@@ -117,7 +152,7 @@ def split_envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("evidentiary_status", F.lit("mock")).alias("evidentiary_status"),
         F.coalesce(F.get("controls", F.lit(0)), F.lit("")).alias("first_control"),
         F.coalesce(_variant_text("raw"), F.lit("{}")).alias("raw"),
-        F.coalesce(_variant_text("summary"), F.lit("{}")).alias("summary"),
+        F.coalesce(_variant_text("summary"), F.lit("{}")).alias("summary"), *kept,
     )
     controls = raw.select(F.col("source_file").alias("artifact_id"), F.explode("controls").alias("control_id"))
     return envelopes, controls
