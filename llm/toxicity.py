@@ -160,18 +160,18 @@ def _regress(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, y: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:
     """Learn from ``docs`` and their ``labels`` (1 or 0); rows to hold out must be left out of both.
 
-    About ``rows`` labelled documents and as many others, chosen by a hash of the key, are
-    learned from. Terms that toxic ones hold more often are mined into lexicons from the
+    About ``rows`` labelled documents and at most as many others, each chosen by a hash of
+    the key at the share that their own number asks for, are learned from. Terms that toxic ones hold more often are mined into lexicons from the
     labelled ones; the label model runs over the votes on all; the classifier is trained
-    on its posteriors. The driver gets counts of the leading terms and one row of numbers
+    on its posteriors, which are the labels themselves for labelled documents. The driver gets counts of the leading terms and one row of numbers
     for each chosen document. Where both classes are not labelled, every score is the
     share of toxic labels, smoothed (0.25 without any).
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     n = marks.count()
     step = max(1, -(-n // rows))
-    picked = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(step)) == 0)).select(key, F.col(text).cast("string").alias("t"))
-    known = durable(picked.join(marks, key).select("t", "y"))
+    keyed = docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string").alias("t"))
+    known = durable(keyed.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).join(marks, key).select("t", "y"))
     counts = known.groupBy("y").count().collect()
     n_by = {r[0]: r[1] for r in counts}
     if set(n_by) != {0, 1}:
@@ -204,8 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         "odds", F.log((F.col("t_n") + 0.5) / expected)).where((F.col("z") > 4) & (F.col("odds") > 0.7))
     top = ranked.orderBy(F.desc("z"), "term").limit(TERMS).select("term", "odds").collect()
     model = Model({r[0]: i for i, r in enumerate(top)}, np.arange(len(top)) % LEXICONS, np.array([min(r[1], 4.0) for r in top]))
-    others = picked.join(marks.select(key), key, "left_anti").where(
-        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4)) == 0).select("t", F.lit(-1).alias("y"))
+    others = unlabelled(keyed, marks, key, rows).select("t", F.lit(-1).alias("y"))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [model.features(t).astype("<f4").tobytes() for t in batch.column(0).to_pylist()]
@@ -220,6 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def unlabelled(docs: DataFrame, marks: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of ``docs`` without a mark: all, or those of so small a share of hashes that ``rows`` are not passed.
+
+    The share leaves six standard deviations of such a choice below ``rows``.
+    """
+    n = docs.select(key).join(marks.select(key), key, "left_anti").count()
+    share = 1.0 if n <= rows else max(0.0, rows - 6 * rows**0.5) / n
+    return docs.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40))).join(marks.select(key), key, "left_anti")
+
+
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score, predicted): the probability that each whole text is toxic, and 1 from 0.5 on.
 

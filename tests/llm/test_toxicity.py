@@ -40,6 +40,13 @@ def test_learning_scoring_and_odd_rows(spark):
     assert clean.columns == docs.columns and clean.count() == sum(1 for r in got if not r.predicted)
 
 
+def test_unlabelled_rows_are_bounded_by_their_own_count(spark):
+    docs, marks = spark.range(20_000).withColumnRenamed("id", "doc_id"), spark.createDataFrame([(i, i % 2) for i in range(0, 400, 4)], "doc_id long, y int")
+    got = [r.doc_id for r in t.unlabelled(docs, marks, "doc_id", 1_000).collect()]
+    assert 700 < len(got) <= 1_000 and len(set(got)) == len(got) and not set(got) & set(range(0, 400, 4))
+    assert t.unlabelled(docs, marks, "doc_id", 20_000).count() == 19_900
+
+
 def test_one_class_or_no_labels(spark):
     docs, labels, _ = documents(spark, 40)
     assert {round(r.score, 6) for r in t.scores(docs, t.fit(docs, labels.limit(0))).collect()} == {0.25}
