@@ -30,8 +30,10 @@ ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
-RECORD = ("url string, ip string, date string, mime string, status int, page_id long, "
+RECORD = ("url string, ip string, date string, mime string, status int, page_id long, record string, head binary, "
           "payload binary, payload_bytes long, payload_digest string, problem string")
+#: What is wrong with a record whose place and bytes are known nevertheless.
+LENGTH, NO_LENGTH, DAMAGED = "payload of another length", "content length is no number", "damaged record"
 
 
 def _pack(data: bytes) -> bytes:
@@ -124,19 +126,25 @@ def arc_records(data: bytes) -> Iterator[dict]:
     """The records of unpacked ARC bytes, by the layout that the version block states.
 
     A record whose line lacks fields, or whose bytes end before its declared length,
-    comes out with a ``problem`` and ends the reading: what follows has no known place.
+    comes out with a ``problem`` and ends the reading: what follows has no known place, and
+    is its payload. ``head`` is the HTTP header as stored, ``record`` the identifier of a
+    record without a page id.
     """
     at, fields = 0, ARC_FIELDS[1]
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
+        began = at
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r").split(" ")
         start_of_file = line[0].startswith("filedesc://")
         size = int(line[-1]) if line[-1].isdigit() else -1
         if end < 0 or size < 0 or (not start_of_file and len(line) != len(fields)) or end + 1 + size > len(data):
-            yield {"url": line[0], "problem": "damaged record"}
+            rest = data[began:]
+            digest = hashlib.sha256(rest).hexdigest()
+            yield {"url": line[0], "date": "", "record": record_id(None, line[0], "", digest), "head": b"", "payload": rest,
+                   "payload_bytes": len(rest), "payload_digest": digest, "problem": DAMAGED}
             return
         block, at = data[end + 1 : end + 1 + size], end + 1 + size
         if start_of_file:
@@ -146,14 +154,17 @@ def arc_records(data: bytes) -> Iterator[dict]:
             continue
         named = dict(zip(fields, line))
         head, status, payload = _http(block)
-        page = head.get("x-page-id", "")
+        page, stated = head.get("x-page-id", ""), head.get("content-length", str(len(payload)))
+        page_id, digest = int(page) if page.lstrip("-").isdigit() else None, hashlib.sha256(payload).hexdigest()
+        code = named.get("Result-code", "")
         yield {"url": named["URL"], "ip": named["IP-address"], "date": named["Archive-date"], "mime": named["Content-type"],
-               "status": int(named.get("Result-code", status) or 0), "page_id": int(page) if page.lstrip("-").isdigit() else None,
-               "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(),
-               "problem": None if int(head.get("content-length", len(payload))) == len(payload) else "payload of another length"}
+               "status": int(code) if code.isdigit() else status, "page_id": page_id,
+               "record": record_id(None, named["URL"], warc_date(named["Archive-date"]), digest) if page_id is None else None,
+               "head": block[: len(block) - len(payload)], "payload": payload, "payload_bytes": len(payload), "payload_digest": digest,
+               "problem": NO_LENGTH if not stated.isdecimal() else None if int(stated) == len(payload) else LENGTH}
 
 
-_TYPES = {"url": pa.string(), "ip": pa.string(), "date": pa.string(), "mime": pa.string(), "status": pa.int32(), "page_id": pa.int64(),
+_TYPES = {"url": pa.string(), "ip": pa.string(), "date": pa.string(), "mime": pa.string(), "status": pa.int32(), "page_id": pa.int64(), "record": pa.string(), "head": pa.binary(),
           "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "problem": pa.string()}
 
 
@@ -193,7 +204,7 @@ def read_arc(parts: DataFrame, content: str = "content", payloads: bool = True)
                 found = arc_records(layout + data)
             for r in found:
                 if not payloads:
-                    r.pop("payload", None)
+                    r.pop("payload", None), r.pop("head", None)
                 yield r
 
     return _read(parts, records, _TYPES, RECORD, content)
@@ -224,17 +235,24 @@ def convert(arc: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Rows (archive, part, content): WARC parts with a record for each record of ARC parts.
 
     Of records with equal payloads of at least ``min_bytes`` bytes that of the smallest
-    page id is a response; others are revisits, without payload, that name it. Smaller
-    ones, and damaged ones, are responses. Equal payloads are found on digests alone: a
-    group of copies is one minimum, combined before the shuffle; its members are joined to
-    it by page id, never gathered.
+    page id is a response; others are revisits, without payload, that name it. Records
+    without a page id are compared among themselves, the smallest record identifier first.
+    Smaller ones, and those of another length than their header states, are responses;
+    damaged ones are metadata records of their bytes. Both carry the problem on. HTTP
+    headers stay as stored. Equal payloads are found on digests alone: a group of copies
+    is one minimum, combined before the shuffle; its members are joined to it by page id
+    or identifier, never gathered.
     """
-    light = durable(read_arc(arc, payloads=False).where("problem is null and page_id is not null").select("page_id", "payload_bytes", "payload_digest"))
-    big = light.where(F.col("payload_bytes") >= min_bytes)
-    first = big.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
+    light = durable(read_arc(arc, payloads=False).where("problem is null").select("page_id", "record", "payload_bytes", "payload_digest"))
+    big = light.where(F.col("payload_bytes") >= min_bytes).withColumn("named", F.col("page_id").isNull())
+    first = big.groupBy("payload_digest", "named").agg(
+        F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.min("record").alias("first_record"), F.max("record").alias("last_record"),
+    ).where("first < last or first_record < last_record").drop("last", "last_record")
+    key = F.coalesce("record", F.col("page_id").cast("string")).alias("key")
     # Written first: its size is then known, and where copies are few the payloads stay in place.
-    copies = durable(big.join(first, "payload_digest").where("page_id <> first").select("page_id", "payload_digest", "first").distinct())
-    marked = read_arc(arc).where("problem is null").join(copies, ["page_id", "payload_digest"], "left")
+    copies = durable(big.join(first, ["payload_digest", "named"]).where("page_id <> first or record <> first_record").select(
+        key, "payload_digest", "first", "first_record").distinct())
+    marked = read_arc(arc).select("*", key).join(copies, ["key", "payload_digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -249,15 +267,17 @@ def convert(arc: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
                 [pa.array([name]), pa.array([part], pa.int32()), pa.array([b"".join(packed)], pa.binary())], ["archive", "part", "content"])
 
         for batch in batches:
-            for page_id, url, date, mime, status, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
-                stamp, more, kind = warc_date(date), {}, "response"
-                block = _block(page_id, payload, mime, status or 200)
-                if first is not None:
-                    kind, block = "revisit", block[: len(block) - len(payload)]
-                    more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                            "X-Refers-To-Page": str(first), "X-Payload-Length": str(len(payload))}
-                packed.append(_pack(warc_record(kind, url, stamp, record_id(page_id, url, stamp, digest), block, digest,
-                                                "application/http; msgtype=response", **more)))
+            for page_id, url, date, head, payload, digest, problem, record, first, first_record in zip(*(c.to_pylist() for c in batch.columns)):
+                stamp, more, kind, mime = warc_date(date), {} if problem is None else {"X-Problem": problem}, "response", "application/http; msgtype=response"
+                block = head + payload
+                if problem == DAMAGED:
+                    kind, mime, url = "metadata", "application/octet-stream", _url(url)
+                elif problem is None and (first is not None or first_record is not None):
+                    kind, block = "revisit", head
+                    more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+                    more |= {"WARC-Refers-To": f"<urn:uuid:{first_record}>"} if first is None else {"X-Refers-To-Page": str(first)}
+                    more["X-Payload-Length"] = str(len(payload))
+                packed.append(_pack(warc_record(kind, url, stamp, record or record_id(page_id, url, stamp, digest), block, digest, mime, **more)))
                 size += len(packed[-1])
                 if size > PART_BYTES:
                     yield flush()
@@ -265,7 +285,7 @@ def convert(arc: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
         if packed:
             yield flush()
 
-    return marked.select("page_id", "url", "date", "mime", "status", "payload", "payload_digest", "first").mapInArrow(
+    return marked.select("page_id", "url", "date", "head", "payload", "payload_digest", "problem", "record", "first", "first_record").mapInArrow(
         run, "archive string, part int, content binary")
 
 
@@ -281,12 +301,14 @@ def warc_records(data: bytes) -> Iterator[dict]:
         fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
         size = int(fields.get("content-length", "0"))
         block, at = data[end + 4 : end + 4 + size], end + 4 + size + 4
-        problem = None
+        problem = fields.get("x-problem")
         if len(block) != size or fields.get("warc-block-digest") != f"sha256:{hashlib.sha256(block).hexdigest()}":
             problem = "block differs from its length or digest"
         kind, digest = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha256:")
         out = {"record_type": kind, "record_id": fields.get("warc-record-id", ""), "url": fields.get("warc-target-uri"),
-               "date": fields.get("warc-date"), "payload_digest": digest, "problem": problem}
+               "date": fields.get("warc-date"), "payload_digest": digest, "refers_to_record": fields.get("warc-refers-to"), "problem": problem}
+        if kind == "metadata":
+            out |= {"payload": block, "payload_bytes": len(block)}
         if kind in ("response", "revisit"):
             head, _, payload = _http(block)
             page, refers = head.get("x-page-id", ""), fields.get("x-refers-to-page", "")
@@ -299,7 +321,8 @@ def warc_records(data: bytes) -> Iterator[dict]:
 
 
 _WARC_TYPES = {"record_type": pa.string(), "record_id": pa.string(), "url": pa.string(), "date": pa.string(), "page_id": pa.int64(),
-               "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "problem": pa.string()}
+               "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(),
+               "refers_to_record": pa.string(), "problem": pa.string()}
 
 
 def read_warc(parts: DataFrame, content: str = "content", payloads: bool = True) -> DataFrame:
@@ -313,17 +336,17 @@ def read_warc(parts: DataFrame, content: str = "content", payloads: bool = True)
                 yield r
 
     schema = ("record_type string, record_id string, url string, date string, page_id long, payload binary, payload_bytes long, "
-              "payload_digest string, refers_to long, problem string")
+              "payload_digest string, refers_to long, refers_to_record string, problem string")
     return _read(parts, records, _WARC_TYPES, schema, content)
 
 
 def through_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Pages written as ARC, converted to WARC and read back: one row per page, without payloads.
 
-    Null pages are empty payloads. Rows with a null key become responses of a null key;
-    rows that repeat a key and its payload give equal records. An empty table gives no
+    Null pages are empty payloads. Rows with a null key are compared among themselves and
+    keep a null key; rows that repeat a key and its payload give equal records. An empty table gives no
     rows. Only the three named columns are read.
     """
     arc = durable(write_arc(pages, key, url, html))
     warc = durable(convert(arc, min_bytes))
-    return read_warc(warc, payloads=False).where("record_type in ('response', 'revisit')")
+    return read_warc(warc, payloads=False).where("record_type in ('response', 'revisit', 'metadata', 'damaged')")

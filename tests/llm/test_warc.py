@@ -42,3 +42,27 @@ def test_payloads_come_back_and_files_are_read(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     found = warc.read_warc(files).where("record_type = 'response'").collect()
     assert [bytes(r.payload).decode() for r in found] == ["<p>ä</p>"] * 2 and len({r.record_id for r in found}) == 1
+
+
+def test_foreign_archives_keep_every_record(spark, tmp_path):
+    def record(url, payload, length, date="20010203040506"):
+        head = f"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Length: {length}\r\n\r\n".encode()
+        return f"{url} 1.2.3.4 {date} text/html {len(head) + len(payload)}\n".encode() + head + payload + b"\n"
+
+    same, cut, odd = b"s" * 200, b"c" * 150, b"o" * 160
+    data = warc.arc_version_block(1, "f.arc") + b"".join([
+        record("http://a", same, 200), record("http://b", same, 200), record("http://c", cut, 900), record("http://d", odd, "many"),
+        record("http://a", same, 200), record("http://e", b"t" * 120, 120)])
+    end = b"http://f 1.2.3.4 20010203040506 text/html 5000\nHTTP/1.1 200 OK\r\n\r\nshort"
+    (tmp_path / "f.arc").write_bytes(data + end)
+    found = warc.read_warc(warc.convert(spark.read.format("binaryFile").load(str(tmp_path)))).where("record_type <> 'warcinfo'").collect()
+    assert len(found) == 7
+    of = {r.url: r for r in found}
+    a, b = of["http://a"], of["http://b"]
+    assert sorted((a.record_type, b.record_type)) == ["response", "revisit"]  # the two records of a are one capture
+    revisit, response = (a, b) if a.record_type == "revisit" else (b, a)
+    assert revisit.refers_to_record == response.record_id and revisit.payload_bytes == 200 and bytes(response.payload) == same
+    assert (of["http://c"].record_type, of["http://c"].problem, bytes(of["http://c"].payload)) == ("response", "payload of another length", cut)
+    assert (of["http://d"].record_type, of["http://d"].problem, bytes(of["http://d"].payload)) == ("response", "content length is no number", odd)
+    assert (of["http://e"].record_type, of["http://e"].problem) == ("response", None)
+    assert (of["http://f"].record_type, of["http://f"].problem, bytes(of["http://f"].payload)) == ("metadata", "damaged record", end)
