@@ -25,9 +25,3 @@ def frame(spark):
         return spark.createDataFrame(list(rows), schema)
 
     return make
-
-
-def rows(df, *columns):
-    """Rows as a sorted list of tuples."""
-    out = [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
-    return sorted(out, key=lambda r: [(v is None, str(v)) for v in r])

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from trailspark.functions import vocab
 from trailspark.operators import evidence as ev

@@ -4,7 +4,7 @@ import hashlib
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from trailspark.functions import groups as gr
 from trailspark.functions import text as tx

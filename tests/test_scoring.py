@@ -1,7 +1,7 @@
 """Scores, contradictions and the audit in both directions."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from trailspark.operators import audit as au
 
 ATT = ("contract_id string, att_id string, control_id string, outcome string, oracle_outcome string, "
