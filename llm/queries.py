@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, html, language, lm, neighbours, secrets, simhash, toxicity, warc
+from llm import bpe, decontaminate, html, language, lm, neighbours, packing, secrets, simhash, toxicity, warc
 from llm.common import bucket, durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), packing.vocabulary()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
