@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, html, language, lm, neighbours, packing, secrets, simhash, toxicity, warc
+from llm import bpe, decontaminate, html, language, lexical, lm, neighbours, packing, secrets, simhash, toxicity, warc
 from llm.common import bucket, durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,20 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every document's pieces in sequences of 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"), packing.vocabulary()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op12_lexical", f"""
+WITH d AS (SELECT doc_id, {_BENCHMARK_WORDS} AS w FROM documents),
+sized AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), whole),
+b AS (SELECT DISTINCT item_id, unnest({_BENCHMARK_WORDS}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM b JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (doc_id), whole GROUP BY ALL)
+SELECT item_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""")
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 documents that match each benchmark item best."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
