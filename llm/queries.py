@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, html, language, lexical, lm, neighbours, packing, secrets, simhash, toxicity, warc
+from llm import bpe, decontaminate, html, language, lexical, lm, neighbours, packing, prefixes, secrets, simhash, toxicity, warc
 from llm.common import bucket, durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ SELECT item_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
 def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 documents that match each benchmark item best."""
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations."""
+    return prefixes.conversation_trie(table(spark, folder, "conversations"))
