@@ -10,7 +10,9 @@ its place by its length and its number among the pieces of that length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from dataclasses import dataclass
@@ -22,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import durable, map_arrow, raw
+from llm.common import durable, map_arrow
 
 CAPACITY = 2048
 #: The id that ends every document.
 END = 0
 #: Chunks of text whose ids a task remembers; beyond that it forgets all and starts anew.
-MEMORY = 300_000
+MEMORY = 500_000
+#: Texts encoded at a time.
+BATCH = 500
 #: Bits of a piece's number among those of its length.
 _NUMBER = 48
 
@@ -36,11 +40,79 @@ _NUMBER = 48
 # -- token ids -----------------------------------------------------------------------
 
 
+class Merger:
+    """Merges many words at once by a vocabulary with word ends, in rounds of array operations."""
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = [b for b in range(256) if b not in set(printable)]
+        letter = {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(other)}
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letter[b] + suffix] for b in range(256)], np.int64)
+        self.size = max(vocab.values()) + 1
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of the merge of each pair; as many as there are merges where there is none."""
+        wanted = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.order[at], len(self.keys))
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers. No word may be empty.
+
+        A round merges every word's earliest merge wherever the word has it, of overlapping
+        places the left one; a merge made of merges comes after them, so that rounds and
+        single steps agree.
+        """
+        none = len(self.keys)
+        lengths = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids, word = self.inner[data], np.repeat(np.arange(len(words)), lengths)
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self.last[data[ends]]
+        done_ids, done_words = [], []
+        while len(ids):
+            ranks = np.full(len(ids), none)
+            ranks[:-1] = np.where(word[1:] == word[:-1], self.rank(ids[:-1], ids[1:]), none)
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            counts = np.diff(np.r_[starts, len(ids)])
+            best = np.repeat(np.minimum.reduceat(ranks, starts), counts)
+            still = best == none
+            done_ids.append(ids[still]), done_words.append(word[still])
+            at = np.flatnonzero((ranks == best) & ~still)
+            first = np.flatnonzero(np.r_[True, np.diff(at) > 1]) if len(at) else at
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))) % 2 == 0]
+            ids[at] = self.made[best[at]]
+            keep = ~still
+            keep[at + 1] = False
+            ids, word = ids[keep], word[keep]
+        flat, word = np.concatenate(done_ids), np.concatenate(done_words)
+        raw_ids = flat[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [raw_ids[a:b] for a, b in zip([0, *stops], stops)]
+
+
+#: The pattern of words that the fast way below follows (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts of ASCII and of Latin letters that stay as they are when composed, and the pattern on them, lower-cased.
+_PLAIN = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\t-\\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words beyond this are left to the library.
+_LONG = 256
+
+
 class Encoder:
-    """Token ids of whole texts, each run of characters between ASCII white space encoded once.
+    """Token ids of whole texts; a word, or a run between ASCII white space, is encoded once.
 
     For vocabularies that drop white space and let no token span it, as the one with word
-    ends does: the ids of a text are those of its runs, one after another.
+    ends does: the ids of a text are those of its runs, one after another. Plain texts are
+    split into words and merged here, many at once; runs of others go through the library.
     """
 
     def __init__(self, path: str):
@@ -50,18 +122,42 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        with open(path, encoding="utf-8") as file:
+            data = json.load(file)
+        split = data["pre_tokenizer"]["pretokenizers"][0] if data["pre_tokenizer"]["type"] == "Sequence" else {}
+        self.merger = Merger(data["model"]) if split.get("pattern") == {"Regex": PATTERN} else None
+        self.added = [t["content"] for t in data["added_tokens"]]
         self.known: dict[bytes, bytes] = {}
-
-    def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of UTF-8 texts as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        runs = [(t or b"").split() for t in texts]
-        new = list({w for words in runs for w in words if w not in known})
-        found = self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return [b"".join([known[w] for w in words]) for words in runs]
+        self.words: dict[str, bytes] = {}
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of texts as little-endian unsigned 32-bit integers; null is empty."""
+        if len(self.known) + len(self.words) > MEMORY:
+            self.forget()
+        parts = [_WORDS.findall(t.lower()) if self._plain(t) else t.encode().split() for t in (t or "" for t in texts)]
+        words, runs = set(), set()
+        for found in parts:
+            if found:
+                (words if isinstance(found[0], str) else runs).update(found)
+        self._learn(words - self.words.keys(), runs - self.known.keys())
+        of = {str: self.words.__getitem__, bytes: self.known.__getitem__}
+        return [b"".join(map(of[type(found[0])], found)) if found else b"" for found in parts]
+
+    def _plain(self, text: str) -> bool:
+        return self.merger is not None and bool(_PLAIN.fullmatch(text)) and not any(a in text for a in self.added)
+
+    def _learn(self, words: set[str], runs: set[bytes]) -> None:
+        short = [w for w in words if len(w) <= _LONG]
+        if short:
+            self.words.update(zip(short, self.merger.ids([w.encode() for w in short])))
+        other = [*(w for w in words if len(w) > _LONG), *runs]
+        found = self.model.encode_batch_fast([w if isinstance(w, str) else w.decode() for w in other], add_special_tokens=False) if other else []
+        for w, e in zip(other, found):
+            (self.words if isinstance(w, str) else self.known)[w] = np.array(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.words.clear()
 
 
 @lru_cache(maxsize=2)
@@ -91,8 +187,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         coder, seen, task = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    part = batch.slice(at, 128)
+                for at in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(at, BATCH)
                     rows: dict[str, list] = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "nth", "ids")}
                     for row, ids in enumerate(coder.encode_batch(part.column(1).to_pylist())):
                         ids += stop
@@ -113,10 +209,10 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(columns, names)
         finally:
-            coder.known.clear()
+            coder.forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, raw(text).alias("#text")).mapInArrow(
+    return docs.select(key, F.col(text).cast("string").alias("#text")).mapInArrow(
         run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, nth long, task int" + ", ids binary" * keep_ids)
 
 

@@ -92,7 +92,18 @@ TEXTS = ["Hello there, it's 2024!", "", None, "  a\tb\n\nc \x1c d e f ", "<|e
 def test_ids_are_the_library_s():
     model = Tokenizer.from_file(p.vocabulary())
     expected = [np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
-    assert p.Encoder(p.vocabulary()).encode_batch([t.encode() if t else t for t in TEXTS]) == expected
+    assert p.Encoder(p.vocabulary()).encode_batch(TEXTS) == expected
+
+
+def test_merging_at_once_is_the_library_s():
+    rng = np.random.default_rng(2)
+    letters = np.array(list("aaabcdeeeinorsttuvwxyz'.-,!?<|>0123456789ABCÀÉßñÿ×ÞŒǅ´\u0301\xa0\x1c"))
+    texts = ["".join(rng.choice(letters, int(rng.integers(1, 20)))) for _ in range(4000)]
+    texts += ["".join(rng.choice(letters[:20], int(rng.integers(1, 300)))) for _ in range(200)]
+    texts += ["aaaa" * k for k in range(1, 40)] + ["it's 'll''s x'S d'D", "<|startoftext|>'s", "ǅ", "\x1cx", "É́"]
+    model = Tokenizer.from_file(p.vocabulary())
+    expected = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert p.Encoder(p.vocabulary()).encode_batch(texts) == expected
 
 
 def packed_rows(spark, texts, capacity, parts=3):
