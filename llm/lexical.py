@@ -191,8 +191,8 @@ class Shard:
         best = np.where(y > x, b, a)[rows, top]
         return value.sum(1), self.at[best]
 
-    def search(self, names: list[bytes], weights: list[int], k: int) -> tuple[list, int]:
-        """The k best (score, id), best first, and the number of documents scored."""
+    def search(self, names: list[bytes], weights: list[int], k: int, least: int = 1) -> tuple[list, int]:
+        """The k best (score, id) of at least ``least``, best first, and the number of documents scored."""
         known = [(self.slots[w], x) for w, x in zip(names, weights) if x > 0 and w in self.slots]
         if not known:
             return [], 0
@@ -206,7 +206,9 @@ class Shard:
         wave = max(1, min(WAVE, WAVE_CELLS // len(t)))
         bound, split = self._greatest(starts[None], ends[None], weight)
         left, right = np.zeros(1, np.int64), np.full(1, n - 1)
-        scores, found, least, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0
+        if bound[0] < least:
+            return [], 0
+        scores, found, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         while len(bound):
             take = np.argpartition(-bound, wave - 1)[:wave] if len(bound) > wave else np.arange(len(bound))
             lo, hi, doc = left[take], right[take], split[take]
@@ -227,7 +229,7 @@ class Shard:
             # Equal bounds stay: an equal score with a smaller id ranks higher.
             open_ = bound >= least
             bound, split, left, right = bound[open_], split[open_], left[open_], right[open_]
-        best = sorted(((-s, self.ids[d]) for s, d in zip(scores.tolist(), found.tolist()) if s > 0))[:k]
+        best = sorted(((-s, self.ids[d]) for s, d in zip(scores.tolist(), found.tolist()) if s >= least))[:k]
         return [(-s, i) for s, i in best], scored
 
 
@@ -282,28 +284,37 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id",
 
 
 def _search_block(shards: DataFrame, block: list, n: int, length: int, k: int, id_type: DataType, item_type: DataType) -> DataFrame:
-    """Rows (item, rank, doc, score) of a block of items: the best of each shard, merged in parts and then as a whole."""
-    shared = shards.sparkSession.sparkContext.broadcast(block)
-    kinds = (to_arrow_type(item_type), pa.string(), pa.int64(), to_arrow_type(id_type), pa.int64())
+    """Rows (item, rank, doc, score) of a block of items: the best of each task's shards, merged in parts and then as a whole.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {"item": [], "text_key": [], "shard": [], "doc": [], "score": []}
-        for row in batch.to_pylist():
-            shard = Shard(row["ids"], np.frombuffer(row["sizes"], "<i8"), row["terms"], np.array(row["df"], np.int64),
-                          np.frombuffer(row["at"], "<u2"), np.frombuffer(row["tf"], "<u4"), n, length)
-            for item, text_key, names, weights in shared.value:
-                best, _ = shard.search(names, weights, k)
-                for score, doc in best:
-                    for column, value in zip(out.values(), (item, text_key, row["shard"], doc, score)):
-                        column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
-
-    found = map_arrow(shards, run, f"item {item_type.simpleString()}, text_key string, shard long, doc {id_type.simpleString()}, score long", rows=1)
+    A shard is searched for what reaches the k-th score of the task's shards before it.
+    """
+    spark = shards.sparkSession
+    shared = spark.sparkContext.broadcast([(names, weights) for _, names, weights in block])
+    kinds = (pa.int32(), pa.int32(), to_arrow_type(id_type), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list] = [[] for _ in shared.value]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                shard = Shard(row["ids"], np.frombuffer(row["sizes"], "<i8"), row["terms"], np.array(row["df"], np.int64),
+                              np.frombuffer(row["at"], "<u2"), np.frombuffer(row["tf"], "<u4"), n, length)
+                for i, (names, weights) in enumerate(shared.value):
+                    more, _ = shard.search(names, weights, k, best[i][-1][0] if len(best[i]) == k else 1)
+                    if more:
+                        best[i] = sorted([*best[i], *more], key=lambda x: (-x[0], x[1]))[:k]
+        rows = [(i, doc, score) for i, found in enumerate(best) for score, doc in found]
+        columns = list(zip(*rows)) if rows else [(), (), ()]
+        columns.insert(1, [TaskContext.get().partitionId()] * len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["at", "task", "doc", "score"])
+
+    found = shards.mapInArrow(run, f"at int, task int, doc {id_type.simpleString()}, score long")
     order = [F.desc("score"), F.asc("doc")]
-    first = Window.partitionBy("item", "text_key", F.pmod(F.xxhash64("shard"), F.lit(PARTS))).orderBy(*order)
+    first = Window.partitionBy("at", F.col("task") % PARTS).orderBy(*order)
     few = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    last = Window.partitionBy("item", "text_key").orderBy(*order)
-    return few.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("rank") <= k)
+    items = spark.createDataFrame([(i, item) for i, (item, *_) in enumerate(block)], f"at int, item {item_type.simpleString()}")
+    return ranked.join(items, "at").select("item", "rank", "doc", "score")
 
 
 def _sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -318,7 +329,7 @@ def _blocks(lists: DataFrame) -> Iterator[list]:
         if block and (len(block) >= BLOCK or size + row["bytes"] > BLOCK_BYTES):
             yield block
             block, size = [], 0
-        block.append((*row["key"], [bytes(t[0]) for t in row["terms"]], [t[1] for t in row["terms"]]))
+        block.append((row["key"][0], [bytes(t[0]) for t in row["terms"]], [t[1] for t in row["terms"]]))
         size += row["bytes"]
     if block:
         yield block
