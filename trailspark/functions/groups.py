@@ -8,7 +8,7 @@ or the digests of a group's leaves (65,536 at most), never all lines of a hot gr
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +25,29 @@ def group_digest(rows: DataFrame, keys: Sequence[str], line: Column, out: str, *
     if repeats:
         lines = lines.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_n")).select(
             *keys, F.concat_ws(" ", F.col("_n").cast("string"), "_line").alias("_line"))
-    joined = lambda name: sha256(F.array_join(F.array_sort(F.collect_set(name)), "\n"))
-    leaf = F.substring(sha256(F.col("_line")), 1, 4)
-    leaves = lines.groupBy(*keys, leaf.alias("_leaf")).agg(joined("_line").alias("_digest"))
-    return leaves.groupBy(*keys).agg(joined("_digest").alias(out))
+    leaves = lines.groupBy(*keys, _leaf()).agg(_joined("_line").alias("_digest"))
+    return leaves.groupBy(*keys).agg(_joined("_digest").alias(out))
+
+
+def group_digests(rows: DataFrame, keys: Sequence[str], section: str, line: Column, outs: Mapping[str, str]) -> DataFrame:
+    """The hashes of several sections of each group's lines at once, one column for each.
+
+    ``outs`` names a section's column. Each is what ``group_digest`` gives for the lines of
+    that section alone, null where a group has none; all sections share its two shuffles.
+    """
+    lines = rows.select(*keys, F.col(section).alias("_section"), line.alias("_line"))
+    leaves = lines.groupBy(*keys, "_section", _leaf()).agg(_joined("_line").alias("_digest"))
+    return leaves.groupBy(*keys).agg(*[
+        F.when(F.count(F.when(F.col("_section") == s, 1)) > 0, _joined(F.when(F.col("_section") == s, F.col("_digest")))).alias(out)
+        for s, out in outs.items()])
+
+
+def _joined(name: Column | str) -> Column:
+    return sha256(F.array_join(F.array_sort(F.collect_set(name)), "\n"))
+
+
+def _leaf() -> Column:
+    return F.substring(sha256(F.col("_line")), 1, 4).alias("_leaf")
 
 
 def digest_sql(source: str, keys: str, out: str) -> str:

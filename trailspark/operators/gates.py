@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import group_digest
+from trailspark.functions.groups import group_digest, group_digests
 
 K, C, M = "contract_id", "control_id", "module_id"
 
@@ -43,12 +43,10 @@ def included_controls(required: DataFrame, claim: DataFrame, included: DataFrame
     control. No row fans out by more than the root of the number of claims, however
     popular one module or one control is.
     """
-    claims = claim.select(M, C).distinct()
-    degree = lambda key, name: claims.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    edges = claims.join(degree(M, "_m"), M).join(degree(C, "_c"), C)
+    edges = claim if "_narrow" in claim.columns else claim_edges(claim)
     modules, controls = included.select(K, M).distinct(), required.select(K, C).distinct()
-    by_module = edges.filter("_m <= _c").select(M, C)
-    by_control = edges.filter("_m > _c").select(M, C)
+    by_module = edges.filter("_narrow").select(M, C)
+    by_control = edges.filter("NOT _narrow").select(M, C)
     return (
         modules.join(by_module, M).join(controls, [K, C], "left_semi").select(K, M, C)
         .unionByName(
@@ -57,6 +55,16 @@ def included_controls(required: DataFrame, claim: DataFrame, included: DataFrame
     )
 
 
+def claim_edges(claim: DataFrame) -> DataFrame:
+    """Distinct claims, with ``_narrow`` where the module claims no more controls than modules claim the control.
+
+    The same for every contract; pass it for ``claim`` where several steps follow claims.
+    """
+    claims = claim.select(M, C).distinct()
+    degree = lambda key, name: claims.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return claims.join(degree(M, "_m"), M).join(degree(C, "_c"), C).select(M, C, (F.col("_m") <= F.col("_c")).alias("_narrow"))
+
+
 def gate_paper_claims(required: DataFrame, claim: DataFrame, module: DataFrame) -> DataFrame:
     """Modules that claim a required control but name no verification method."""
     bare = module.filter(F.col("method").isNull()).select(M)
@@ -132,16 +140,20 @@ def coverage_proof_hash(
     One line for each entry: a required control with the digest of its claiming modules,
     an included module, a control that it claims, its method.
     """
+    return group_digest(proof_lines(required, claim, module, included), [K], F.col("line"), "coverage_proof_hash")
+
+
+def proof_lines(required: DataFrame, claim: DataFrame, module: DataFrame, included: DataFrame) -> DataFrame:
+    """The lines that ``coverage_proof_hash`` hashes."""
     line = lambda frame, kind, *cols: frame.select(
         K, F.concat_ws(" ", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]).alias("line"))
     pairs = included.select(K, M).distinct()
-    lines = _union([
+    return _union([
         line(required.join(_claimers(claim), C, "left"), "forward", C, "modules_digest"),
         line(pairs, "included", M),
         line(included_controls(required, claim, included), "backward", M, C),
         line(pairs.join(module.filter(F.col("method").isNotNull()).select(M, "method").distinct(), M), "method", M, "method"),
     ])
-    return group_digest(lines, [K], F.col("line"), "coverage_proof_hash")
 
 
 def order_hash(facts: DataFrame, module_hash: DataFrame) -> DataFrame:
@@ -150,8 +162,16 @@ def order_hash(facts: DataFrame, module_hash: DataFrame) -> DataFrame:
     ``facts``: contract_id, scope_hash, cop_hash, control_set_hash, coverage_proof_hash.
     ``module_hash``: contract_id, module_id, module_hash.
     """
-    modules = group_digest(module_hash, [K], F.concat_ws(" ", F.col(M).cast("string"), "module_hash"), "_modules")
-    body = tx.json_object(
+    modules = group_digest(module_hash, [K], _module_line(), "_modules")
+    return facts.join(modules, K, "left").select(K, _order_hash().alias("order_hash"))
+
+
+def _module_line() -> Column:
+    return F.concat_ws(" ", F.col(M).cast("string"), "module_hash")
+
+
+def _order_hash() -> Column:
+    return tx.sha256(tx.json_object(
         ("contract", tx.json_text(F.col(K))),
         ("control_set_hash", tx.json_text(F.col("control_set_hash"))),
         ("cop_hash", tx.json_text(F.col("cop_hash"))),
@@ -161,8 +181,27 @@ def order_hash(facts: DataFrame, module_hash: DataFrame) -> DataFrame:
         ("scope", tx.json_text(F.col("scope_hash"))),
         ("standard", F.lit(f'"{vocab.STANDARD}"')),
         ("tier", F.lit(f'"{vocab.TARGET_TIER}"')),
-    )
-    return facts.join(modules, K, "left").select(K, tx.sha256(body).alias("order_hash"))
+    ))
+
+
+def order_hashes(
+    required: DataFrame, claim: DataFrame, module: DataFrame, included: DataFrame, profile: DataFrame, scope: DataFrame,
+    module_hash: DataFrame,
+) -> DataFrame:
+    """All hashes of an order by one grouped digest: its parts' and, over them, the order's own.
+
+    ``profile``: the lines of ``obligations.profile_lines``; ``scope``: contract_id, item,
+    value. Contracts that lack a part have no order.
+    """
+    parts = {"control": required.select(K, F.col(C).cast("string").alias("line")),
+             "profile": profile, "proof": proof_lines(required, claim, module, included),
+             "scope": scope.select(K, F.concat_ws(" ", "item", "value").alias("line")),
+             "module": module_hash.select(K, _module_line().alias("line"))}
+    lines = _union([frame.select(K, F.lit(name).alias("part"), "line") for name, frame in parts.items()])
+    outs = {"control": "control_set_hash", "profile": "cop_hash", "proof": "coverage_proof_hash", "scope": "scope_hash", "module": "_modules"}
+    facts = group_digests(lines, [K], "part", F.col("line"), outs)
+    whole = [name for name in outs.values() if name != "_modules"]
+    return facts.dropna(subset=whole).select(K, *whole, _order_hash().alias("order_hash"))
 
 
 def order_flaws(order_hdr: DataFrame, required: DataFrame, claim: DataFrame, module: DataFrame, included: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from trailspark.operators import lookups as lk
 from trailspark.operators import gates as gt
 from trailspark.plans.catalog import _CHAIN
 from trailspark.plans.evaluation import _outcomes
-from trailspark.plans.registry import query, shared
+from trailspark.plans.registry import cut, query, shared
 from trailspark.plans.views import _LABEL
 
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -212,6 +212,11 @@ def _boms(p):
     return bm.document_hash(_document(p))
 
 
+def _settled(p):
+    """The sets that a bill of materials reads in several sections, written once each."""
+    cut(p, "order_control", "order_module", "attestation", "evidence", "resource_control", _outcomes, _row_hashes, _rows)
+
+
 @query("B5_bom_document", "SELECT contract_id, section, key, value FROM bom_lines")
 def _(p):
     return _document(p)
@@ -219,6 +224,7 @@ def _(p):
 
 @query("B5_bom_hash", "SELECT contract_id, bom_hash FROM bom_hashes")
 def _(p):
+    _settled(p)
     return _boms(p)
 
 
@@ -243,6 +249,8 @@ def _(p):
   LEFT JOIN (SELECT contract_id, count(DISTINCT content_hash) AS n FROM evidence WHERE source_module % 8 = 1 GROUP BY 1) b USING (contract_id)""")
 def _(p):
     """Every 6th document is stored with another tier, every 7th not at all; some artifacts are bad."""
+    _settled(p)
+    cut(p, _document)
     key = F.col("contract_id")
     tier = (key % 6 == 0) & (F.col("section") == "order") & (F.col("key") == "tier")
     stored = _document(p).filter(key % 7 != 0).withColumn("value", F.when(tier, "other").otherwise(F.col("value")))
@@ -265,6 +273,7 @@ def _(p):
     UNION ALL SELECT contract_id, control_id, 'evidenceHash', content_hash FROM row_hashes JOIN order_control USING (contract_id, control_id)) f
   ON f.contract_id = h.contract_id""")
 def _(p):
+    _settled(p)
     status = bm.evidentiary_status(p.bom_order, p.evidence)
     return bm.bom_facts(_boms(p), p.bom_order, status, _artifacts(p), _rows(p), p.resource_control, _row_hashes(p))
 

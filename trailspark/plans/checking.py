@@ -14,7 +14,7 @@ from trailspark.operators import validate as va
 from trailspark.plans.auditing import _boms, _met, _rows
 from trailspark.plans.catalog import _REFS
 from trailspark.plans.evaluation import _outcomes, _results
-from trailspark.plans.registry import BODIES, BUILDERS, query, shared
+from trailspark.plans.registry import BODIES, BUILDERS, cut, query, shared
 
 _NONE = "CAST(NULL AS VARCHAR) AS contract_id"
 
@@ -351,8 +351,10 @@ def _(p):
 def _(p):
     """Run numbers stand for contracts in the adherence part."""
     from trailspark.operators.bom import evidentiary_status
-    from trailspark.plans.auditing import compute_score
+    from trailspark.plans.auditing import _settled, compute_score
 
+    _settled(p)
+    cut(p, "poam")
     adherence = _adherence(p).select(F.col("run_id").alias("contract_id"), "ok")
     return pk.package_manifest(
         _boms(p), evidentiary_status(p.order_hdr, p.evidence), compute_score(p),

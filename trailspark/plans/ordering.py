@@ -10,7 +10,7 @@ from trailspark.operators import evidence as ev
 from trailspark.operators import gates as gt
 from trailspark.operators import obligations as ob
 from trailspark.functions.groups import digest_sql
-from trailspark.plans.registry import query, shared
+from trailspark.plans.registry import cut, query, shared
 
 _PART_ID = "^[0-9]+$"
 
@@ -148,14 +148,17 @@ def _(p):
 # -- hashes of an order ------------------------------------------------------------
 
 
+@shared
+def _edges(p):
+    return gt.claim_edges(p.module_claim)
+
+
 @shared
 def _hashes(p):
-    control_set = gt.control_set_hash(p.order_control)
-    profile = ob.profile_hash(p.obligation, p.obligation_derive)
-    proof = gt.coverage_proof_hash(p.order_control, p.module_claim, p.module, p.order_module)
-    scope = ob.scope_hash(ob.default_scope(p.obligation, ob.policy_markers(_resolve(p)[1])))
-    facts = control_set.join(profile, "contract_id").join(proof, "contract_id").join(scope, "contract_id")
-    return facts.join(gt.order_hash(facts, p.module_hash), "contract_id")
+    cut(p, "order_control", "order_module", "module_claim", "obligation", "obligation_derive", _edges)
+    scope = ob.default_scope(p.obligation, ob.policy_markers(_resolve(p)[1]))
+    return gt.order_hashes(p.order_control, _edges(p), p.module, p.order_module,
+                           ob.profile_lines(p.obligation, p.obligation_derive), scope, p.module_hash)
 
 
 @query("H3_control_set_hash", "SELECT contract_id, control_set_hash FROM control_set_hashes")
@@ -184,6 +187,7 @@ def _(p):
   FROM order_hdr h JOIN order_hashes USING (contract_id))""")
 def _(p):
     """Stated hashes are the compiled ones, tampered with on every 7th and 11th contract."""
+    cut(p, _hashes)
     fresh = _hashes(p).select("contract_id", "control_set_hash", "order_hash")
     key = F.col("contract_id")
     bad = lambda n, name: F.when(key % n == 0, tx.sha256(F.col(name))).otherwise(F.col(name)).alias(name)

@@ -60,9 +60,22 @@ def shared(build: Callable):
             p.__dict__[key] = build(p)
         return p.__dict__[key]
 
+    once.key = key
     return once
 
 
+def cut(p: Projection, *parts: str | Callable) -> None:
+    """Write tables that a query reads more than once, so that they are computed once.
+
+    ``parts``: names of the projection's tables, or helpers made by ``shared``.
+    """
+    for part in parts:
+        name = part if isinstance(part, str) else part.key
+        frame = getattr(p, part) if isinstance(part, str) else part(p)
+        if not hasattr(frame, "_cut"):
+            p.__dict__[name] = session.durable(frame)
+
+
 def query(name: str, sql: str | None = None):
     """Register a builder ``Projection -> DataFrame`` under ``name``."""
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +56,55 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Tables that ``durable`` has written and nobody has removed: folder -> its Hadoop settings.
+_written: dict[str, object] = {}
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared checkpoint folder.
 
-    A result that several outputs read is computed once and survives executor loss.
+    A result that several outputs read is computed once and survives executor loss. The
+    table stays until ``discard``, the end of a ``scratch`` block or of the process.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written[path] = spark.sparkContext._jsc.hadoopConfiguration()
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._cut = path
+    return found
+
+
+def discard(frame: DataFrame) -> None:
+    """Remove the table behind a frame that ``durable`` returned; nothing may read it any more."""
+    _remove(frame._cut, frame.sparkSession._jvm)
+
+
+def _remove(path: str, jvm) -> None:
+    conf = _written.pop(path, None)
+    if conf is not None:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove every table that ``durable`` writes within the block at its end.
+
+    Results that read them must be written or collected before.
+    """
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _remove(path, spark._jvm)
+
+
+def release() -> None:
+    """Remove all tables that ``durable`` has written in this process, as far as Spark still runs."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_written) if spark is not None else ():
+        _remove(path, spark._jvm)
