@@ -240,3 +240,72 @@ def test_hashes_of_ingested_files(spark, tmp_path):
         assert (r.payload, r.summary_canonical) == (json.dumps(e.get("raw", {}), sort_keys=True), json.dumps(e.get("summary", {}), sort_keys=True))
         assert r.model_hash == sha(json.dumps(payload, sort_keys=True))
         assert r.content_hash == sha(json.dumps({"model_hash": r.model_hash, "proof_hash": None, "sim_hash": None}, sort_keys=True))
+
+
+def test_leaves_commit_and_diff_like_whole_graphs(spark, frame):
+    import random
+
+    rng = random.Random(4)
+    lines = [f"<s{i}> <p> <o{rng.randrange(9)}> ." for i in range(400)]
+    first = frame("ref string, seq long, graph string, line string",
+                  *[(r, 0, g, x) for r in "ab" for g in ("order", "plan") for x in lines if rng.random() < 0.6])
+    held = {tuple(r) for r in first.select("ref", "graph", "line").collect()}
+    gone = {x for x in held if rng.random() < 0.02} | {x for x in held if x[:2] == ("b", "plan")}  # a graph goes whole
+    come = {("a", "order", f"<new{i}> <p> <o> .") for i in range(5)} | {("c", "order", "<first> <of> <ref> .")}
+    change = frame("ref string, graph string, line string, change string",
+                   *[(*x, "removed") for x in gone], *[(*x, "added") for x in come], ("a", "order", "<not> <there> <x> .", "removed"))
+    second = frame("ref string, seq long, graph string, line string", *[(r, 1, g, x) for r, g, x in (held - gone) | come])
+    keys = ["ref", "graph"]
+    leaves, stored = st.commit_leaves(first)
+    assert rows(st.leaf_graph_hash(leaves, keys)) == rows(st.graph_hash(first, keys))
+    later, more = st.commit_change(leaves, stored, change)
+    assert rows(st.leaf_graph_hash(later, keys)) == rows(st.graph_hash(second, keys))
+    store = stored.unionByName(more)
+    assert rows(st.leaf_lines(later, store, keys)) == rows(second.select(*keys, "line"))
+    assert rows(st.leaf_diff(leaves, later, store, keys), *keys, "line", "change") == rows(
+        st.snapshot_diff(first, second, keys), *keys, "line", "change")
+    # Leaves of unchanged lines are not stored again, and a leaf of several graphs is stored once.
+    assert more.join(stored, "digest").count() == 0
+    assert stored.count() == stored.distinct().count() and stored.select("digest").distinct().count() == leaves.select("digest").distinct().count()
+    assert st.commit_leaves(second, store)[1].count() == 0
+
+
+def test_several_digests_at_once_are_the_single_ones(frame):
+    from trailspark.functions.groups import group_digest, group_digests
+
+    data = frame("k long, part string, line string", *[(k % 3, "xyz"[k % 2], f"line {k % 11}") for k in range(60)], (9, "y", "only"))
+    both = group_digests(data, ["k"], "part", F.col("line"), {"x": "hx", "y": "hy", "z": "hz"})
+    for part, out in (("x", "hx"), ("y", "hy")):
+        single = group_digest(data.filter(F.col("part") == part), ["k"], F.col("line"), out)
+        assert rows(both.filter(F.col(out).isNotNull()), "k", out) == rows(single, "k", out)
+    assert both.filter("hz is not null").count() == 0 and rows(both.filter("k = 9"), "hx") == [(None,)]
+
+
+def test_lineage_doubles_and_raises(spark, frame):
+    import pytest
+
+    from trailspark.operators import provenance as pv
+
+    chain = lambda n: [(0, "used", f"a{i}", f"e{i}") for i in range(n)] + [(0, "generated", f"a{i}", f"e{i + 1}") for i in range(n)]
+    schema = "run_id long, kind string, activity string, entity string"
+    for n in (1, 2, 5, 7, 8):
+        found = pv.lineage_edges(frame(schema, *chain(n)), steps=8)
+        assert rows(found, "source", "target", "hops") == sorted(
+            ((f"e{i}", f"e{j}", j - i) for i in range(n + 1) for j in range(i + 1, n + 1)), key=lambda r: [(False, str(v)) for v in r])
+    for bad in (chain(9), [*chain(2), (0, "used", "b", "e2"), (0, "generated", "b", "e0")]):
+        with pytest.raises(ValueError):
+            pv.lineage_edges(frame(schema, *bad), steps=8)
+
+
+def test_tables_of_cuts_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from trailspark import session
+
+    with session.scratch(spark):
+        first = session.durable(spark.range(3))
+        second = session.durable(first.selectExpr("id + 1 AS id"))
+        assert second.count() == 3
+        session.discard(first)
+        assert not Path(first._cut.removeprefix("file:")).exists() and second.count() == 3
+    assert not Path(second._cut.removeprefix("file:")).exists()

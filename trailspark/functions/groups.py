@@ -25,8 +25,23 @@ def group_digest(rows: DataFrame, keys: Sequence[str], line: Column, out: str, *
     if repeats:
         lines = lines.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_n")).select(
             *keys, F.concat_ws(" ", F.col("_n").cast("string"), "_line").alias("_line"))
-    leaves = lines.groupBy(*keys, _leaf()).agg(_joined("_line").alias("_digest"))
-    return leaves.groupBy(*keys).agg(_joined("_digest").alias(out))
+    return root_digest(leaf_digests(lines, keys, F.col("_line")), keys, out)
+
+
+def leaf_of(line: Column) -> Column:
+    """The leaf that a line is dealt to."""
+    return F.substring(sha256(line), 1, 4)
+
+
+def leaf_digests(rows: DataFrame, keys: Sequence[str], line: Column) -> DataFrame:
+    """Rows (keys, leaf, digest) of every leaf that holds lines: what a group's hash is made of."""
+    lines = rows.select(*keys, line.alias("_line"))
+    return lines.groupBy(*keys, leaf_of(F.col("_line")).alias("leaf")).agg(_joined("_line").alias("digest"))
+
+
+def root_digest(leaves: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """The hash of each group from the digests of its leaves."""
+    return leaves.groupBy(*keys).agg(_joined("digest").alias(out))
 
 
 def group_digests(rows: DataFrame, keys: Sequence[str], section: str, line: Column, outs: Mapping[str, str]) -> DataFrame:
@@ -36,7 +51,7 @@ def group_digests(rows: DataFrame, keys: Sequence[str], section: str, line: Colu
     that section alone, null where a group has none; all sections share its two shuffles.
     """
     lines = rows.select(*keys, F.col(section).alias("_section"), line.alias("_line"))
-    leaves = lines.groupBy(*keys, "_section", _leaf()).agg(_joined("_line").alias("_digest"))
+    leaves = lines.groupBy(*keys, "_section", leaf_of(F.col("_line")).alias("_leaf")).agg(_joined("_line").alias("_digest"))
     return leaves.groupBy(*keys).agg(*[
         F.when(F.count(F.when(F.col("_section") == s, 1)) > 0, _joined(F.when(F.col("_section") == s, F.col("_digest")))).alias(out)
         for s, out in outs.items()])
@@ -46,10 +61,6 @@ def _joined(name: Column | str) -> Column:
     return sha256(F.array_join(F.array_sort(F.collect_set(name)), "\n"))
 
 
-def _leaf() -> Column:
-    return F.substring(sha256(F.col("_line")), 1, 4).alias("_leaf")
-
-
 def digest_sql(source: str, keys: str, out: str) -> str:
     """The same in SQL. ``source`` gives the keys and ``line``."""
     return f"""SELECT {keys}, sha256(string_agg(leaf, chr(10) ORDER BY leaf)) AS {out} FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import text as tx
 from trailspark.functions import vocab
-from trailspark.functions.groups import group_digest
+from trailspark.functions.groups import group_digest, leaf_digests, leaf_of, root_digest
 
 K = "contract_id"
 
@@ -196,6 +196,76 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     )
 
 
+# -- versions kept as leaves ---------------------------------------------------------
+
+
+def commit_leaves(snapshot: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The leaves of every graph of a snapshot, and the lines of leaves that the store lacks.
+
+    ``snapshot``: ref, seq, graph, line. Leaves: ref, seq, graph, leaf, digest. Stored
+    lines: digest, line; a leaf that any graph of any version holds is stored once.
+    """
+    keys = ["ref", "seq", "graph"]
+    lines = snapshot.select(*keys, "line").distinct()
+    leaves = leaf_digests(lines, keys, F.col("line"))
+    return leaves, _leaf_lines(lines, leaves, keys, stored)
+
+
+def _leaf_lines(lines: DataFrame, leaves: DataFrame, keys: list[str], stored: DataFrame | None) -> DataFrame:
+    """Rows (digest, line) of one graph's copy of each leaf that is not stored yet."""
+    one = leaves.groupBy("digest").agg(F.min(F.struct(*keys, "leaf")).alias("_at"))
+    if stored is not None:
+        one = one.join(stored.select("digest").distinct(), "digest", "left_anti")
+    return lines.withColumn("leaf", leaf_of(F.col("line"))).join(one.select("digest", "_at.*"), [*keys, "leaf"]).select("digest", "line")
+
+
+def commit_change(leaves: DataFrame, stored: DataFrame, change: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves of the next version, and the lines to store, from what changes.
+
+    ``leaves``: ref, graph, leaf, digest of the version before; ``change``: ref, graph,
+    line, change ('added' or 'removed'; a line that is both is there afterwards). Only
+    leaves that a changed line is dealt to are read from the store and hashed anew; a
+    leaf left without lines is gone, and with its last leaf a graph.
+    """
+    keys = ["ref", "graph"]
+    change = change.select(*keys, "line", "change", leaf_of(F.col("line")).alias("leaf"))
+    touched = change.select(*keys, "leaf").distinct()
+    old = leaves.select(*keys, "leaf", "digest").join(touched, [*keys, "leaf"], "left_semi")
+    held = old.join(stored, "digest").select(*keys, "line")
+    only = lambda kind: change.filter(F.col("change") == kind).select(*keys, "line")
+    lines = held.join(only("removed"), [*keys, "line"], "left_anti").unionByName(only("added")).distinct()
+    fresh = leaf_digests(lines, keys, F.col("line"))
+    kept = leaves.select(*keys, "leaf", "digest").join(touched, [*keys, "leaf"], "left_anti")
+    return kept.unionByName(fresh), _leaf_lines(lines, fresh, keys, stored)
+
+
+def leaf_graph_hash(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """The hash of each graph from its leaves: the same as ``graph_hash`` of its lines."""
+    return root_digest(leaves, keys, "graph_hash")
+
+
+def leaf_lines(leaves: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines that leaves stand for."""
+    return leaves.select(*keys, "digest").join(stored, "digest").select(*keys, "line")
+
+
+def leaf_diff(before: DataFrame, after: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines only one of two versions has, from their leaves.
+
+    Equal leaves are skipped by their digests: only the lines of unequal ones are read.
+    """
+    at = [*keys, "leaf"]
+    sides = before.select(*at, F.col("digest").alias("_old")).join(after.select(*at, F.col("digest").alias("_new")), at, "full")
+    unequal = sides.filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    digests = F.array_compact(F.array(
+        F.when(F.col("_old").isNotNull(), F.struct(F.col("_old").alias("digest"), F.lit(-1).alias("_n"))),
+        F.when(F.col("_new").isNotNull(), F.struct(F.col("_new").alias("digest"), F.lit(1).alias("_n")))))
+    lines = unequal.select(*keys, F.explode(digests).alias("_d")).select(*keys, "_d.*").join(stored, "digest")
+    # A line lies in one leaf of a graph: once on each side, or on one alone.
+    return lines.groupBy(*keys, "line").agg(F.sum("_n").alias("_n")).filter("_n <> 0").select(
+        *keys, "line", F.when(F.col("_n") > 0, "added").otherwise("removed").alias("change"))
+
+
 # -- vocabulary checks -------------------------------------------------------------
 
 

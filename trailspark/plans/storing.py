@@ -9,6 +9,7 @@ from trailspark.functions import vocab
 from trailspark.operators import store as st
 from trailspark.functions.groups import digest_sql
 from trailspark.plans.registry import query, shared
+from trailspark.session import durable
 from trailspark.sources import files
 
 _PROJECT = "traces"
@@ -148,7 +149,38 @@ def _(p):
   UNION ALL SELECT ref, graph, line, 'removed' FROM (SELECT ref, graph, line FROM snapshots WHERE seq = 0
     EXCEPT SELECT ref, graph, line FROM snapshots WHERE seq = 1)""")
 def _(p):
-    return st.snapshot_diff(p.snapshots.filter("seq = 0"), p.snapshots.filter("seq = 1"), ["ref", "graph"])
+    """Over the leaves and lines that committing both versions has stored."""
+    leaves, stored = _leaves(p)
+    return st.leaf_diff(leaves.filter("seq = 0"), leaves.filter("seq = 1"), stored, ["ref", "graph"])
+
+
+@shared
+def _leaves(p):
+    leaves, stored = st.commit_leaves(p.snapshots)
+    leaves = durable(leaves)
+    return leaves, durable(stored)
+
+
+@query("C5_commit_leaves", """SELECT ref, seq, graph, graph_hash FROM graph_hashes""")
+def _(p):
+    """Graph hashes from leaves kept by version."""
+    return st.leaf_graph_hash(_leaves(p)[0], ["ref", "seq", "graph"])
+
+
+@query("C5_commit_change", """SELECT ref, graph, graph_hash FROM graph_hashes WHERE seq = 1""")
+def _(p):
+    """The second version made from the first one's leaves and the lines that change."""
+    first, second = p.snapshots.filter("seq = 0"), p.snapshots.filter("seq = 1")
+    leaves, stored = map(durable, st.commit_leaves(first))
+    change = st.snapshot_diff(first, second, ["ref", "graph"])
+    return st.leaf_graph_hash(st.commit_change(leaves, stored, change)[0], ["ref", "graph"])
+
+
+@query("C8_leaf_lines", "SELECT ref, graph, line FROM snapshots WHERE seq = 1")
+def _(p):
+    """The second version's lines, read back from its leaves."""
+    leaves, stored = _leaves(p)
+    return st.leaf_lines(leaves.filter("seq = 1"), stored, ["ref", "graph"])
 
 
 @query("C9_undefined_terms", """SELECT term, count(*) AS uses FROM (SELECT regexp_extract(t, '^<urn:control/([0-9]+)>$', 1) AS term FROM (SELECT unnest([s, p, o]) AS t FROM quads))
