@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 from trailspark.session import durable
 from trailspark.session import tune as tune_base
 
-__all__ = ["bucket", "durable", "hash64", "map_arrow", "raw", "span_hashes", "table", "tree_sum", "tune"]
+__all__ = ["bucket", "durable", "hash64", "map_arrow", "one_thread", "raw", "span_hashes", "table", "tree_sum", "tune"]
 
+_BLAS = ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads")
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -61,6 +64,25 @@ def map_arrow(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return frame.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Keep numpy's matrix products in this Python worker to one thread: Spark has a task for every core.
+
+    Threads of small products mostly wait for each other, at full load.
+    """
+    try:
+        with open("/proc/self/maps") as maps:
+            found = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:  # no such file on this system: nothing to be set
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in _BLAS:
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def tree_sum(frame: DataFrame, dtype: str = "<f8") -> np.ndarray | None:
     """The sum of the packed vectors in a frame's one column, a few at a time in any task.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import durable, map_arrow, raw, tree_sum
+from llm.common import durable, map_arrow, one_thread, raw, tree_sum
 
 HIDDEN = 16
 #: Output symbols: CLASSES classes of MEMBERS symbols each. The last RARE symbols each stand
@@ -24,7 +24,7 @@ SHARED = 131_072
 #: Rounds of training; a round takes the documents of one hash bucket, and averages.
 ROUNDS = 4
 #: Gradients run back through WINDOW tokens, the state through whole documents; each is trained on PASSES times.
-WINDOW, LANES, PASSES, RATE = 32, 128, 2, 0.02
+WINDOW, LANES, PASSES, RATE = 32, 256, 2, 0.02
 #: Symbols of whole documents after which a task trains on what it holds.
 HELD = 1 << 21
 
@@ -39,10 +39,6 @@ def form(word: bytes) -> int:
     return zlib.crc32(word[:2] + b" " + word[-2:]) % RARE
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """The parameters in one vector, and views of it."""
 
@@ -70,28 +66,41 @@ class Network:
     def step(self, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         h = self.hidden
         a, g = self.x[inputs], state @ self.u
-        gates = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
-        z, r = gates[:, :h], gates[:, h:]
-        n = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
+        gates = a[:, : 2 * h]
+        gates += g[:, : 2 * h]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        z, r, n = gates[:, :h], gates[:, h:], a[:, 2 * h :]
+        n += r * g[:, 2 * h :]
+        np.tanh(n, out=n)
         return n + z * (state - n), z, r, n, g[:, 2 * h :]
 
+    def _members(self, states: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens in order of class, where each class begins, and the scores of their class's symbols."""
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(CLASSES + 1))
+        held, logits = states[order], np.empty((len(which), MEMBERS), np.result_type(states, self.w))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            np.matmul(held[cuts[k] : cuts[k + 1]], self.w[k], out=logits[cuts[k] : cuts[k + 1]])
+        logits += self.wb[which[order]]
+        return order, cuts, logits
+
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities: class, then symbol in its class."""
-        which, member = targets // MEMBERS, targets % MEMBERS
         out, ones = np.empty(len(targets), np.float64), np.ones(max(CLASSES, MEMBERS), np.float32)
-        for start in range(0, len(targets), 4096):  # as much as stays in the processor's cache
-            some = slice(start, start + 4096)
-            logits = states[some] @ self.c + self.cb
-            out[some] = logits[np.arange(len(logits)), which[some]]
-            out[some] -= np.log(np.exp(logits, out=logits) @ ones[:CLASSES].astype(logits.dtype))
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                logits = states[at] @ self.w[k] + self.wb[k]
-                own = logits[np.arange(len(at)), member[at]]
-                out[at] += own - np.log(np.exp(logits, out=logits) @ ones[:MEMBERS].astype(logits.dtype))
+        for start in range(0, len(targets), 16_384):  # as much as stays in the processor's cache
+            some = slice(start, start + 16_384)
+            held, aim = states[some], targets[some]
+            which, member, rows = aim // MEMBERS, aim % MEMBERS, np.arange(len(aim))
+            logits = held @ self.c
+            logits += self.cb
+            found = logits[rows, which].astype(np.float64)
+            found -= np.log(np.exp(logits, out=logits) @ ones[:CLASSES].astype(logits.dtype))
+            order, _, logits = self._members(held, which)
+            own = logits[rows, member[order]].astype(np.float64)
+            found[order] += own - np.log(np.exp(logits, out=logits) @ ones[:MEMBERS].astype(logits.dtype))
+            out[some] = found
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Network, np.ndarray, float]:
@@ -99,61 +108,79 @@ class Network:
 
         The state starts anew where ``fresh`` is set.
         """
+        out = Network(hidden=self.hidden)
+        state, loss = self.add_gradient(out, inputs, targets, mask, state, fresh)
+        out.flat /= max(1, int(mask.sum()))
+        return out, state, loss
+
+    def add_gradient(self, out: Network, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """Add the gradient of a window's summed loss to ``out``; the state after it, and the loss."""
         h, (time, lanes) = self.hidden, inputs.shape
-        kept, states = [], np.empty((time, lanes, h), np.float32)
+        kept, befores = [], np.empty((time, lanes, h), np.float32)
+        states, whole = np.empty((time, lanes, h), np.float32), mask.all(1)
         starts = np.zeros(time, bool) if fresh is None else fresh.any(1)
         for t in range(time):
             if starts[t]:
                 state = np.where(fresh[t][:, None], np.float32(0), state)
+            befores[t] = state
             new, *rest = self.step(inputs[t], state)
-            live = mask[t][:, None]
-            kept.append((state, *rest))
-            state = np.where(live, new, state)
+            kept.append(rest)
+            state = new if whole[t] else np.where(mask[t][:, None], new, state)
             states[t] = state
-        out = Network(hidden=h)
-        on = np.flatnonzero(mask.ravel())
+        on = slice(None) if whole.all() else np.flatnonzero(mask.ravel())
         flat, aim = states.reshape(-1, h)[on], targets.ravel()[on]
-        which, member = aim // MEMBERS, aim % MEMBERS
-        p = np.exp(flat @ self.c + self.cb)
+        which, member, rows = aim // MEMBERS, aim % MEMBERS, np.arange(len(aim))
+        p = flat @ self.c
+        p += self.cb
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        loss = -np.log(p[np.arange(len(on)), which] + 1e-30).sum()
-        p[np.arange(len(on)), which] -= 1
-        out.c[:], out.cb[:] = flat.T @ p, p.sum(0)
+        loss = -np.log(p[rows, which] + 1e-30).sum()
+        p[rows, which] -= 1
+        out.c += flat.T @ p
+        out.cb += p.sum(0)
         back = p @ self.c.T
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                p = np.exp(flat[at] @ self.w[k] + self.wb[k])
-                p /= p.sum(1, keepdims=True)
-                loss -= np.log(p[np.arange(len(at)), member[at]] + 1e-30).sum()
-                p[np.arange(len(at)), member[at]] -= 1
-                out.w[k], out.wb[k] = flat[at].T @ p, p.sum(0)
-                back[at] += p @ self.w[k].T
+        order, cuts, p = self._members(flat, which)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        loss -= np.log(p[rows, member[order]] + 1e-30).sum()
+        p[rows, member[order]] -= 1
+        held, more = flat[order], np.empty((len(aim), h), np.float32)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[k], cuts[k + 1])
+            out.w[k] += held[part].T @ p[part]
+            out.wb[k] += p[part].sum(0)
+            np.matmul(p[part], self.w[k].T, out=more[part])
+        back[order] += more
         into = np.zeros((time * lanes, h), np.float32)
         into[on] = back
         into = into.reshape(time, lanes, h)
-        carry, pieces = np.zeros((lanes, h), np.float32), np.zeros((time, lanes, 3 * h), np.float32)
+        # The last third of ``gates`` is the candidate's, before and after the reset gate.
+        carry, gates, pieces = np.zeros((lanes, h), np.float32), np.empty((time, lanes, 3 * h), np.float32), np.empty((time, lanes, 3 * h), np.float32)
         for t in range(time - 1, -1, -1):
-            before, z, r, n, g = kept[t]
-            live = mask[t][:, None]
-            d = np.where(live, carry + into[t], 0)
-            dn = d * (1 - z) * (1 - n * n)
-            dz, dr = d * (before - n) * z * (1 - z), dn * g * r * (1 - r)
-            gate = np.concatenate((dz, dr, dn * r), axis=1)
-            out.u += before.T @ gate
-            carry = np.where(live, d * z + gate @ self.u.T, carry)
+            z, r, n, g = kept[t]
+            before, live = befores[t], mask[t][:, None]
+            d = carry + into[t]
+            if not whole[t]:
+                d = np.where(live, d, 0)
+            keep = d * z
+            dn = (d - keep) * (1 - n * n)
+            piece, gate = pieces[t], gates[t]
+            np.multiply((before - n) * keep, 1 - z, out=piece[:, :h])
+            np.multiply(dn * g * r, 1 - r, out=piece[:, h : 2 * h])
+            piece[:, 2 * h :] = dn
+            gate[:, : 2 * h] = piece[:, : 2 * h]
+            np.multiply(dn, r, out=gate[:, 2 * h :])
+            keep += gate @ self.u.T
+            carry = keep if whole[t] else np.where(live, keep, carry)
             if starts[t]:
                 carry = np.where(fresh[t][:, None], np.float32(0), carry)
-            pieces[t] = np.concatenate((dz, dr, dn), axis=1)
+        out.u += befores.reshape(-1, h).T @ gates.reshape(-1, 3 * h)
         ids = inputs.ravel()[on]
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         if len(ids):
-            out.x[ids[order][first]] = np.add.reduceat(pieces.reshape(-1, 3 * h)[on][order], first, axis=0)
-        out.flat /= max(1, len(on))
-        return out, state, float(loss)
+            out.x[ids[order][first]] += np.add.reduceat(pieces.reshape(-1, 3 * h)[on][order], first, axis=0)
+        return state, float(loss)
 
 
 def train(net: Network, texts: list[np.ndarray], passes: int = PASSES, rate: float = RATE, seed: int = 0) -> int:
@@ -166,16 +193,21 @@ def train(net: Network, texts: list[np.ndarray], passes: int = PASSES, rate: flo
     """
     rng = np.random.default_rng(seed)
     m, v, count, done = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
-    total, held, enough = np.zeros_like(net.flat), 0, WINDOW * LANES // 2
+    total, held, enough, spare = Network(hidden=net.hidden), 0, WINDOW * LANES // 2, np.empty_like(net.flat)
 
     def step(size: float) -> None:
-        nonlocal m, v, done
-        g = total / held
-        g *= min(1.0, 1.0 / (np.linalg.norm(g) + 1e-9))
+        nonlocal done
+        g = total.flat
+        g *= min(1.0 / held, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
         done += 1
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        net.flat -= size * rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-6)
+        np.multiply(m, 0.9, out=m)
+        np.add(m, np.multiply(g, 0.1, out=spare), out=m)
+        np.multiply(v, 0.99, out=v)
+        np.multiply(g, g, out=spare)
+        np.add(v, np.multiply(spare, 0.01, out=spare), out=v)
+        np.sqrt(np.divide(v, 1 - 0.99**done, out=spare), out=spare)
+        np.divide(m, np.add(spare, 1e-6, out=spare), out=spare)
+        net.flat -= np.multiply(spare, size * rate / (1 - 0.9**done), out=spare)
 
     texts = [s for s in texts if len(s) > 1]
     for _ in range(passes if texts else 0):
@@ -198,14 +230,12 @@ def train(net: Network, texts: list[np.ndarray], passes: int = PASSES, rate: flo
             time = np.arange(start, min(start + WINDOW, int(lengths[0])))[:, None]
             mask = time < lengths[:live]
             at = np.where(mask, begin[:live] + time, 0)
-            grad, state, _ = net.gradient(before[at].astype(np.int64), after[at].astype(np.int64), mask, state[:live], first[at] & mask)
+            state, _ = net.add_gradient(total, before[at].astype(np.int64), after[at].astype(np.int64), mask, state[:live], first[at] & mask)
             n = int(mask.sum())
             count, held = count + n, held + n
-            grad.flat *= n
-            total += grad.flat
             if held >= enough:
                 step(1.0)
-                total[:], held = 0, 0
+                total.flat[:], held = 0, 0
     if held:
         step(held / enough if done else 1.0)
     return count
@@ -367,6 +397,7 @@ def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "te
         start = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], k=k, start=start) -> Iterator[pa.RecordBatch]:
+            one_thread()
             own, seen, texts, held = Network(start.value.copy()), 0, [], 0
             for batch in batches:
                 for t in batch.column(0).to_pylist():
@@ -400,6 +431,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, k
     ends = int(vocab.tokens - (vocab.rare_tokens.sum() + vocab.counts[: vocab.named].sum()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one_thread()
         vocab, net = given.value
         logs = np.log10(vocab.counts + 1.0)
         rare_log = np.log10(vocab.rare_tokens + vocab.rare_words + 1.0)
