@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow
+from llm.common import map_arrow, one_thread
 from llm.layouts import restyled
 
 #: Pages about that the labeller learns from, chosen by hash; layouts made from them, in turn.
@@ -30,22 +31,60 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _UNSEEN = frozenset(("head", "title"))
+_MAIN = ("<article", "<main")
+_OTHER = ("<nav", "<aside", "<footer", "<header", "<form", "<button", "<select", "<textarea", ".ad", ".ads", ".comments", ".comment", ".sidebar", ".cookie", ".menu")
+
+
+class Place:
+    """An open tag with those around it: a block's path is its place's marks and all above.
+
+    Blocks share places, so that a page's paths take no more room than its tags.
+    """
+
+    __slots__ = ("above", "name", "marks", "depth", "count", "last", "block", "unseen", "linked", "main", "other")
+
+    def __init__(self, above: Place | None, name: str, marks: list[str]):
+        self.above, self.name, self.marks = above, name, marks
+        self.depth, self.count = (above.depth + 1, above.count + len(marks)) if above else (0, len(marks))
+        self.last = [*above.last, *marks][-8:] if above else marks[-8:]
+        #: The nearest place, itself included, that is no tag of running text.
+        self.block = above.block if above and name in _INLINE else self
+        self.unseen = name in _UNSEEN or bool(above and above.unseen)
+        self.linked = name == "a" or bool(above and above.linked)
+        self.main = bool(above and above.main) or any(m in _MAIN for m in marks)
+        self.other = bool(above and above.other) or any(m in _OTHER for m in marks)
+
+    @property
+    def path(self) -> list[str]:
+        chain, at = [], self
+        while at:
+            chain.append(at.marks)
+            at = at.above
+        return [m for marks in reversed(chain) for m in marks]
 
 
 @dataclass
 class Block:
-    """A run of text between block tags, its tag path, and how much of it is in links."""
+    """A run of text between block tags, the place it stands at (or its path's marks), and how much of it is in links."""
 
     text: str
-    path: list[str]
+    place: Place | list[str]
     linked: int = 0
 
+    def __post_init__(self):
+        if isinstance(self.place, list):
+            self.place = Place(None, "", self.place)
+
+    @property
+    def path(self) -> list[str]:
+        return self.place.path
+
 
 def _marks(tag: str, rest: str) -> list[str]:
-    """A tag's name and the parts of its class, id, role and similar names."""
+    """A tag's name and the parts of its class, id, role and similar names, the whole of each."""
     out = [f"<{tag}"]
     for _, value in _NAMED.findall(rest):
-        for part in _PARTS.findall(value[:120]):
+        for part in _PARTS.findall(value):
             low = part.lower()
             out += [f".{low}", *(f"~{low[:k]}" for k in (3, 4) if len(low) > k)]
     return out
@@ -56,25 +95,34 @@ def blocks(page: str | None) -> list[Block]:
 
     Comments, scripts, styles and the head carry no text. Tags left open end with their
     parent, a paragraph with the next block; what the page's end cuts off is closed there.
+    Time and room grow with the page's length, however many tags are left open.
     """
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    root = at = Place(None, "", [])
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = 0
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(pieces)).split())
-        if text and not any(t in _UNSEEN for t, _ in stack):
-            out.append(Block(text, [m for _, marks in stack for m in marks], linked))
+        if text and not at.unseen:
+            out.append(Block(text, at, linked))
         pieces.clear()
         linked = 0
 
+    def leave(last: Place):
+        """End open tags up to and with ``last``."""
+        nonlocal at
+        while at is not last.above:
+            opened[at.name] -= 1
+            at = at.above
+
     for m in _PIECE.finditer(page or ""):
         piece = m[0]
         if piece[0] != "<" or len(piece) == 1:
             pieces.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if at.linked:
                 linked += len(piece)
             continue
         tag = _TAG.match(piece)
@@ -86,20 +134,17 @@ def blocks(page: str | None) -> list[Block]:
         elif name in ("br", "img", "wbr"):
             pieces.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                last = at
+                while last.name != name:
+                    last = last.above
+                leave(last)
         else:
-            if name not in _INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(name, ()):
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
+            if name not in _INLINE and at.block is not root and (at.block.name == "p" or at.block.name in _CLOSES.get(name, ())):
+                leave(at.block)
             if name not in _VOID and not rest.endswith("/>"):
-                stack.append((name, _marks(name, rest)))
+                at = Place(at, name, _marks(name, rest))
+                opened[name] += 1
     flush()
     return out
 
@@ -118,7 +163,7 @@ def numbers(found: list[Block]) -> np.ndarray:
         n, t = len(b.text), b.text
         ends = t[-1] in ".!?…\"”"
         out[k] = [np.log1p(n) / 6, min(1.0, b.linked / n), (t.count(",") + t.count(".")) / n * 20, float(ends), float(t.count(" ") < 4), float("©" in t or "®" in t),
-                  sum(map(str.isdigit, t[:200])) / min(n, 200), k / max(1, len(found) - 1), 1 / (1 + k), 1 / (len(found) - k), len(b.path) / 20, float("|" in t or "»" in t or "›" in t)]
+                  sum(map(t.count, "0123456789")) / n, k / max(1, len(found) - 1), 1 / (1 + k), 1 / (len(found) - k), min(b.place.count / 20, 50), float("|" in t or "»" in t or "›" in t)]
     return out
 
 
@@ -128,6 +173,66 @@ def _bags(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum())), np.repeat(np.arange(len(lists)), lengths), (1 / np.repeat(np.maximum(lengths, 1), lengths)).astype(np.float32)
 
 
+@dataclass
+class Paths:
+    """The places of blocks as a forest: slots of each place's own marks, its parent, and its depth."""
+
+    slots: np.ndarray
+    owner: np.ndarray
+    parent: np.ndarray
+    depth: np.ndarray
+    #: The place of each block, and one over the marks of its path.
+    place: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, found: list[Block]) -> Paths:
+        number: dict[int, int] = {}
+        order: list[Place] = []
+        for b in found:
+            chain, at = [], b.place
+            while at and id(at) not in number:
+                number[id(at)] = -1
+                chain.append(at)
+                at = at.above
+            for at in reversed(chain):
+                number[id(at)] = len(order)
+                order.append(at)
+        lengths = np.array([len(p.marks) for p in order], np.int64)
+        slots = np.fromiter((_slot(m, PATH_SLOTS) for p in order for m in p.marks), np.int64, int(lengths.sum()))
+        return cls(slots, np.repeat(np.arange(len(order)), lengths), np.array([number[id(p.above)] if p.above else -1 for p in order], np.int64),
+                   np.array([p.depth for p in order], np.int64), np.array([number[id(b.place)] for b in found], np.int64),
+                   np.array([1 / max(1, b.place.count) for b in found], np.float32))
+
+    @classmethod
+    def joined(cls, parts: list[Paths]) -> Paths:
+        shift = np.cumsum([0, *(len(p.parent) for p in parts)])
+        whole = lambda name, moved: np.concatenate([getattr(p, name) + (s if moved else 0) for p, s in zip(parts, shift)])
+        parent = np.concatenate([np.where(p.parent < 0, -1, p.parent + s) for p, s in zip(parts, shift)])
+        return cls(whole("slots", False), whole("owner", True), parent, whole("depth", False), whole("place", True), whole("weight", False))
+
+    def levels(self) -> list[np.ndarray]:
+        """Places of each depth from 1 on."""
+        order = np.argsort(self.depth, kind="stable")
+        return np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """The mean of each block's path marks: sums run down from a place to those within it."""
+        sums = np.zeros((len(self.parent), table.shape[1]), np.float32)
+        np.add.at(sums, self.owner, table[self.slots])
+        for level in self.levels():
+            sums[level] += sums[self.parent[level]]
+        return sums[self.place] * self.weight[:, None]
+
+    def add_gradient(self, grad: np.ndarray, into: np.ndarray) -> None:
+        """Add to a table's gradient what the blocks' means got: sums run up."""
+        sums = np.zeros((len(self.parent), into.shape[1]), np.float32)
+        np.add.at(sums, self.place, into * self.weight[:, None])
+        for level in reversed(self.levels()):
+            np.add.at(sums, self.parent[level], sums[level])
+        np.add.at(grad, self.slots, sums[self.owner])
+
+
 class Labeller:
     """Embeddings of hashed path marks and words, one LSTM in each direction, one logit per block."""
 
@@ -142,15 +247,15 @@ class Labeller:
         self.p |= {"o": make(2 * h), "ob": np.zeros(1, np.float32), "skip": make(d)}
 
     def inputs(self, found: list[Block]):
-        paths = _bags([[_slot(m, PATH_SLOTS) for m in b.path] for b in found])
-        lasts = _bags([[_slot(m, PATH_SLOTS) for m in b.path[-8:]] for b in found])
+        paths = Paths.of(found)
+        lasts = _bags([[_slot(m, PATH_SLOTS) for m in b.place.last] for b in found])
         words = _bags([[_slot(w, WORD_SLOTS) for w in b.text.lower().split()] for b in found])
         return paths, lasts, words, numbers(found)
 
     def embed(self, bags) -> np.ndarray:
         paths, lasts, words, plain = bags
-        out = [self._pool(name, bag, len(plain)) for name, bag in (("path", paths), ("last", lasts), ("word", words))]
-        return np.concatenate((*out, plain), axis=1)
+        out = [self._pool(name, bag, len(plain)) for name, bag in (("last", lasts), ("word", words))]
+        return np.concatenate((paths.means(self.p["path"]), *out, plain), axis=1)
 
     def _pool(self, name: str, bag, n: int) -> np.ndarray:
         slots, row, weight = bag
@@ -213,8 +318,9 @@ class Labeller:
                 grad[f"x{side}"] += x[own].T @ g[on[t]]
                 grad[f"c{side}"] += g[on[t]].sum(0)
                 dx[own] += g[on[t]] @ self.p[f"x{side}"].T
-        at = 0
-        for name, bag in zip(("path", "last", "word"), bags[:3]):
+        at = self.p["path"].shape[1]
+        bags[0].add_gradient(grad["path"], dx[:, :at])
+        for name, bag in zip(("last", "word"), bags[1:3]):
             slots, row, weight = bag
             width = self.p[name].shape[1]
             order = np.argsort(slots, kind="stable")
@@ -258,9 +364,9 @@ def train(examples: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, s
         for start in range(0, len(order), LANES):
             some = [int(i) for i in order[start : start + LANES]]
             cuts = np.cumsum([0, *(len(examples[i][0]) for i in some)])
-            joined = tuple(
+            joined = (Paths.joined([bags[i][0] for i in some]), *(
                 (np.concatenate([bags[i][b][0] for i in some]), np.concatenate([bags[i][b][1] + c for i, c in zip(some, cuts)]), np.concatenate([bags[i][b][2] for i in some]))
-                for b in range(3))
+                for b in (1, 2)))
             plain = np.concatenate([bags[i][3] for i in some])
             labels = np.concatenate([np.array(examples[i][1], np.float32) for i in some])
             grad, _ = net.gradient((*joined, plain), _places(cuts), labels)
@@ -275,15 +381,11 @@ def train(examples: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, s
     return net
 
 
-_MAIN = ("<article", "<main")
-_OTHER = ("<nav", "<aside", "<footer", "<header", "<form", "<button", "<select", "<textarea", ".ad", ".ads", ".comments", ".comment", ".sidebar", ".cookie", ".menu")
-
-
 def taught(found: list[Block]) -> list[int] | None:
     """Labels of a page by tags that say what they hold; None where no tag says where its article is."""
-    if not any(m in _MAIN for b in found for m in b.path):
+    if not any(b.place.main for b in found):
         return None
-    return [int(any(m in _MAIN for m in b.path) and not any(m in _OTHER for m in b.path)) for b in found]
+    return [int(b.place.main and not b.place.other) for b in found]
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = FIT_PAGES, layouts: int = LAYOUTS, seed: int = 9) -> Labeller:
@@ -331,6 +433,7 @@ def extract(pages: DataFrame, net: Labeller, key: str = "page_id", html: str = "
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one_thread()
         texts = main_text(net, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, "text", "n_chars"])
 

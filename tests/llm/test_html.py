@@ -70,3 +70,40 @@ def test_no_page_to_learn_from(spark):
     empty = spark.createDataFrame([], "page_id long, html string")
     net = h.fit(empty, layouts=600)
     assert h.main_text(net, [f"<nav>Home</nav><article><p>{LINE}</p></article>"]) == [LINE]
+
+
+def test_open_tags_take_linear_room_and_time():
+    import time
+    import tracemalloc
+
+    net = h.Labeller()
+    for page in ('<div class="wrap main content">x' * 50_000, "<b>x<div>y</div>" * 50_000, "<div>x" * 25_000 + "</span></li></div>" * 25_000):
+        tracemalloc.start()
+        start = time.process_time()
+        text = h.main_text(net, [page])[0]
+        taken, most = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 500e6 and taken < 120 and set(text) <= set("xy\n")
+
+
+def test_whole_attribute_values_and_blocks_are_read():
+    late = " ".join(f"u-{chr(97 + k % 26)}{k}" for k in range(300)) + " sidebar"
+    assert ".sidebar" in h.blocks(f'<div class="{late}">x</div>')[0].path
+    plain = h.numbers(h.blocks("<p>" + "word " * 100 + "12345</p>"))[0][6]
+    assert plain == pytest.approx(5 / 505)
+
+
+def test_means_over_places_are_means_over_paths():
+    page = '<div class="a b"><p>one<p>two <b class="c">three</b></div><ul id="menu"><li>x<li>y</ul>tail'
+    found, table = h.blocks(page), np.random.default_rng(1).normal(size=(h.PATH_SLOTS, 3)).astype(np.float32)
+    paths = h.Paths.joined([h.Paths.of(found), h.Paths.of(found[:2])])
+    slots = lambda b: [h._slot(m, h.PATH_SLOTS) for m in b.path]
+    want = np.array([table[slots(b)].mean(0) if b.path else np.zeros(3) for b in [*found, *found[:2]]])
+    assert np.allclose(paths.means(table), want, atol=1e-6)
+    into, grad = np.random.default_rng(2).normal(size=want.shape).astype(np.float32), np.zeros_like(table)
+    paths.add_gradient(grad, into)
+    plain = np.zeros_like(table)
+    for b, g in zip([*found, *found[:2]], into):
+        for k in slots(b):
+            plain[k] += g / len(b.path)
+    assert np.allclose(grad, plain, atol=1e-6)
