@@ -22,8 +22,8 @@ LEAF = 256
 #: are spread evenly in 64 dimensions have no near neighbours, so it takes much to find the
 #: nearest; data with real neighbourhoods need far less.
 SHARE = 0.12
-#: ... and this many entries at least, so that small tables are searched whole.
-VISIT = 16_000
+#: ... and a few leaves at least.
+VISIT = 1_024
 #: Sampled vectors that give each query a floor: its k nearest can't be below.
 FLOOR = 1_000
 #: Vectors of a leaf that one task compares at a time; larger leaves are split.
