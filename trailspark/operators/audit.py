@@ -209,41 +209,79 @@ def score_findings(statuses: DataFrame) -> DataFrame:
     return statuses.select(K, C, "weight", F.explode(kinds).alias("finding"))
 
 
-def score_whole_catalog(
-    contracts: DataFrame, control: DataFrame, met: DataFrame, poam: DataFrame
-) -> DataFrame:
-    """Scores of contracts that require nothing, over the whole catalog.
+def pair_facts(required: DataFrame, met: DataFrame, poam: DataFrame) -> DataFrame:
+    """One row per (contract, control) that is required, signed or planned, with all that scores and checks count.
+
+    One aggregate over the rows of the three tables: required, signed, met (not where
+    contradicted), contradicted, on_poam, and how many sign-offs are met by machine, by
+    humans only, and contradicted.
+    """
+    flags, counts = ("required", "signed", "_met", "contradicted", "on_poam"), ("machine", "human", "contradictions")
+
+    def tagged(rows: DataFrame, **values: Column) -> DataFrame:
+        return rows.select(K, C, *[values.get(f, F.lit(False)).alias(f) for f in flags],
+                           *[values.get(n, F.lit(0)).cast("bigint").alias(n) for n in counts])
+
+    proven = F.coalesce(F.col("oracle_outcome") == "passed", F.lit(False))
+    yes = F.lit(True)
+    rows = reduce(DataFrame.unionByName, (
+        tagged(required, required=yes), tagged(poam, on_poam=yes),
+        tagged(met, signed=yes, _met=F.col("met"), contradicted=F.col("contradicted"), machine=(F.col("met") & proven).cast("int"),
+               human=(F.col("met") & ~proven).cast("int"), contradictions=F.col("contradicted").cast("int"))))
+    pairs = rows.groupBy(K, C).agg(*[F.bool_or(f).alias(f) for f in flags], *[F.sum(n).alias(n) for n in counts])
+    return pairs.withColumn("met", F.col("_met") & ~F.col("contradicted")).drop("_met")
+
+
+def _weighed(pairs: DataFrame, control: DataFrame) -> DataFrame:
+    """Pairs with the weight of their control, null where it is not scorable, and whether they may be deferred."""
+    return pairs.join(control.select(C, "weight", F.coalesce("poam_eligible", F.lit(False)).alias("poam_eligible")), C, "left")
+
+
+def _score_totals() -> list[Column]:
+    """Aggregates per contract over weighed pairs: ``s_`` of required controls, ``w_`` of all that are touched."""
+    scorable, unmet = F.col("weight").isNotNull(), ~F.col("met")
+    asked, weight = F.col("required") & scorable, F.col("weight")
+    return [
+        F.bool_or("required").alias("scoped"), _count(asked).alias("s_controls"),
+        F.sum(F.when(asked & unmet, weight).otherwise(0)).alias("s_deducted"), _count(asked & unmet).alias("s_unmet"),
+        _count(asked & _is_illegal()).alias("s_illegal"), _count(asked & F.col("contradicted")).alias("s_contra"),
+        F.sum(F.when(scorable & F.col("met"), weight).otherwise(0)).alias("w_weight"), _count(scorable & F.col("met")).alias("w_met"),
+        _count(scorable & _is_illegal()).alias("w_illegal"), _count(scorable & F.col("contradicted")).alias("w_contra"),
+    ]
+
+
+def _scores(order_hdr: DataFrame, control: DataFrame, totals: DataFrame) -> DataFrame:
+    """Scores from the totals per contract.
 
-    The catalog's totals minus what each contract has met: no contract-by-catalog
-    product is ever formed.
+    A contract that requires nothing is scored over the whole catalog: its totals minus
+    what the contract has met, so that no contract-by-catalog product is ever formed.
     """
     scorable = control.filter(F.col("weight").isNotNull())
     weights = scorable.select(F.sum("weight")).scalar()
     size = scorable.select(F.count(F.lit(1))).scalar()
-    touched = met.select(K, C).unionByName(poam.select(K, C)).join(
-        contracts.select(K), K, "left_semi"
-    ).distinct()
-    seen = control_statuses(touched, control, met, poam).groupBy(K).agg(
-        F.sum(F.when(F.col("met"), F.col("weight"))).alias("_weight"),
-        _count(F.col("met")).alias("_met"),
-        _count(_is_illegal()).alias("_illegal"), _count(F.col("contradicted")).alias("_contra"),
-    )
-    zero = F.lit(0)
-    totals = contracts.select(K).join(seen, K, "left").select(
-        K, (weights - F.coalesce("_weight", zero)).alias("deducted"), size.alias("controls"),
-        (size - F.coalesce("_met", zero)).alias("unmet"),
-        F.coalesce("_illegal", zero).alias("illegal_poam"), F.coalesce("_contra", zero).alias("contradictions"),
-    )
-    return _verdict(totals.filter(F.col("controls") > 0))
+    known = order_hdr.select(K).withColumn("_known", F.lit(True))
+    rows = known.join(totals, K, "full").withColumn("scoped", F.coalesce("scoped", F.lit(False)))
+    pick = lambda scoped, whole: F.when(F.col("scoped"), F.col(scoped)).otherwise(whole)
+    part = lambda name: F.coalesce(name, F.lit(0))
+    counted = rows.filter(F.col("scoped") | F.col("_known")).select(
+        K, pick("s_deducted", weights - part("w_weight")).alias("deducted"), pick("s_controls", size).alias("controls"),
+        pick("s_unmet", size - part("w_met")).alias("unmet"), pick("s_illegal", part("w_illegal")).alias("illegal_poam"),
+        pick("s_contra", part("w_contra")).alias("contradictions"))
+    return _verdict(counted.filter(F.col("controls") > 0))
+
+
+def score_whole_catalog(contracts: DataFrame, control: DataFrame, met: DataFrame, poam: DataFrame) -> DataFrame:
+    """Scores of contracts over the whole catalog, whatever they require."""
+    pairs = pair_facts(met.select(K, C).limit(0), met, poam)
+    return _scores(contracts, control, _weighed(pairs, control).groupBy(K).agg(*_score_totals()))
 
 
 def compute_score(
     order_hdr: DataFrame, required: DataFrame, control: DataFrame, met: DataFrame, poam: DataFrame
 ) -> DataFrame:
     """Score per contract: over its required controls, or the whole catalog without any."""
-    scoped = score_statuses(control_statuses(required, control, met, poam))
-    unscoped = order_hdr.select(K).join(required.select(K).distinct(), K, "left_anti")
-    return scoped.unionByName(score_whole_catalog(unscoped, control, met, poam))
+    pairs = _weighed(pair_facts(required, met, poam), control)
+    return _scores(order_hdr, control, pairs.groupBy(K).agg(*_score_totals()))
 
 
 # -- report ------------------------------------------------------------------------
@@ -254,21 +292,21 @@ def audit_report(
     attestation: DataFrame, attestation_evidence: DataFrame, addresses: DataFrame, poam: DataFrame,
 ) -> DataFrame:
     """One row per contract: both directions, contradictions, MET split and score."""
-    met = met_attestations(attestation)
-    directions = bidirectional(required, claim, attestation, attestation_evidence, addresses)
-    proven = F.coalesce(F.col("oracle_outcome") == "passed", F.lit(False))
-    split = met.groupBy(K).agg(
-        _count(F.col("met") & proven).alias("met_by_machine"),
-        _count(F.col("met") & ~proven).alias("met_by_human_only"),
-        _count(F.col("contradicted")).alias("contradiction_count"),
-    )
-    scores = compute_score(order_hdr, required, control, met, poam).select(
-        K, "score", "status", "valid_submission", "unmet", "illegal_poam"
-    )
-    rows = (
-        order_hdr.select(K).join(directions.withColumnRenamed("passed", "bidirectional_passed"), K, "left")
-        .join(split, K, "left").join(scores, K, "left")
-    )
+    claimed = claim.select(C).distinct().withColumn("_claimed", F.lit(True))
+    pairs = _weighed(pair_facts(required, met_attestations(attestation), poam), control).join(claimed, C, "left")
+    failed = F.col("required") & (F.col("_claimed").isNull() | ~F.col("signed"))
+    totals = pairs.groupBy(K).agg(
+        *_score_totals(), _count(F.col("required")).alias("forward_checked"), _count(failed).alias("forward_failures"),
+        F.sum("machine").alias("met_by_machine"), F.sum("human").alias("met_by_human_only"), F.sum("contradictions").alias("contradiction_count"))
+    one, none = F.lit(1).alias("_n"), F.lit(0).alias("_n")
+    cited = attestation_evidence.select(K, "att_id").distinct().select(K, one, none.alias("_bad")).unionByName(
+        backward_trace(attestation, attestation_evidence, addresses).select(K, none, F.lit(1).alias("_bad")))
+    backward = cited.groupBy(K).agg(F.sum("_n").alias("backward_checked"), F.sum("_bad").alias("backward_failures"))
+    scores = _scores(order_hdr, control, totals).select(K, "score", "status", "valid_submission", "unmet", "illegal_poam")
+    own = totals.select(K, "forward_checked", "forward_failures", "met_by_machine", "met_by_human_only", "contradiction_count")
+    rows = order_hdr.select(K).join(own, K, "left").join(backward, K, "left").join(scores, K, "left").withColumns({
+        "forward_passed": F.col("forward_failures") == 0, "backward_passed": F.col("backward_failures") == 0})
+    rows = rows.withColumn("bidirectional_passed", F.coalesce("forward_passed", F.lit(True)) & F.coalesce("backward_passed", F.lit(True)))
     numbers = ("forward_checked", "forward_failures", "backward_checked", "backward_failures",
                "met_by_machine", "met_by_human_only", "contradiction_count")
     yes = lambda name: F.coalesce(name, F.lit(True)).alias(name)

@@ -12,6 +12,7 @@ from trailspark.plans.catalog import _CHAIN
 from trailspark.plans.evaluation import _outcomes
 from trailspark.plans.registry import cut, query, shared
 from trailspark.plans.views import _LABEL
+from trailspark.session import durable_buckets
 
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
@@ -124,6 +125,14 @@ def _(p):
     return _report(p)
 
 
+@query("T13_stored_report", "SELECT * FROM report")
+def _(p):
+    """The report over property tables that are stored in buckets of (contract, control)."""
+    for name in ("order_control", "attestation", "addresses", "poam"):
+        p.__dict__[name] = durable_buckets(getattr(p, name), "contract_id", "control_id")
+    return _report(p)
+
+
 @query("T14_audit_summary_facts", """SELECT contract_id, fact, value FROM (SELECT contract_id,
   CAST(forward_passed AS VARCHAR) AS forward_passed, CAST(backward_passed AS VARCHAR) AS backward_passed,
   CAST(bidirectional_passed AS VARCHAR) AS bidirectional_passed, CAST(contradiction_count AS VARCHAR) AS contradiction_count,

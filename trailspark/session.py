@@ -77,6 +77,26 @@ def durable(frame: DataFrame) -> DataFrame:
     return found
 
 
+def durable_buckets(frame: DataFrame, *by: str, buckets: int | None = None) -> DataFrame:
+    """The same, stored in buckets of the columns ``by`` and sorted by them in each.
+
+    Joins and aggregates on these columns of tables with equal buckets need no exchange.
+    Choose columns of which no value holds a large share of the rows: a bucket is read by
+    one task. As many buckets as shuffle partitions where none are given.
+    """
+    spark = frame.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    if not _written:
+        atexit.register(release)
+    _written[path] = spark.sparkContext._jsc.hadoopConfiguration()
+    frame.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    found._cut = path
+    return found
+
+
 def discard(frame: DataFrame) -> None:
     """Remove the table behind a frame that ``durable`` returned; nothing may read it any more."""
     _remove(frame._cut, frame.sparkSession._jvm)
