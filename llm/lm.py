@@ -422,8 +422,8 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, k
     ``score`` the network's: a leading word's symbol, or a rare symbol and then the word
     by its count among the words of that form (one more for a word never seen). Counts of
     words beyond the shared ones come by a join, one row for each such word of a document.
-    Null texts are empty. Rows without a key are left out; rows that repeat a key and text
-    are one. Where nothing was learned the scores are equal. Other columns are ignored.
+    Null texts are empty. Rows without a key are left out; repeated rows come out repeated.
+    Where nothing was learned the scores are equal. Other columns are ignored.
     """
     spark = docs.sparkSession
     given = spark.sparkContext.broadcast((vocab, net))
@@ -454,20 +454,19 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, k
         model = document_scores(net, sequences) / np.log(10) + np.array(model) if vocab.tokens else np.array(base) - n * log_n
         rest = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
         rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
                                            pa.array(np.array(base) - n * log_n), pa.array(model), rest],
-                                          [key, "row", "n_tokens", "known", "base", "model", "rest"])
+                                          [key, "n_tokens", "known", "base", "model", "rest"])
 
-    source = docs.where(F.col(key).isNotNull()).select(key, raw(text).alias("#t"), F.xxhash64(text).alias("#row"))
+    source = docs.where(F.col(key).isNotNull()).select(key, raw(text).alias("#t"))
     kind = docs.schema[key].dataType.simpleString()
-    scored = map_arrow(source, run, f"`{key}` {kind}, row long, n_tokens long, known long, base double, model double, rest array<struct<word:binary,k:long>>", rows=2048)
-    scored = durable(scored)
-    each = scored.select(key, "row", F.explode("rest").alias("w")).select(key, "row", "w.word", "w.k")
-    met = each.join(counts, "word", "left").groupBy(key, "row").agg(
+    scored = map_arrow(source, run, f"`{key}` {kind}, n_tokens long, known long, base double, model double, rest array<struct<word:binary,k:long>>", rows=2048)
+    # The number is written with the row: it tells repeated rows apart and stays the same for every reader.
+    scored = durable(scored.withColumn("#row", F.monotonically_increasing_id()))
+    each = scored.select("#row", F.explode("rest").alias("w")).select("#row", "w.word", "w.k")
+    met = each.join(counts, "word", "left").groupBy("#row").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("met"))
-    one = scored.drop("rest").groupBy(key, "row", "n_tokens").agg(
-        *(F.max(c).alias(c) for c in ("known", "base", "model")))
     more = F.coalesce("more", F.lit(0.0))
-    return one.join(met, [key, "row"], "left").select(
+    return scored.drop("rest").join(met, "#row", "left").select(
         key, "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))

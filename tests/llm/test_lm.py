@@ -119,3 +119,15 @@ def test_better_than_unigrams_on_held_out_documents(spark):
 
     got = QUERIES["op5_lm"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_repeated_rows_stay_repeated(spark):
+    rows = [(k, f"a b c word{k % 3} tail") for k in range(20)] + [(3, "a b c word0 tail")] * 2 + [(50, "A b unseen"), (50, "A b unseen"), (51, None), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm.word_counts(docs.where("doc_id < 20"))
+    vocab, net = lm.fit(docs.where("doc_id < 20"), counts, rounds=1)
+    got = [tuple(r) for r in lm.score(docs, counts, vocab, net).collect()]
+    assert sorted(r[0] for r in got) == sorted(k for k, _ in rows)
+    for key in (3, 50, 51):
+        same = [r for r in got if r[0] == key]
+        assert len(same) >= 2 and all(np.allclose(r[1:], same[0][1:]) for r in same if r[1:4] == same[0][1:4])
