@@ -191,3 +191,33 @@ def test_property_tables(frame):
 def test_durable_writes_to_the_checkpoint_folder(spark):
     kept = durable(spark.range(5).withColumn("x", F.col("id") * 2))
     assert kept.count() == 5 and "Scan parquet" in kept._jdf.queryExecution().toString()
+
+
+def test_raw_files_are_written_once_and_all_or_none(spark, frame, tmp_path):
+    import hashlib
+
+    import pytest
+
+    from pyspark.sql import functions as F
+
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    bodies = [f"blob {i}".encode() for i in range(40)] + [b""]
+    blobs = frame("hash string, kind string, content binary", *[(digest(b), "k", bytearray(b)) for b in bodies]).repartition(4)
+    root = tmp_path / "files"
+    held = lambda: {p.relative_to(root).as_posix(): p.read_bytes() for p in root.rglob("*") if p.is_file()} if root.exists() else {}
+    want = {f"{digest(b)[:2]}/{digest(b)}": b for b in bodies}
+    files.export_blobs(blobs, str(root))
+    assert held() == want
+    files.export_blobs(blobs.unionByName(blobs), f"file://{root}")  # again, and twice: nothing changes
+    assert held() == want and not (root / "_staging").exists()
+    more = frame("hash string, kind string, content binary", ("ab" * 32, "k", bytearray(b"new")))
+    # A task that fails, other bytes under a taken name, two contents for a name: nothing is left.
+    broken = more.unionByName(more.select("hash", "kind", F.when(F.raise_error(F.lit("lost")).isNull(), F.col("content")).alias("content")))
+    taken = more.unionByName(blobs.limit(1).withColumn("content", F.encode(F.lit("other"), "UTF-8")))
+    twice = more.unionByName(more.withColumn("content", F.encode(F.lit("else"), "UTF-8")))
+    for bad in (broken, taken, twice):
+        with pytest.raises(Exception):
+            files.export_blobs(bad, str(root))
+        assert held() == want
+    files.export_blobs(more, str(root))
+    assert held() == want | {f"ab/{'ab' * 32}": b"new"}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trailspark import schemas
 from trailspark.functions import text as tx
+from trailspark.sources.sinks import write_raw_files
 
 _FILE_NAME = r"([^/]+)$"
 
@@ -265,5 +266,11 @@ def write_blobs(blobs: DataFrame, path: str) -> None:
     blobs.withColumn("prefix", F.substring("hash", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
 
 
+def export_blobs(blobs: DataFrame, path: str) -> None:
+    """Every blob as a file of its own, ``<first two digits>/<hash>``, written once and all or none."""
+    name = F.concat_ws("/", F.substring("hash", 1, 2), "hash")
+    write_raw_files(blobs.select(name.alias("name"), "content"), path)
+
+
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("hash", "kind", "content")
