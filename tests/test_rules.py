@@ -10,6 +10,7 @@ from trailspark.operators import attest as at
 from trailspark.operators import gates as gt
 from trailspark.operators import obligations as ob
 from trailspark.operators import oracles as orc
+from trailspark.operators import validate as va
 
 EV = "contract_id string, evidence_id string, summary string, seq int"
 ADDR = "contract_id string, evidence_id string, control_id string"
@@ -248,3 +249,24 @@ def test_values_compare_as_numbers_or_text(frame, metric, comparator, threshold,
     rule = frame("control_id string, metric_key string, comparator string, threshold string", ("c", "m", comparator, threshold))
     got = orc.evaluate_criteria(evidence, frame("contract_id string, evidence_id string, control_id string", ("K", "e", "c")), rule).first()
     assert (got["outcome"], got["reason"]) == (outcome, reason)
+
+
+def test_fused_shapes_are_the_single_ones(frame):
+    att = frame("contract_id long, att_id string, control_id string, outcome string, oracle_outcome string, backed_by string, override_justification string, override_evidence string, adequacy string",
+                (1, "x", "a", "passed", "failed", None, None, None, "ok"), (1, "y", "b", "passed", None, "s", "why", None, ""),
+                (1, "z", "c", "failed", "failed", None, "why", "proof", None), (2, "w", "a", None, None, None, None, None, "ok"))
+    assertion = frame("contract_id long, assertion string, outcome string", (1, "s", "failed"), (2, "s", "passed"))
+    columns = ("contract_id", "shape", "focus", "path", "message")
+    single = va.validate(va.contradiction_shape(att, assertion), va.override_evidence_shape(att), va.passed_requires_adequacy_shape(att))
+    assert rows(va.sign_off_shapes(att, assertion), *columns) == rows(single, *columns) and single.count() > 3
+    acts = frame("run_id long, activity string, step string, started_at string, agent string",
+                 (1, "p", "s1", "t", "me"), (1, "p", "s2", "t", None), (1, "q", "no", None, None), (2, "p", "s1", "t", None))
+    steps = frame("step string", ("s1",), ("s2",))
+    single = va.validate(va.plan_instantiation_shape(acts, steps), va.activity_agent_shape(acts))
+    assert rows(va.activity_shapes(acts, steps), *columns) == rows(single, *columns) and single.count() > 3
+    cites = frame("contract_id long, att_id string, evidence_id string", (1, "x", "e1"), (1, "y", "e1"), (1, "y", "e2"), (2, "w", "e1"))
+    held = frame("contract_id long, evidence_id string, control_id string", (1, "e1", "a"), (1, "e2", "b"), (2, "e1", "a"))
+    asked = frame("contract_id long, control_id string", (1, "a"), (1, "c"), (2, "a"), (2, "?"))
+    control = frame("control_id string", ("a",), ("b",), ("c",))
+    single = va.validate(va.forward_traceability_shape(asked, control, att, cites, held), va.backward_traceability_shape(att, cites, held))
+    assert rows(va.traceability_shapes(asked, control, att, cites, held), *columns) == rows(single, *columns) and single.count() == 3

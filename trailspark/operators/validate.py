@@ -23,16 +23,23 @@ def _violations(rows: DataFrame, shape: str, focus: str, path: str, message: str
     )
 
 
-def _checks(rows: DataFrame, shape: str, focus: str, checks: list[tuple[Column, str, str]]) -> DataFrame:
+Check = tuple[Column, str, str]
+
+
+def _checks(rows: DataFrame, shape: str, focus: str, checks: list[Check]) -> DataFrame:
     """Several checks of one shape in one pass over its rows."""
+    return _suite(rows, (shape, focus, checks))
+
+
+def _suite(rows: DataFrame, *shapes: tuple[str, str, list[Check]]) -> DataFrame:
+    """Several shapes (name, focus, checks) in one pass over their rows: all violations of a row as one array."""
     contract = F.col(K).cast("string") if K in rows.columns else F.lit(None).cast("string")
     marks = F.array_compact(F.array(*[
-        F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(text).alias("message")))
-        for broken, path, text in checks
+        F.when(F.coalesce(broken, F.lit(False)), F.struct(
+            F.lit(shape).alias("shape"), F.col(focus).cast("string").alias("focus"), F.lit(path).alias("path"), F.lit(text).alias("message")))
+        for shape, focus, checks in shapes for broken, path, text in checks
     ]))
-    return rows.select(contract.alias(K), F.col(focus).cast("string").alias("focus"), F.explode(marks).alias("m")).select(
-        K, F.lit(shape).alias("shape"), "focus", "m.path", "m.message"
-    )
+    return rows.select(contract.alias(K), F.explode(marks).alias("m")).select(K, "m.shape", "m.focus", "m.path", "m.message")
 
 
 def _blank(name: str) -> Column:
@@ -63,32 +70,53 @@ def poam_legality_shape(poam: DataFrame, control: DataFrame) -> DataFrame:
     )
 
 
-def contradiction_shape(attestation: DataFrame, assertion: DataFrame | None = None) -> DataFrame:
-    """MET over a failed check, stated on the sign-off or on the assertion behind it."""
-    stated = F.coalesce(F.col("oracle_outcome") == "failed", F.lit(False))
-    rows = attestation
-    asserted = F.lit(False)
-    if assertion is not None:
-        failed = (
-            assertion.filter("outcome = 'failed'")
-            .select(K, F.col("assertion").alias("backed_by"), F.lit(True).alias("_f")).distinct()
-        )
-        rows = rows.join(failed, [K, "backed_by"], "left")
-        asserted = F.coalesce("_f", F.lit(False))
+def _with_failed_assertion(attestation: DataFrame, assertion: DataFrame | None) -> DataFrame:
+    """Sign-offs with ``_f``: whether the assertion behind one failed."""
+    if assertion is None:
+        return attestation.withColumn("_f", F.lit(False))
+    failed = (
+        assertion.filter("outcome = 'failed'")
+        .select(K, F.col("assertion").alias("backed_by"), F.lit(True).alias("_f")).distinct()
+    )
+    return attestation.join(failed, [K, "backed_by"], "left")
+
+
+def _contradiction() -> tuple[str, str, list[Check]]:
+    failed = F.coalesce(F.col("oracle_outcome") == "failed", F.lit(False)) | F.coalesce("_f", F.lit(False))
     overridden = F.col("override_justification").isNotNull() & F.col("override_evidence").isNotNull()
-    return _checks(rows, "ContradictionShape", "att_id", [
-        ((F.col("outcome") == "passed") & (stated | asserted) & ~overridden, "hasOutcome",
+    return "ContradictionShape", "att_id", [
+        ((F.col("outcome") == "passed") & failed & ~overridden, "hasOutcome",
          "met over a failed check without justification and evidence"),
         (F.col("override_justification").isNotNull() & F.col("override_evidence").isNull(),
          "overrideEvidence", "override without evidence"),
-    ])
+    ]
 
 
-def override_evidence_shape(attestation: DataFrame) -> DataFrame:
-    return _checks(attestation, "OverrideEvidenceShape", "att_id", [
+def _override_evidence() -> tuple[str, str, list[Check]]:
+    return "OverrideEvidenceShape", "att_id", [
         (F.col("override_justification").isNotNull() & F.col("override_evidence").isNull(),
          "overrideEvidence", "justification without evidence"),
-    ])
+    ]
+
+
+def _passed_adequacy() -> tuple[str, str, list[Check]]:
+    return "PassedRequiresAdequacyAndSufficiencyShape", "att_id", [
+        ((F.col("outcome") == "passed") & _blank("adequacy"), "inContextOf", "non-empty adequacy text"),
+    ]
+
+
+def contradiction_shape(attestation: DataFrame, assertion: DataFrame | None = None) -> DataFrame:
+    """MET over a failed check, stated on the sign-off or on the assertion behind it."""
+    return _suite(_with_failed_assertion(attestation, assertion), _contradiction())
+
+
+def override_evidence_shape(attestation: DataFrame) -> DataFrame:
+    return _suite(attestation, _override_evidence())
+
+
+def sign_off_shapes(attestation: DataFrame, assertion: DataFrame | None = None) -> DataFrame:
+    """Contradictions, overrides without evidence and missing adequacy in one pass over the sign-offs."""
+    return _suite(_with_failed_assertion(attestation, assertion), _contradiction(), _override_evidence(), _passed_adequacy())
 
 
 def attestation_shape(attestation: DataFrame) -> DataFrame:
@@ -106,18 +134,35 @@ def attestation_shape(attestation: DataFrame) -> DataFrame:
     ])
 
 
-def plan_instantiation_shape(activity: DataFrame, steps: DataFrame) -> DataFrame:
-    """``activity``: run_id, activity, step, started_at; repeats are extra values."""
+def _activities(activity: DataFrame, steps: DataFrame) -> DataFrame:
     known = steps.select("step", F.lit(1).alias("_k"))
-    per = activity.join(known, "step", "left").groupBy(F.col("run_id").alias(K), "activity").agg(
+    return activity.join(known, "step", "left").groupBy(F.col("run_id").alias(K), "activity").agg(
         F.count_distinct("step").alias("steps"),
         F.count(F.when(F.col("step").isNotNull() & F.col("_k").isNull(), 1)).alias("unknown"),
-        F.count_distinct("started_at").alias("starts"),
+        F.count_distinct("started_at").alias("starts"), F.count("agent").alias("agents"),
     )
-    return _checks(per, "PlanInstantiationShape", "activity", [
+
+
+def _plan_instantiation() -> tuple[str, str, list[Check]]:
+    return "PlanInstantiationShape", "activity", [
         ((F.col("steps") != 1) | (F.col("unknown") > 0), "correspondsToStep", "exactly one known step"),
         (F.col("starts") != 1, "startedAtTime", "exactly one start time"),
-    ])
+    ]
+
+
+def _activity_agent() -> tuple[str, str, list[Check]]:
+    return "ActivityAgentShape", "activity", [(F.col("agents") < 1, "wasAssociatedWith", "at least one agent")]
+
+
+def plan_instantiation_shape(activity: DataFrame, steps: DataFrame) -> DataFrame:
+    """``activity``: run_id, activity, step, started_at; repeats are extra values."""
+    columns = activity if "agent" in activity.columns else activity.withColumn("agent", F.lit(None).cast("string"))
+    return _suite(_activities(columns, steps), _plan_instantiation())
+
+
+def activity_shapes(activity: DataFrame, steps: DataFrame) -> DataFrame:
+    """Steps, start times and agents of activities by one aggregate."""
+    return _suite(_activities(activity, steps), _plan_instantiation(), _activity_agent())
 
 
 def evidence_shape(evidence: DataFrame, addresses: DataFrame, generated: DataFrame | None = None) -> DataFrame:
@@ -172,10 +217,7 @@ def statement_shape(statements: DataFrame) -> DataFrame:
 
 
 def activity_agent_shape(activity: DataFrame) -> DataFrame:
-    per = activity.groupBy(F.col("run_id").alias(K), "activity").agg(F.count("agent").alias("_n"))
-    return _checks(per, "ActivityAgentShape", "activity", [
-        (F.col("_n") < 1, "wasAssociatedWith", "at least one agent"),
-    ])
+    return _suite(activity.groupBy(F.col("run_id").alias(K), "activity").agg(F.count("agent").alias("agents")), _activity_agent())
 
 
 def generating_activity_shape(prov_edge: DataFrame) -> DataFrame:
@@ -189,9 +231,7 @@ def generating_activity_shape(prov_edge: DataFrame) -> DataFrame:
 
 def passed_requires_adequacy_shape(attestation: DataFrame) -> DataFrame:
     """A passed sign-off needs adequacy text; sufficiency text is not tested here."""
-    return _checks(attestation, "PassedRequiresAdequacyAndSufficiencyShape", "att_id", [
-        ((F.col("outcome") == "passed") & _blank("adequacy"), "inContextOf", "non-empty adequacy text"),
-    ])
+    return _suite(attestation, _passed_adequacy())
 
 
 def forward_traceability_shape(
@@ -220,6 +260,25 @@ def backward_traceability_shape(
                        "evidence does not address the signed control")
 
 
+def traceability_shapes(
+    required: DataFrame, control: DataFrame, attestation: DataFrame, attestation_evidence: DataFrame, addresses: DataFrame,
+) -> DataFrame:
+    """Both directions from one join of the cited evidence with what it addresses."""
+    signed = attestation.select(K, "att_id", C, F.col("outcome").isNotNull().alias("_signed"))
+    addressed = addresses.select(K, E, C).distinct().withColumn("_held", F.lit(True))
+    cited = attestation_evidence.select(K, "att_id", E).distinct().join(signed, [K, "att_id"]).join(addressed, [K, E, C], "left")
+    held = F.coalesce("_held", F.lit(False))
+    per = cited.groupBy(K, C, "att_id").agg(F.bool_or(held & F.col("_signed")).alias("_reached"), F.bool_or(~held).alias("_loose"))
+    reached = per.filter("_reached").select(K, C, F.lit(True).alias("_reached"), F.lit(False).alias("_required"))
+    pairs = reached.unionByName(required.select(K, C, F.lit(False).alias("_reached"), F.lit(True).alias("_required"))).groupBy(K, C).agg(
+        F.bool_or("_reached").alias("_reached"), F.bool_or("_required").alias("_required"))
+    forward = pairs.filter(F.col("_required") & ~F.col("_reached")).join(control.select(C), C, "left_semi")
+    backward = per.filter("_loose").select(K, "att_id").distinct()
+    return _violations(forward, "ForwardTraceabilityShape", C, "requiresControl",
+                       "required control reaches no addressing evidence with a sign-off").unionByName(
+        _violations(backward, "BackwardTraceabilityShape", "att_id", "hasEvidence", "evidence does not address the signed control"))
+
+
 def validate(*violations: DataFrame) -> DataFrame:
     """All rules' violations as one table."""
     return reduce(DataFrame.unionByName, violations)

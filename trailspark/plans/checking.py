@@ -219,7 +219,13 @@ _SHAPES = (
 
 @shared
 def _violations(p):
-    return va.validate(*[BUILDERS[name](p) for name in _SHAPES])
+    """All shapes; those over the same rows in one pass."""
+    fused = ("V3", "V4", "V13", "V6", "V11", "V14", "V15")
+    cut(p, "attestation", "evidence", "order_control")
+    return va.validate(
+        va.sign_off_shapes(p.attestation, p.assertion), va.activity_shapes(p.activity, p.plan[0]),
+        va.traceability_shapes(p.order_control, p.control, p.attestation, p.attestation_evidence, p.addresses),
+        *[BUILDERS[name](p) for name in _SHAPES if name.split("_")[0] not in fused])
 
 
 _ALL = _any(*[f"SELECT contract_id, shape, focus, path, message FROM ({BODIES[name]})" for name in _SHAPES])
