@@ -57,7 +57,7 @@ STAGES = [
     ("bpe", tokenise),
 ]
 
-#: SQL can express neither the models nor the merges; tests compare each stage with brute force.
+#: SQL can express neither the models nor the merges; tests compare each stage with its operator, which has tests of its own.
 ORACLE_SQL = None
 
 
