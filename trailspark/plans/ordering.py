@@ -69,6 +69,11 @@ def _(p):
     return ob.clause_completeness(p.cited_clause, p.present_token, p.clause_rule)
 
 
+@shared
+def _edges(p):
+    return gt.claim_edges(p.module_claim)
+
+
 @query("G5_gate_forward", """SELECT contract_id, control_id, weight FROM order_control JOIN control USING (control_id)
   WHERE control_id NOT IN (SELECT control_id FROM module_claim)""")
 def _(p):
@@ -90,7 +95,8 @@ def _(p):
   gaps = 0 AS forward_passed, orphans = 0 AS backward_passed, paper_claims = 0 AS methods_passed,
   gaps = 0 AND orphans = 0 AND paper_claims = 0 AS passed FROM gate_report""")
 def _(p):
-    return gt.gate_report(p.order_control, p.module_claim, p.module, p.control, p.order_module)
+    cut(p, "order_control", "order_module", "module_claim", _edges)
+    return gt.gate_report(p.order_control, _edges(p), p.module, p.control, p.order_module)
 
 
 @query("G8_forward_map", """SELECT o.contract_id, o.control_id, coalesce(m.n, 0) AS modules, c.modules_digest FROM order_control o
@@ -112,7 +118,8 @@ def _(p):
 
 @shared
 def _compiled(p):
-    flaws = gt.order_flaws(p.order_hdr, p.order_control, p.module_claim, p.module, p.order_module)
+    cut(p, "order_control", "order_module", "module_claim", _edges)
+    flaws = gt.order_flaws(p.order_hdr, p.order_control, _edges(p), p.module, p.order_module)
     return gt.compile_orders(p.order_hdr, p.order_control, p.order_module, flaws)
 
 
@@ -148,11 +155,6 @@ def _(p):
 # -- hashes of an order ------------------------------------------------------------
 
 
-@shared
-def _edges(p):
-    return gt.claim_edges(p.module_claim)
-
-
 @shared
 def _hashes(p):
     cut(p, "order_control", "order_module", "module_claim", "obligation", "obligation_derive", _edges)
