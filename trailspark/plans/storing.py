@@ -80,7 +80,7 @@ def _(p):
 
 
 @query("C3_bom_artifacts", """SELECT o.contract_id, sha256('bom-' || o.last) AS bom_hash, e.content_hash AS hash FROM (SELECT o_custkey AS contract_id,
-  max(o_orderkey) AS last FROM orders GROUP BY o_custkey) o JOIN evidence e ON e.contract_id = o.last""")
+  max(o_orderkey) AS last FROM orders GROUP BY o_custkey) o JOIN evidence e ON e.contract_id = o.last""", gather=True)
 def _(p):
     return st.bom_artifacts(st.latest_bom(p.bom_index), p.artifact_index)
 
