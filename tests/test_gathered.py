@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
 from trailspark.operators import gates as gt
@@ -58,3 +59,38 @@ def test_pairs_and_followed_claims_agree(frame, monkeypatch, paired):
                                  frame("contract_id int, module_id int", *included))
     brute = {(k, m, c) for k, m in included for j, c in required if k is not None and k == j and (m, c) in set(claims)}
     assert rows(found) == sorted(brute, key=lambda r: [(False, str(v)) for v in r])
+
+
+def _stored(spark, folder):
+    p = _projection(spark, folder, True)
+    p.store_lines()
+    return p
+
+
+@pytest.mark.parametrize("name", ["order_control", "order_module", "evidence", "attestation_evidence", "poam", "obligation_derive"])
+def test_stored_lines_give_the_same(spark, folder, name):
+    assert rows(getattr(_stored(spark, folder), name)) == rows(getattr(_projection(spark, folder, False), name))
+
+
+def test_stored_lines_are_united_and_grouped_in_place(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _stored(spark, folder)
+        linked = p.addresses.join(p.evidence, ["contract_id", "evidence_id"]).select("contract_id", "content_hash")
+        both = linked.unionByName(p.attestation.selectExpr("contract_id", "att_id AS content_hash")).distinct()
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        whole = _projection(spark, folder, False)
+        linked = whole.addresses.join(whole.evidence, ["contract_id", "evidence_id"]).select("contract_id", "content_hash")
+        assert rows(both) == rows(linked.unionByName(whole.attestation.selectExpr("contract_id", "att_id AS content_hash")).distinct())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_claimers_are_dealt_once(spark, frame):
+    """The claims of a control meet in one exchange, and give the digest that the leaves give."""
+    claims = frame("module_id int, control_id int", *[(m, c) for m in range(9) for c in range(4)], (1, None), (0, 0))
+    found = gt._claimers(claims)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert rows(found) == rows(gt.group_digest(claims, ["control_id"], F.col("module_id").cast("string"), "modules_digest"))
