@@ -94,3 +94,11 @@ def test_claimers_are_dealt_once(spark, frame):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert rows(found) == rows(gt.group_digest(claims, ["control_id"], F.col("module_id").cast("string"), "modules_digest"))
+
+
+def test_claims_without_a_module_count_in_the_proof(spark, frame):
+    """A control that only a null module claims has a digest, unlike one that nobody claims."""
+    required, included = frame("contract_id int, control_id int", (1, 1), (2, 2)), frame("contract_id int, module_id int", (1, 5), (2, 5))
+    modules = frame("module_id int, method string", (5, "m"))
+    lines = rows(gt.proof_lines(required, frame("module_id int, control_id int", (None, 1)), modules, included))
+    assert [line for _, line in lines if line == "forward 2 -"] and not [line for _, line in lines if line == "forward 1 -"]

@@ -176,8 +176,8 @@ def _(p):
 
 @query("H3_coverage_proof_hash", "SELECT contract_id, coverage_proof_hash FROM coverage_hashes", gather=True)
 def _(p):
-    cut(p, "module_claim", _edges)
-    return gt.coverage_proof_hash(p.order_control, _edges(p), p.module, p.order_module)
+    cut(p, "module_claim")
+    return gt.coverage_proof_hash(p.order_control, p.module_claim, p.module, p.order_module)
 
 
 @query("H3_order_hash", "SELECT contract_id, order_hash FROM order_hashes", gather=True)
