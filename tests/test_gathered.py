@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
+from trailspark.functions import groups
 from trailspark.operators import gates as gt
 from trailspark.plans import ordering  # noqa: F401 (registers)
-from trailspark.plans.registry import BUILDERS
+from trailspark.plans.registry import BUILDERS, cut
 from trailspark.session import tune
 from trailspark.sources.projection import Projection
 
@@ -102,3 +103,18 @@ def test_claims_without_a_module_count_in_the_proof(spark, frame):
     modules = frame("module_id int, method string", (5, "m"))
     lines = rows(gt.proof_lines(required, frame("module_id int, control_id int", (None, 1)), modules, included))
     assert [line for _, line in lines if line == "forward 2 -"] and not [line for _, line in lines if line == "forward 1 -"]
+
+
+def test_partitions_grow_with_the_lines(spark, folder, monkeypatch):
+    monkeypatch.setattr(groups, "TASK_ROWS", 6)
+    try:
+        p = _stored(spark, folder)
+        assert p._lines.rdd.getNumPartitions() == 7 and p.by_contract(p.order_control).rdd.getNumPartitions() == 7
+        assert rows(p.evidence) == rows(_projection(spark, folder, False).evidence)
+        p = _stored(spark, folder)
+        cut(p, "poam")
+        plan = p.poam.join(p.attestation, ["contract_id", "control_id"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        assert rows(p.poam) == rows(_projection(spark, folder, False).poam)
+    finally:
+        groups.deal_for(spark, 0)
