@@ -105,6 +105,30 @@ def test_claims_without_a_module_count_in_the_proof(spark, frame):
     assert [line for _, line in lines if line == "forward 2 -"] and not [line for _, line in lines if line == "forward 1 -"]
 
 
+@pytest.mark.parametrize("listed", [0, 3, 8192])
+def test_claiming_modules_of_lists_and_rows_agree(frame, monkeypatch, listed):
+    """Module 1 has two records, 2 and 4 no method, 3 and the null one no record."""
+    monkeypatch.setattr(gt, "LISTED", listed)
+    required = [(1, 1), (1, 2), (1, 2), (2, 3), (3, 9), (4, 1), (4, 4), (None, 1)]
+    claims = [(1, 1), (1, 2), (2, 1), (3, 2), (4, 3), (4, 3), (None, 2), (5, 4), (5, 1)]
+    modules = [(1, "a"), (1, None), (2, None), (4, None), (5, "b")]
+    found = gt.claiming_modules(frame("contract_id int, control_id int", *required), frame("module_id int, control_id int", *claims),
+                                frame("module_id int, method string", *modules))
+    records = lambda m: [x for k, x in modules if m is not None and k == m] or [None]
+    sets = {k: {m for j, c in required for m, d in claims if j == k and c == d} for k, _ in required}
+    brute = [(k, sum(len(records(m)) for m in s), sum(x is None for m in s for x in records(m))) for k, s in sets.items() if s]
+    assert rows(found) == sorted(brute, key=lambda r: [(v is None, str(v)) for v in r])
+
+
+def test_controls_bring_claiming_modules_as_lists(spark, frame):
+    """The join on the control alone gives a row per required control, not one per claiming module."""
+    required = frame("contract_id int, control_id int", *[(k, c) for k in range(5) for c in range(3)])
+    claims = frame("module_id int, control_id int", *[(m, c) for m in range(40) for c in range(3)])
+    found = gt.claiming_modules(required, claims, frame("module_id int, method string", *[(m, "x") for m in range(40)]))
+    assert rows(found) == [(k, 40, 0) for k in range(5)]
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_partitions_grow_with_the_lines(spark, folder, monkeypatch):
     monkeypatch.setattr(groups, "TASK_ROWS", 6)
     try:
