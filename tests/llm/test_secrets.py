@@ -92,3 +92,28 @@ def test_candidates_take_linear_time():
         start = time.process_time()
         list(s.candidates(text))
         assert time.process_time() - start < 20
+
+
+def test_every_document_and_finding_teaches(spark):
+    """More documents and findings than a sample would hold: letter pairs, words and the forest come from all."""
+    n = 20_800
+    text = lambda i: f"{'abcdefgh'[i % 8]}{'aeiou'[i % 5]}{'klmnprst'[i // 40 % 8]} of order {10**15 + i * 7919}" if i % 3 == 0 else f"word{'xyz'[i % 3]} ten"
+    docs = spark.createDataFrame([(i, text(i), "web") for i in range(n)], "doc_id long, text string, source string")
+    found = s.fit(docs)
+    pairs = np.full((28, 28), 0.5)
+    for i in range(n):
+        codes = s._codes(text(i))
+        np.add.at(pairs, (codes[:-1], codes[1:]), 1)
+    assert np.allclose(found.language.transitions, np.log(pairs / pairs.sum(1, keepdims=True)))
+    assert found.language.words == {w for i in range(n) for w in s._WORDS.findall(text(i))}
+    assert found.forest.rows == len({i for i in range(n) if i % 3 == 0}) + len(s.made_findings())
+
+
+def test_forest_does_not_depend_on_the_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(rng.random(len(s.FEATURES)).round(2).tolist(), int(rng.random() < 0.4), i % 9 == 0, i) for i in range(700)]
+    table = spark.createDataFrame(rows, "x array<double>, y int, made boolean, h long")
+    one, many = (s.Forest.of_table(table.repartition(k), trees=4, depth=5) for k in (1, 5))
+    assert one.rows == 700 and len(one.feature) > 20
+    for name in ("feature", "cut", "child", "value"):
+        assert np.array_equal(getattr(one, name), getattr(many, name))
