@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from llm.common import durable, hash64, map_arrow, tree_sum
 
-#: Findings per family made by rule, beside those of the documents, and how many of the latter weigh as much as one of them, where there are more.
+#: Findings per family made by rule, beside those of the documents, and how many times as much the latter weigh at most, all together.
 MADE, PER_MADE = 60, 5
 TREES, DEPTH = 40, 10
 #: Bins of a feature, by its quantiles over all findings, and nodes whose bins are counted at once.
