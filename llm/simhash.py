@@ -58,7 +58,9 @@ def links(fps: DataFrame, distance: int = 3, fp: str = "fp") -> DataFrame:
     indexed under its two halves and under their 64 one-wildcard variants. Fingerprints
     meet under a whole half, or under a wildcard with a 0 on one side and a 1 on the
     other: each pair meets once for a half, not once per wildcard. Only verified pairs
-    leave the join; hot signatures are split there as skewed join partitions are.
+    leave the join; hot signatures are split there as skewed join partitions are. The join
+    is named because Spark gives the index the size of the fingerprints it is made of, 66
+    times too small, and would send it through the driver to every task.
     """
     if not 0 < distance <= 3:
         raise ValueError("two halves carry up to 3 different bits")
@@ -71,7 +73,7 @@ def links(fps: DataFrame, distance: int = 3, fp: str = "fp") -> DataFrame:
     a = index.where("side <> 1").select("signature", "side", F.col("fp").alias("a"))
     b = index.where("side <> 0").select("signature", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return a.join(b, "signature").where(near & ((F.col("side") == 0) | (F.col("a") < F.col("b")))).select("a", "b")
+    return a.join(b.hint("merge"), "signature").where(near & ((F.col("side") == 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3) -> DataFrame:

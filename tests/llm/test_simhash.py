@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 
 from llm import simhash
+from llm.common import durable
 
 SCHEMA = "doc_id long, text string, key string, fp int, component_id string"
 
@@ -46,6 +47,15 @@ def test_links_find_every_pair_of_three_bits_or_fewer(spark):
     assert {tuple(sorted(r)) for r in got} == want and len(want) > 20
 
 
+def test_index_of_links_is_not_broadcast_however_small_it_is_taken_to_be(spark):
+    fps = durable(spark.createDataFrame([(i,) for i in range(50)], "fp long"))
+    found = simhash.links(fps)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_chains_ties_nulls_and_other_columns(spark):
     texts = {5: "", 9: None, 3: "the same words here now", 4: "the same words here now", 8: "The SAME words\there\nnow", 2: "alone", 1: "x " * 3000}
     rows = [(k, t, "k", 1, "c") for k, t in texts.items()] + [(None, "alone", "k", 1, "c"), (3, texts[3], "k", 1, "c")]
