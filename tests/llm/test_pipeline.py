@@ -44,3 +44,11 @@ def test_run_and_odd_rows(spark, write):
     for name, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, nothing)
         assert none.count() == 0, name
+
+
+def test_near_copies_stage_broadcasts_no_index_of_fingerprints(spark, monkeypatch):
+    made, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: made.append(links(*a, **k)) or made[-1])
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}") for i in range(20)], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 7
+    assert "Broadcast" not in made[0]._jdf.queryExecution().executedPlan().toString()
