@@ -179,7 +179,7 @@ def _(p):
     return bm.explain_control(_rows(p), p.control, _row_hashes(p), p.resource_control)
 
 
-@query("B1_bom_rows", "SELECT * FROM bom_rows")
+@query("B1_bom_rows", "SELECT * FROM bom_rows", gather=True)
 def _(p):
     return _rows(p)
 
