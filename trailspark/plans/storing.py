@@ -15,7 +15,7 @@ from trailspark.sources import files
 _PROJECT = "traces"
 
 
-@query("H5_graph_hash", digest_sql("SELECT contract_id, graph, s || ' ' || p || ' ' || o || ' .' AS line FROM quads", "contract_id, graph", "graph_hash"))
+@query("H5_graph_hash", digest_sql("SELECT contract_id, graph, s || ' ' || p || ' ' || o || ' .' AS line FROM quads", "contract_id, graph", "graph_hash"), gather=True)
 def _(p):
     return st.graph_hash(p.quads.select("contract_id", "graph", st.quad_line().alias("line")), ["contract_id", "graph"])
 
