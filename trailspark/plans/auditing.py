@@ -184,7 +184,7 @@ def _(p):
     return _rows(p)
 
 
-@query("B2_evidence_backing", """SELECT evidence_backing, status, count(*) AS controls FROM bom_rows GROUP BY ALL""")
+@query("B2_evidence_backing", """SELECT evidence_backing, status, count(*) AS controls FROM bom_rows GROUP BY ALL""", gather=True)
 def _(p):
     return _rows(p).groupBy("evidence_backing", "status").agg(F.count(F.lit(1)).alias("controls"))
 
