@@ -21,7 +21,7 @@ def _(p):
 
 
 @query("H6_dataset_fingerprint", digest_sql("""SELECT contract_id,
-  s || chr(9) || p || chr(9) || CASE WHEN starts_with(o, '_:') THEN '_:b' ELSE o END || chr(9) || graph AS line FROM quads""", "contract_id", "fingerprint"))
+  s || chr(9) || p || chr(9) || CASE WHEN starts_with(o, '_:') THEN '_:b' ELSE o END || chr(9) || graph AS line FROM quads""", "contract_id", "fingerprint"), gather=True)
 def _(p):
     return st.dataset_fingerprint(p.quads)
 
