@@ -120,7 +120,7 @@ def _report(p):
     )
 
 
-@query("T13_audit_report", "SELECT * FROM report")
+@query("T13_audit_report", "SELECT * FROM report", gather=True)
 def _(p):
     return _report(p)
 
