@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from helpers import rows
 from trailspark.functions import groups
 from trailspark.operators import gates as gt
-from trailspark.plans import ordering  # noqa: F401 (registers)
-from trailspark.plans.registry import BUILDERS, cut
+from trailspark.plans import auditing, ordering, storing  # noqa: F401 (registers)
+from trailspark.plans.registry import BUILDERS, QUERIES, cut, plain
 from trailspark.session import tune
 from trailspark.sources.projection import Projection
 
@@ -142,3 +142,29 @@ def test_partitions_grow_with_the_lines(spark, folder, monkeypatch):
         assert rows(p.poam) == rows(_projection(spark, folder, False).poam)
     finally:
         groups.deal_for(spark, 0)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, folder):
+    """The other tables beside the lines; order 3 comes twice, order 9 has no line."""
+    spark.createDataFrame([(k, k % 3, "FOP"[k % 3], "2-HIGH") for k in (1, 2, 3, 3, 4, 5, 6, 7, 8, 9)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k, f"part {k}", "type", k % 50) for k in range(10, 18)],
+                          "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(k, f"supplier {k}", k % 2) for k in range(1, 6)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(0, "A", 0), (1, "B", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    spark.createDataFrame([(0, "AMERICA"), (1, "ASIA")], "r_regionkey int, r_name string").write.parquet(f"{folder}/region.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["B1_bom_rows", "B2_evidence_backing", "T13_audit_report", "H5_graph_hash", "H6_dataset_fingerprint"])
+def test_queries_read_stored_lines_and_give_the_same(spark, tables, name):
+    found = QUERIES[name](spark, tables)
+    assert "Bucketed: true" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == rows(plain(BUILDERS[name](_projection(spark, tables, False)))) and rows(found)
+
+
+def test_facts_read_the_hashes_of_the_documents_from_a_table(spark, tables):
+    found = QUERIES["B8_bom_facts"](spark, tables)
+    assert "collect_set" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == rows(plain(BUILDERS["B8_bom_facts"](_projection(spark, tables, False))))

@@ -283,6 +283,7 @@ def _(p):
   ON f.contract_id = h.contract_id""", gather=True)
 def _(p):
     _settled(p)
+    cut(p, _boms)
     status = bm.evidentiary_status(p.bom_order, p.evidence)
     return bm.bom_facts(_boms(p), p.bom_order, status, _artifacts(p), _rows(p), p.resource_control, _row_hashes(p))
 
